@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.decontaminate import contained_items
 from lumenframe.llm.ngram_join import ngram_jaccard_join
 from lumenframe.llm.packed_tokens import token_file_digest
+from lumenframe.llm.page_text import main_text
+from lumenframe.llm.pii import find_pii
+from lumenframe.llm.quality_classifier import classify
 from lumenframe.llm.quality_rules import quality_rules
 from lumenframe.llm.source_mix import mix_sources
 from lumenframe.llm.token_counts import token_counts
+from lumenframe.llm.url_filter import judge_urls
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -32,16 +37,48 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_token_counts, op3_token_output, op8_source_mix, op10_quality_rules]
+    found = [
+        op1_ngram_jaccard_join,
+        op2_token_counts,
+        op3_token_output,
+        op4_decontaminate,
+        op5_url_filter,
+        op6_pii,
+        op7_quality_classifier,
+        op8_source_mix,
+        op9_page_text,
+        op10_quality_rules,
+    ]
     return {f.__name__: f for f in found}
 
 
