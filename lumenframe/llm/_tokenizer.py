@@ -3,7 +3,8 @@
 The vocabulary's rules (checked when it is loaded) drop white space and merge
 only inside the pieces between, so a text's ids are those of its white-space
 separated words, one after another.  Each worker therefore encodes a word once
-and remembers its ids; it forgets all when ``MEMO_WORDS`` are held.
+and remembers its ids.  It holds two generations of at most ``MEMO_WORDS``
+words: when one is full, the older is forgotten, and words still in use move on.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import json
 import numpy as np
 from tokenizers import Tokenizer
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 700_000
 LONGEST = 200
 _loaded: dict[str, "WordEncoder"] = {}
 
@@ -25,49 +26,78 @@ class WordEncoder:
             rules = json.load(file)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.splits_words = _drops_space(rules)
-        self.separator = next((x["content"] for x in rules["added_tokens"] if not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"])), None)
-        self.separator_id = self.tokenizer.token_to_id(self.separator) if self.separator else None
+        self.marks = {x["content"][:1] for x in rules["added_tokens"]}
+        suffix = rules["model"].get("end_of_word_suffix") or "</w>"
+        self.ends = np.zeros(self.vocab_size, dtype=bool)
+        self.ends[[i for word, i in rules["model"]["vocab"].items() if word.endswith(suffix)]] = True
         self.kind = np.uint16 if self.vocab_size <= 1 << 16 else np.uint32
-        self.memo: dict[bytes, bytes] = {}
+        self.width = np.dtype(self.kind).itemsize
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind).tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words in one call, kept apart by a special token, which splits a text before all other rules."""
-        width = np.dtype(self.kind).itemsize
-        mark = self.separator.encode()
-        odd = [w for w in words if mark[:1] in w]  # could run together with the separator
-        for w in odd:
-            self.memo[w] = self._plain(w.decode("utf-8", "surrogatepass"))
-        words = [w for w in words if mark[:1] not in w]
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(part).decode()], add_special_tokens=False)[0].ids, dtype=self.kind)
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, in one call: each is one piece, of which the last token alone carries the end mark."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 8192):
+            part = words[k : k + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(cut) != len(part):  # a letter that lower case turns into more than letters
+                out += map(self._plain, part)
+                continue
             raw = ids.tobytes()
-            cut = (np.flatnonzero(ids == self.separator_id) * width).tolist()
-            if len(cut) != len(part) - 1:
-                raise ValueError("the separator was not kept apart")
-            self.memo.update(zip(part, map(raw.__getitem__, map(slice, [0, *[c + width for c in cut]], [*cut, len(raw)]))))
+            out += map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode words; letters with one point or comma are the letters' ids and the mark's."""
+        stems: dict[bytes, str] = {}
+        joined: list[tuple[bytes, bytes, bytes]] = []
+        for w in words:
+            text = w.decode("utf-8", "surrogatepass")
+            if text.isalpha():
+                stems[w] = text
+            elif text[-1] in ".," and text[:-1].isalpha():
+                joined.append((w, w[:-1], w[-1:]))
+                if w[:-1] not in self.now:
+                    stems[w[:-1]] = text[:-1]
+            else:
+                self.now[w] = self._plain(text)
+        self.now.update(zip(stems, self._letters(list(stems.values()))))
+        for mark in b".", b",":
+            if mark not in self.now:
+                self.now[mark] = self._plain(mark.decode())
+        now = self.now
+        now.update([(w, now[stem] + now[mark]) for w, stem, mark in joined])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian integers of type ``kind``."""
-        if not (self.splits_words and self.separator):
+        if not self.splits_words:
             return [self._plain(t.decode("utf-8", "surrogatepass")) for t in texts]
-        split = [t.split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = set().union(*split)
-        new.difference_update(self.memo)
-        long = {w for w in new if len(w) > LONGEST}
+        # lower case is one of the vocabulary's rules; special strings have none, and texts with capitals in them are no special strings
+        split = [t.lower().split() if self._folds(t) else t.split() for t in texts]
+        if len(self.now) > MEMO_WORDS:
+            self.now, self.before = {}, self.now
+        new = set().union(*split).difference(self.now)
+        known = [w for w in new if w in self.before]
+        self.now.update(zip(known, map(self.before.__getitem__, known)))
+        new.difference_update(known)
+        long = [w for w in new if len(w) > LONGEST]
         if new:
-            self._learn(list(new))
-        get = self.memo.__getitem__
+            self._learn(new)
+        get = self.now.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         for w in long:
-            del self.memo[w]
+            del self.now[w]
         return out
 
+    def _folds(self, text: bytes) -> bool:
+        """Whether A-Z may be folded beforehand: not where that could make a special string."""
+        return not any(m.encode() in text for m in self.marks)
+
 
 def _drops_space(rules: dict) -> bool:
     """Whether white space ends every piece and leaves no token."""

@@ -108,7 +108,7 @@ def _file(uri: str):
 def _write_pass(root: str, vocabulary: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(vocabulary)
-        width = np.dtype(encoder.kind).itemsize
+        width = encoder.width
         bits = bits_for(encoder.vocab_size)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         context = TaskContext.get()

@@ -77,7 +77,7 @@ def encode_long(encoder: WordEncoder, text: str, chunk_chars: int = 65536, overl
 def _count_pass(path: str, chunk_chars: int, overlap: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path)
-        width = np.dtype(encoder.kind).itemsize
+        width = encoder.width
         for batch in slices(batches):
             texts = as_bytes(batch.column("text"), lower=False)
             huge = [len(t) > chunk_chars for t in texts]
