@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.plans import changes, reads, scalars, similarity
+from lumenframe.sources.fixtures import SQL, catalog
 
-def oracle_sql() -> dict:
-    return {}
+_PARTS = (reads, scalars, changes, similarity)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {}
+    for part in _PARTS:
+        for name, (query, _) in part.QUERIES.items():
+            found[name] = lambda spark, d, q=query: q(catalog(spark, d), spark, d)
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: SQL + sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
