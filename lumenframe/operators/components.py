@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.storage import cut_lineage
+from lumenframe.storage import cut_lineage, drop
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     now = cut_lineage(pairs.where("u <> v").distinct(), "cc")
     mark = None
     for _ in range(max_rounds):
-        now = cut_lineage(_small_star(_large_star(now)), "cc")
+        last, now = now, cut_lineage(_small_star(_large_star(now)), "cc")
+        drop(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

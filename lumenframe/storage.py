@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +34,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenframe/{name}-{uuid.uuid4().hex}"
 
 
+_open: dict[str, list[str]] = {}
+_scope: list[str] = []
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     What follows restarts from the files, whichever executor is lost.
     """
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scope:
+        _open.setdefault(_scope[-1], []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for frames that no later result reads."""
+    for df in frames:
+        _delete(df.sparkSession, df.scratch_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, scope: str) -> Iterator[None]:
+    """Delete the files of earlier uses of ``scope`` and collect those that are written inside.
+
+    For chains whose every step is written before the next begins.
+    """
+    for path in _open.pop(scope, []):
+        _delete(spark, path)
+    _scope.append(scope)
+    try:
+        yield
+    finally:
+        _scope.pop()
