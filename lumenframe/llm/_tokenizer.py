@@ -60,7 +60,7 @@ class WordEncoder:
             text = w.decode("utf-8", "surrogatepass")
             if text.isalpha():
                 stems[w] = text
-            elif text[-1] in ".," and text[:-1].isalpha():
+            elif text[-1] in ".," and _stays_letters(text[:-1]):
                 joined.append((w, w[:-1], w[-1:]))
                 if w[:-1] not in self.now:
                     stems[w[:-1]] = text[:-1]
@@ -99,6 +99,11 @@ class WordEncoder:
         return not any(m.encode() in text for m in self.marks)
 
 
+def _stays_letters(text: str) -> bool:
+    """Whether normal form and lower case leave letters only, by any version of Unicode: Latin, Greek and Cyrillic without letters that decompose."""
+    return text.isalpha() and max(text) <= "\u04ff" and text.lower().isalpha()
+
+
 def _drops_space(rules: dict) -> bool:
     """Whether white space ends every piece and leaves no token."""
     steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])

@@ -97,7 +97,7 @@ class UrlModel:
 
     def rows(self, urls: list, hosts: list, paths: list) -> np.ndarray:
         found = [lexical(u, h, p) + [self.suffix.get(s, self.prior) for s in suffixes(h)] for u, h, p in zip(urls, hosts, paths)]
-        return np.array(found, dtype=np.float64).reshape(len(urls), -1)
+        return np.array(found, dtype=np.float64) if found else np.zeros((0, 1))
 
     def score(self, urls: list, hosts: list, paths: list) -> np.ndarray:
         return self.trees.score(self.rows(urls, hosts, paths)) if urls else np.zeros(0)
