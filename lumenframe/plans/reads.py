@@ -9,6 +9,7 @@ from lumenframe.operators import media as M
 from lumenframe.operators import people as P
 from lumenframe.operators import sync as S
 from lumenframe.sources.files import keep_scanned
+from lumenframe.streaming.ingest import events_per_window
 
 PERSON, ROOT = 1, "/lib/p1/c_7"
 _SOUND = "coalesce(m.is_corrupted, 0) = 0"
@@ -291,6 +292,10 @@ SELECT path_key, keep, array_to_string(list_sort(list_filter(every, lambda x : x
     ),
     "distinct_faces_paths": (lambda c, s, d: c.faces.select("file_path").distinct(), " SELECT DISTINCT file_path FROM faces"),
     "selected_paths_distinct": (lambda c, s, d: c.faces.where("det_score > 0.15").select("file_path").distinct(), " SELECT DISTINCT file_path FROM faces WHERE det_score > 0.15"),
+    "events_per_window": (
+        lambda c, s, d: events_per_window(s.read.parquet(f"{d}/events.parquet")),
+        " SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    ),
     "thumbnail_preload": (
         lambda c, s, d: S.thumbnail_preload(c, _thumbnails(c)),
         f", {_LISTING} SELECT file_path, thumbnail_path, CAST(floor((row_number() OVER (ORDER BY file_path) - 1) / 25) AS INTEGER) AS batch FROM media WHERE thumbnail_path IN (SELECT thumbnail_path FROM thumbs)",
