@@ -9,17 +9,20 @@ space and its words are joined again.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHINGLE = 5
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MULT = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(1, SHINGLE + 1)], dtype=np.uint64)
+#: glibc's; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -171,7 +174,7 @@ def as_bytes(column, lower: bool = True) -> list[bytes]:
     return [x.lower() for x in found] if lower else found
 
 
-def slices(batches, column: str = "text", limit: int = 8 << 20):
+def slices(batches, column: str = "text", limit: int = 2 << 20):
     """Arrow batches cut so that ``column`` holds about ``limit`` bytes in each, whatever the rows' lengths."""
     import pyarrow.compute as pc
 
@@ -183,3 +186,18 @@ def slices(batches, column: str = "text", limit: int = 8 << 20):
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             if b > a:
                 yield batch.slice(a, b - a)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give what a task has freed back to the system: workers live on, and several share an executor's memory."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def small_batches(df) -> None:
+    """Let the session hand Python workers Arrow batches of at most 4 MB; rows of long texts would otherwise make batches of any size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

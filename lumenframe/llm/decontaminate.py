@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm._text import as_bytes, distinct_sets, shingles, slices
+from lumenframe.llm._text import as_bytes, distinct_sets, shingles, slices, small_batches
 
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 _LOOK = 18
@@ -134,6 +134,7 @@ def _match_pass(block, percent: int):
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, miss: float = 1e-6, block_items: int = 20_000) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment``: every item inside a document."""
     spark = docs.sparkSession
+    small_batches(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = spark.createDataFrame([], SCHEMA)
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")

@@ -7,8 +7,8 @@ five-word shingles is at least ``percent``/100.  The join is exact:
    its set, and counts shingles over the whole corpus.  Counts are summed in
    every Arrow batch before they are dealt out, so a shingle that a third of
    all documents hold costs one entry a batch.  They leave two tables of fixed
-   size: the ``max_heavy`` most frequent shingles, and a bitmap of shingle
-   prefixes that occur more than once.
+   size: the ``max_heavy`` most frequent shingles, and a Bloom filter of
+   shingles that occur more than once.
 2. *Classes.*  Documents with equal digests are one class; its smallest doc_id
    represents it from here on.
 3. *Prefixes.*  All shingles have one total order: those that aren't heavy by
@@ -17,8 +17,9 @@ five-word shingles is at least ``percent``/100.  The join is exact:
    document by the estimated cost of its candidates (see ``_lengthen``).  Of a
    pair with different ``l`` the lesser holds.  Shingles that only one document
    has can't match and aren't emitted.
-4. *Pivots.*  On each shingle's list every member is verified against one
-   pivot, the member that stands earliest, and links are joined to components.
+4. *Pivots.*  Each shingle's list has a pivot, the member in whose prefix it
+   stands earliest.  Every document is verified against the pivot of most of
+   its lists, and links are joined to components.
    A large group of near copies is so united by a number of pairs that grows
    with its size alone.
 5. *The rest.*  Lists that still hold several components give all pairs of
@@ -37,18 +38,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm._text import as_bytes, distinct_sets, mix, shingles, slices
+from lumenframe.llm._text import as_bytes, distinct_sets, mix, shingles, slices, small_batches
 from lumenframe.operators.components import connected_components
-from lumenframe.storage import cut_lineage
+from lumenframe.storage import cut_lineage, drop
 
 _PASS_1 = "doc_id long, n long, f1 long, f2 long, bucket int, tokens binary, counts binary"
 _PASS_2 = "doc_id long, n long, ell int, toks array<long>, poss array<int>, members array<long>"
 #: Shingles are counted by their upper bits; two that share them are counted as one, which can change only the order.
 _COUNT_BITS = 40
-_MAX_ELL = 8
+_PROBES = 4
+#: Counted values below this are in the filter.
+_FILTERED = np.uint64(1 << (_COUNT_BITS - 1))
+#: Least and most prefix shingles that a pair must share.
+_MIN_ELL, _MAX_ELL = 3, 8
+#: Up to so many ids of 8 bytes are sent to all executors, to pick the sets that verification needs.
+_MAX_ENDS = 1 << 20
 #: Cost of verifying a pair over that of listing it.
 _VERIFY_COST = 8.0
 
@@ -65,6 +73,11 @@ def _sums(op: np.ufunc, values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bucket_start(k: int, buckets: int) -> int:
+    """The least counted value of bucket k; with over 256 buckets the rest of a value takes 32 bits."""
+    return -(-(k << _COUNT_BITS) // buckets)
+
+
 def _count_pass(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -73,7 +86,8 @@ def _count_pass(buckets: int):
             f2 = _sums(np.bitwise_xor, mix(flat + np.uint64(0x1234567887654321)), at).view(np.int64)
             docs = batch.num_rows
             none = pa.nulls(docs, pa.binary())
-            yield _batch([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(f1), pa.array(f2), pa.nulls(docs, pa.int32()), none, none])
+            dealt = pa.array((np.arange(docs) % buckets).astype(np.int32))
+            yield _batch([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(f1), pa.array(f2), dealt, none, none])
             value, count = np.unique(flat >> np.uint64(64 - _COUNT_BITS), return_counts=True)
             home = ((value * np.uint64(buckets)) >> np.uint64(_COUNT_BITS)).astype(np.int64)
             cut = np.searchsorted(home, np.arange(buckets + 1))
@@ -82,7 +96,7 @@ def _count_pass(buckets: int):
                 v, c = value[cut[k] : cut[k + 1]], count[cut[k] : cut[k + 1]]
                 many = c > 1
                 v, c = np.concatenate((v[many], v[~many])), c[many].astype(np.uint32)
-                rows.append((k, np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), c.tobytes()))
+                rows.append((k, (v - np.uint64(_bucket_start(k, buckets))).astype(np.uint32).tobytes(), c.tobytes()))
             n = len(rows)
             null = pa.nulls(n, pa.int64())
             yield _batch([null, null, null, null, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())])
@@ -94,17 +108,35 @@ def _batch(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "bucket", "tokens", "counts"])
 
 
-def _reduce(buckets: int, bits: int, min_heavy: int):
-    """Sums a bucket's counts; gives its heavy shingles and its slice of the bitmap."""
+_COUNTED = "doc_id long, n long, f1 long, f2 long, slots binary, heavy array<long>, held array<long>"
+
+
+def _slots(value: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Places of shingles in their bucket's slice of the filter, by double hashing."""
+    first = mix(value + np.uint64(0x5851F42D4C957F2D))
+    step = (first >> np.uint64(32)) | np.uint64(1)
+    for _ in range(_PROBES):
+        yield (first % np.uint64(width)).astype(np.int64)
+        first = first + step
+
+
+def _reduce(buckets: int, width: int, min_heavy: int):
+    """Sums a bucket's counts; gives its heavy shingles and its slice of the filter, and passes on the documents dealt to it."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         k = key[0].as_py()
+        counts = pa.compute.is_valid(table.column("tokens"))
+        docs = table.filter(pa.compute.invert(counts)).select(["doc_id", "n", "f1", "f2"])
+        table = table.filter(counts)
+        longs = pa.list_(pa.int64())
+        for name, kind in (("slots", pa.binary()), ("heavy", longs), ("held", longs)):
+            docs = docs.append_column(name, pa.nulls(docs.num_rows, kind))
+        if not table.num_rows:
+            return docs
         parts, sums = [], []
         for t, c in zip(table.column("tokens").to_pylist(), table.column("counts").to_pylist()):
-            raw = np.zeros((len(t) // 5, 8), dtype=np.uint8)
-            raw[:, :5] = np.frombuffer(t, dtype=np.uint8).reshape(-1, 5)
-            parts.append(raw.reshape(-1).view(np.uint64))
-            one = np.ones(len(raw), dtype=np.uint32)
+            parts.append(np.frombuffer(t, dtype=np.uint32).astype(np.uint64) + np.uint64(_bucket_start(k, buckets)))
+            one = np.ones(len(parts[-1]), dtype=np.uint32)
             many = np.frombuffer(c, dtype=np.uint32)
             one[: len(many)] = many
             sums.append(one)
@@ -113,9 +145,13 @@ def _reduce(buckets: int, bits: int, min_heavy: int):
         value, count = value[order], count[order]
         first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
         value, count = value[first], np.add.reduceat(count.astype(np.int64), first)
-        slot = np.unique(value[count > 1] >> np.uint64(_COUNT_BITS - bits)).astype(np.uint32)
+        flags = np.zeros(width, dtype=bool)
+        for slot in _slots(value[(count > 1) & (value < _FILTERED)], width):
+            flags[slot] = True
         heavy = count >= min_heavy
-        return pa.table({"slots": pa.array([slot.tobytes()], pa.binary()), "value": pa.array([value[heavy].astype(np.int64)]), "count": pa.array([count[heavy]])})
+        one = pa.nulls(1, pa.int64())
+        found = pa.table([pa.array([k]), one, one, one, pa.array([np.packbits(flags).tobytes() if _bucket_start(k, buckets) < _FILTERED else b""], pa.binary()), pa.array([value[heavy].astype(np.int64)], longs), pa.array([count[heavy]], longs)], names=docs.column_names)
+        return pa.concat_tables([docs, found])
 
     return run
 
@@ -123,8 +159,8 @@ def _reduce(buckets: int, bits: int, min_heavy: int):
 class ShingleOrder:
     """The total order of shingles, and which of them occur more than once."""
 
-    def __init__(self, heavy: np.ndarray, counts: np.ndarray, bitmap: np.ndarray, bits: int):
-        self.heavy, self.counts, self.bitmap, self.bits = heavy, counts, bitmap, bits
+    def __init__(self, heavy: np.ndarray, counts: np.ndarray, filter_: np.ndarray, buckets: int, width: int):
+        self.heavy, self.counts, self.filter, self.buckets, self.width = heavy, counts, filter_, buckets, width
 
     def count(self, flat: np.ndarray) -> np.ndarray:
         """Corpus count of heavy shingles, 0 for others."""
@@ -135,8 +171,19 @@ class ShingleOrder:
         return np.where(self.heavy[at] == short, self.counts[at], 0)
 
     def repeated(self, flat: np.ndarray) -> np.ndarray:
-        slot = (flat >> np.uint64(64 - self.bits)).astype(np.int64)
-        return (self.bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+        """Whether they may occur twice: all in the upper half of hashes, where few prefixes reach, and those that the filter has."""
+        value = flat >> np.uint64(64 - _COUNT_BITS)
+        found = value >= _FILTERED
+        found[~found] = self._held(value[~found])
+        return found
+
+    def _held(self, value: np.ndarray) -> np.ndarray:
+        start = ((value * np.uint64(self.buckets)) >> np.uint64(_COUNT_BITS)).astype(np.int64) * self.width
+        found = np.ones(len(value), dtype=bool)
+        for slot in _slots(value, self.width):
+            slot += start
+            found &= (self.filter[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+        return found
 
 
 def _lengthen(cost: np.ndarray, base: int) -> int:
@@ -147,11 +194,9 @@ def _lengthen(cost: np.ndarray, base: int) -> int:
     bound at most that sum divided by l partners share l of its shingles and
     must be verified.
     """
-    listed = np.cumsum(cost)[base - 1 : base - 1 + _MAX_ELL].astype(np.float64)
-    if listed[0] == 0:
-        return 1
-    ell = np.arange(1, len(listed) + 1)
-    return int(ell[np.argmin(listed * (1 + _VERIFY_COST / ell))])
+    ell = np.arange(_MIN_ELL, _MAX_ELL + 1)
+    listed = np.cumsum(cost)[np.minimum(base - 2 + ell, len(cost) - 1)].astype(np.float64)
+    return _MIN_ELL if listed[0] == 0 else int(ell[np.argmin(listed * (1 + _VERIFY_COST / ell))])
 
 
 def _prefix_pass(order, percent: int):
@@ -172,11 +217,13 @@ def _prefix_pass(order, percent: int):
                 if c.any():
                     ranks = np.argsort(c, kind="stable")  # sets are sorted by hash already
                     c = c[ranks]
-                ell = _lengthen(c, base)
+                # no pair shares fewer than ceil(percent n) shingles, so that is the most it can be asked for
+                need = -(-percent * n // 100)
+                ell = min(_lengthen(c, base), need)
                 take = min(n, base + ell - 1)
                 mine = flat[a:b] if ranks is None else flat[a:b][ranks]
                 pos = np.flatnonzero(twice[a : a + take] if ranks is None else twice[a:b][ranks[:take]])
-                if len(pos) >= min(ell, 1):
+                if len(pos) >= min(_MIN_ELL, -(-percent * need // 100)):  # what its least partner may ask for
                     rows.append((doc, n, ell, mine[pos].view(np.int64), pos.astype(np.int32), flat[a:b].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -194,20 +241,26 @@ def _prefix_pass(order, percent: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct (x, y), those that link."""
+    """Of distinct (x, y), those that link, written."""
+    pairs = cut_lineage(pairs, "shingle-pairs")
+    ends = cut_lineage(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "shingle-ends")
+    sets = sets.join(F.broadcast(ends) if ends.count() <= _MAX_ENDS else ends, "cls", "left_semi")
     left = sets.select(F.col("cls").alias("x"), F.col("members").alias("mx"))
     right = sets.select(F.col("cls").alias("y"), F.col("members").alias("my"))
     both = pairs.join(left, "x").join(right, "y")
     shared = F.size(F.array_intersect("mx", "my"))
-    return both.where(100 * shared >= percent * (F.size("mx") + F.size("my") - shared)).select("x", "y")
+    links = both.where(100 * shared >= percent * (F.size("mx") + F.size("my") - shared)).select("x", "y")
+    links = cut_lineage(links, "shingle-links")
+    drop(pairs, ends)
+    return links
 
 
 def link_classes(
     docs: DataFrame,
     percent: int = 80,
     min_heavy: int = 32,
-    max_heavy: int = 1 << 21,
-    bitmap_bits: int = 28,
+    max_heavy: int = 1 << 20,
+    filter_bits: int = 27,
 ) -> tuple[DataFrame, DataFrame]:
     """``(documents, links)`` of the join.
 
@@ -215,35 +268,31 @@ def link_classes(
     for empty sets); links: ``id, component`` of the classes that are linked
     with other classes.
 
-    ``max_heavy`` (entries of 12 bytes) and ``bitmap_bits`` (2**bits bits) fix
+    ``max_heavy`` (entries of 16 bytes) and ``filter_bits`` (2**bits bits) fix
     the size of what is sent to each executor; past it the join stays exact and
     only lists more candidates.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(bitmap_bits, _COUNT_BITS)
-    seen = cut_lineage(text.mapInArrow(_count_pass(buckets), _PASS_1), "shingle-counts")
-
-    reduced = (
-        seen.where("bucket is not null")
-        .select("bucket", "tokens", "counts")
-        .groupBy("bucket")
-        .applyInArrow(_reduce(buckets, bits, min_heavy), "slots binary, value array<long>, count array<long>")
-    )
-    bitmap = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    buckets = max(300, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    width = max(8, 2 * (1 << filter_bits) // buckets // 8 * 8)  # buckets of the upper half have no slice
+    counted = text.mapInArrow(_count_pass(buckets), _PASS_1).groupBy("bucket").applyInArrow(_reduce(buckets, width, min_heavy), _COUNTED)
+    counted = cut_lineage(counted, "shingle-counts")
+    filter_ = np.zeros((buckets // 2 + 1) * width // 8, dtype=np.uint8)
     values, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    for row in reduced.toLocalIterator(prefetchPartitions=True):
-        slot = np.frombuffer(row.slots, dtype=np.uint32)
-        np.bitwise_or.at(bitmap, slot >> 3, (np.uint8(1) << (slot & 7).astype(np.uint8)))
-        values.append(np.array(row.value, dtype=np.int64).view(np.uint64))
-        counts.append(np.array(row["count"], dtype=np.int64))
+    for row in counted.where("slots is not null").select("doc_id", "slots", "heavy", "held").toLocalIterator():
+        at = row.doc_id * width // 8  # such a row has its bucket there
+        if len(row.slots):
+            filter_[at : at + width // 8] = np.frombuffer(row.slots, dtype=np.uint8)
+        values.append(np.array(row.heavy, dtype=np.int64).view(np.uint64))
+        counts.append(np.array(row.held, dtype=np.int64))
         if sum(map(len, values)) > 2 * max_heavy:
             values, counts = _most(values, counts, max_heavy)
     (value,), (count,) = _most(values, counts, max_heavy)
-    order = spark.sparkContext.broadcast(ShingleOrder(value, count, bitmap, bits))
+    order = spark.sparkContext.broadcast(ShingleOrder(value, count, filter_, buckets, width))
 
-    every = seen.where("bucket is null").select("doc_id", "n", "f1", "f2")
+    every = counted.where("slots is null").select("doc_id", "n", "f1", "f2")
     same = ["n", "f1", "f2"]
     classes = every.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("cls"))
     classes = cut_lineage(classes, "shingle-classes")
@@ -261,17 +310,31 @@ def link_classes(
     posts = cut_lineage(posts.join(stats.select("tok", "pivot"), "tok"), "shingle-posts")
 
     sizes = classes.select(F.col("cls").alias("y"), F.col("n").alias("ny"))
-    star = posts.where("cls <> pivot").select(F.col("cls").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("nx")).distinct()
-    star = star.join(sizes, "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select("x", "y")
-    first = cut_lineage(_verify(star, sets, percent), "shingle-links")
+    star = posts.where("cls <> pivot").groupBy(F.col("cls").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("votes"), F.max("n").alias("nx"))
+    star = star.join(sizes, "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    # the pivot of most of a document's lists; other links are left to step 5
+    star = star.groupBy("x").agg(F.max_by("y", F.col("votes") * (1 << 40) + F.xxhash64("y").bitwiseAND(F.lit((1 << 40) - 1))).alias("y"))
+    first = _verify(star, sets, percent)
     joined = cut_lineage(connected_components(first, "x", "y"), "shingle-parts")
 
     rest = _remaining(posts, joined, percent)
-    second = cut_lineage(_verify(rest, sets, percent), "shingle-links")
-    links = connected_components(first.union(second), "x", "y")
+    second = _verify(rest, sets, percent)
+    links = cut_lineage(_merged(joined, second), "shingle-links")
+    drop(lists, posts, joined, first, second)
+    order.destroy()
     return documents, links
 
 
+def _merged(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links, which are first brought to components: few if pivots have found most."""
+    part = lambda side: joined.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    over = more.join(part("x"), "x", "left").join(part("y"), "y", "left").select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))
+    again = connected_components(over, "a", "b").select(F.col("id").alias("part"), F.col("component").alias("least"))
+    new = over.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("component"))
+    all_ = joined.union(new.join(joined.select("id"), "id", "left_anti"))
+    return all_.join(again, F.col("component") == F.col("part"), "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def _most(values: list[np.ndarray], counts: list[np.ndarray], limit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     value, count = np.concatenate(values), np.concatenate(counts)
     if len(value) > limit:
@@ -306,7 +369,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, **options) -> DataFra
     """One row per document: ``doc_id, n_shingles, component_id``."""
     documents, links = link_classes(docs, percent, **options)
     out = documents.join(links, documents.cls == links.id, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cls", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm._text import as_bytes, slices
+from lumenframe.llm._text import as_bytes, slices, small_batches
 from lumenframe.llm._tokenizer import load
 from lumenframe.storage import cut_lineage, new_path
 
@@ -152,6 +152,7 @@ def _write_pass(root: str, vocabulary: str, end_id: int, shard_ids: int):
 
 def write_tokens(docs: DataFrame, root: str, vocabulary: str, end_id: int = 2, shard_ids: int = 1 << 21) -> DataFrame:
     """Write shards below ``root`` in ascending doc_id order; returns the manifest ``name, n_docs, n_ids, start``."""
+    small_batches(docs)
     store, folder = _file(root)
     store.create_dir(folder)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm._gbt import Trees, fit
 from lumenframe.llm._stats import FEATURES, features
-from lumenframe.llm._text import as_bytes, slices
+from lumenframe.llm._text import as_bytes, slices, small_batches
 
 FOLDS = 5
 
@@ -39,6 +39,7 @@ def _feature_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 20_000, **options) -> Trees:
     """Fit on at most ``max_train`` labelled rows outside the held-out fold."""
+    small_batches(docs)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -65,6 +66,7 @@ def _score_pass(model, threshold: float):
 
 def score(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_score_pass(sent, threshold), "doc_id long, held_out boolean, score double, predicted int")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm._stats import base_rules
-from lumenframe.llm._text import as_bytes, slices
+from lumenframe.llm._text import as_bytes, slices, small_batches
 from lumenframe.storage import cut_lineage
 
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else 48 if 48 <= x <= 57 else x for x in range(256))
@@ -117,6 +117,7 @@ def quality_rules(
     executors; more of them reach their documents by joins.
     """
     names = ["doc_id"] if columns is None else columns
+    small_batches(docs)
     spark = docs.sparkSession
     often = cut_lineage(frequent_lines(docs, share, min_docs), "frequent-lines")
     inner = docs.select(*[F.col(x).alias(f"__c{i}") for i, x in enumerate(names)], F.col("text").cast("string").alias("__text"), F.col("source").cast("string").alias("__source"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm._text import as_bytes, slices
+from lumenframe.llm._text import as_bytes, slices, small_batches
 from lumenframe.llm._tokenizer import WordEncoder, load
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -96,5 +96,6 @@ def _count_pass(path: str, chunk_chars: int, overlap: int, limit: int):
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk_chars: int = 16384, overlap: int = 512) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each row; texts over ``chunk_chars`` bytes are cut."""
+    small_batches(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return text.mapInArrow(_count_pass(vocabulary, chunk_chars, overlap, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
