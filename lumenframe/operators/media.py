@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.catalog import CORRUPTED, DUPLICATES, NO_FACES, Catalog, UnknownAction
 from lumenframe.functions import text as T
+from lumenframe.storage import cut_lineage
 
 SOUND = "coalesce(is_corrupted, 0) = 0"
 
@@ -100,17 +101,20 @@ def seek_media(rows: DataFrame, last_date: str | None, last_path: str | None = N
 def media_page(c: Catalog, cluster_id: int | None = None, limit: int = 100, offset: int = 0, last_date: str | None = None, last_path: str | None = None, include_trash: bool = False, **filters) -> DataFrame:
     """One page of twelve columns.
 
-    The page's keys are ranked on narrow rows; flags and tags, which need whole
-    groups and all faces, are joined to the page alone.
+    The page is ranked and written once, so the three parts below read its few
+    rows instead of ranking again; flags and tags, which need whole groups and
+    all faces, are computed for the page alone.
     """
     rows = seek_media(filter_media(c, cluster_id, include_trash=include_trash, **filters), last_date, last_path)
-    page = rows.orderBy(*page_order(cluster_id)).limit(limit + offset) if not offset else rows.orderBy(*page_order(cluster_id)).offset(offset).limit(limit)
-    of_page = c.media.join(F.broadcast(page.where("group_id is not null").select("group_id").distinct()), "group_id", "left_semi")  # at most a page of rows
-    flags = duplicate_flag(of_page, include_trash).select("path_key", "is_duplicate")
-    few = F.broadcast(page.select("path_key"))
-    tags = person_tags(c.having(faces=c.faces.join(few, "path_key", "left_semi")))
-    out = page.join(flags, "path_key", "left").join(tags, "path_key", "left")
-    return out.withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(0))).select(*PAGE)
+    rows = rows.orderBy(*page_order(cluster_id))
+    page = cut_lineage((rows.offset(offset) if offset else rows).limit(limit).select("path_key", *[x for x in PAGE if x not in ("is_duplicate", "tags")]), "page")
+    groups = F.broadcast(page.where("group_id is not null").select("group_id").distinct())  # at most a page of rows
+    seen = F.lit(True) if include_trash else F.col("is_in_trash") == 0
+    members = c.media.join(groups, "group_id", "left_semi").groupBy("group_id").agg(F.count_if(seen).alias("members"))
+    tags = person_tags(c.having(faces=c.faces.join(F.broadcast(page.select("path_key")), "path_key", "left_semi")))
+    others = F.col("members") - seen.cast("int") > 0
+    out = page.join(F.broadcast(members), "group_id", "left").join(F.broadcast(tags), "path_key", "left")  # a row per group and file of the page
+    return out.withColumn("is_duplicate", F.when(others, 1).otherwise(0)).select(*PAGE)
 
 
 def page_result(page: DataFrame, limit: int, date: str = "capture_date", key: str = "file_path") -> DataFrame:
