@@ -6,6 +6,9 @@ so a stage restarts from files whichever executor is lost.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +17,7 @@ from lumenframe.llm.ngram_join import keep_one
 from lumenframe.llm.packed_tokens import token_file_digest
 from lumenframe.llm.quality_rules import apply_quality_rules
 from lumenframe.llm.source_mix import mixed_documents
-from lumenframe.storage import cut_lineage
+from lumenframe.storage import cut_lineage, scratch
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -44,12 +47,23 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_file_digest(docs, public_tokenizers.path(VOCABULARY))
 
 
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, before which the last stage's working files go: its result has been written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scratch(spark, "pipeline"):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("mixing", mixing),
-    ("token_files", token_files),
+    ("quality_rules", _tidy(quality)),
+    ("near_duplicates", _tidy(near_duplicates)),
+    ("decontamination", _tidy(decontamination)),
+    ("mixing", _tidy(mixing)),
+    ("token_files", _tidy(token_files)),
 ]
 
 #: The stages are hashing, graph and tokenizer code that SQL can't express; tests hold them against brute force.

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.storage import cut_lineage
+from lumenframe.storage import cut_lineage, drop
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 3
@@ -61,10 +61,10 @@ def fair_queue(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = (
     lead = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     base = docs.select(*[F.col(x).alias(f"c_{x}") for x in columns], F.col("doc_id").alias("id"), F.col("source"), lead.alias("place"), size.alias("size"))
-    base = cut_lineage(base, "mix-sizes")
-    buckets = max(1, -(-base.count() // rows_per_bucket))
+    sizes = cut_lineage(base, "mix-sizes")
+    buckets = max(1, -(-sizes.count() // rows_per_bucket))
     spread = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("long")
-    base = base.withColumn("bucket", spread)
+    base = sizes.withColumn("bucket", spread)
     sums = cut_lineage(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     targets = _targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +74,10 @@ def fair_queue(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = (
     inside = Window.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = base.withColumn("inside", F.sum("size").over(inside))
     joined = rows.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source and r.bucket = s.bucket"))
-    return joined.select(*[f"c_{x}" for x in columns], "place", "id", "size", "source_size", "target", (F.col("before") + F.col("inside")).alias("upto"))
+    queue = joined.select(*[f"c_{x}" for x in columns], "place", "id", "size", "source_size", "target", (F.col("before") + F.col("inside")).alias("upto"))
+    queue = cut_lineage(queue, "mix-queue")
+    drop(sizes, sums)
+    return queue
 
 
 def _finish(turn: int) -> Column:
@@ -113,7 +116,7 @@ def _cut(queue: DataFrame, budget: int) -> tuple[float, str, int] | None:
 def mix_sources(docs: DataFrame, columns: list[str] | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
     """``columns`` (``doc_id`` if not given) of each row with ``size, source_size, target, copies, taken``."""
     names = ["doc_id"] if columns is None else columns
-    queue = cut_lineage(fair_queue(docs, names, weights, seed), "mix-queue")
+    queue = fair_queue(docs, names, weights, seed)
     budget = queue.agg(F.sum("size")).first()[0] or 0
     cut = _cut(queue, budget)
     served = F.lit(0)
@@ -132,6 +135,16 @@ def mix_sources(docs: DataFrame, columns: list[str] | None = None, weights: tupl
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``, each row as often as the mix takes it."""
-    taken = mix_sources(docs, columns=docs.columns, **options).where("copies > 0")
-    return taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The columns of ``docs``, each row as often as the mix takes it.
+
+    The mix works on keys; texts are shuffled once, to meet their number of
+    copies.  Rows that are equal in all columns share what they get.
+    """
+    every = [F.col(x) for x in docs.columns]
+    key = ["__mix_a", "__mix_b"]
+    keyed = docs.withColumns({key[0]: F.xxhash64(*every), key[1]: F.hash(*every)})
+    taken = mix_sources(keyed, columns=key, **options).groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    met = keyed.join(taken, key).withColumn("__no", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    times = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__no") <= F.col("__copies") % F.col("__rows")).cast("long")
+    met = met.withColumn("__times", times.cast("int")).where("__times > 0")
+    return met.withColumn("__again", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
