@@ -82,5 +82,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def _shingles(table: str, key: str, name: str) -> str:
+    """Distinct five-word shingles of a table's texts, as a CTE; fewer words make one."""
+    folded = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""{name}_w AS (SELECT {key}, regexp_extract_all({folded}, '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+{name} AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i : i + 4], chr(31))) WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END) AS shingle FROM {name}_w)"""
+
+
+OP1_SQL = f"""WITH RECURSIVE {_shingles("documents", "doc_id", "s")},
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+held AS (SELECT shingle FROM s GROUP BY 1 HAVING count(*) > 1),
+h AS (SELECT s.* FROM s JOIN held USING (shingle)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM h a JOIN h b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT x AS id, x AS other FROM edges UNION SELECT r.id, e.y FROM reach r JOIN edges e ON r.other = e.x),
+parts AS (SELECT id, min(other) AS component FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(p.component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN parts p ON p.id = d.doc_id"""
+
+OP4_SQL = f"""WITH {_shingles("documents", "doc_id", "s")}, {_shingles("benchmark", "item_id", "b")},
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1),
+m AS (SELECT s.doc_id, b.item_id, count(*) AS n_shared FROM s JOIN b ON s.shingle = b.shingle GROUP BY 1, 2)
+SELECT doc_id, m.item_id, n_shared, n_item, n_shared::DOUBLE / n_item::DOUBLE AS containment FROM m JOIN n ON m.item_id = n.item_id WHERE 100 * n_shared >= 80 * n_item"""
+
+OP8_SQL = """WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * CAST(sum(size) AS BIGINT) AS cap FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER w AS stop, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS caps,
+  CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest FROM s WINDOW w AS (ORDER BY cap::DOUBLE / weight::DOUBLE, source NULLS LAST)),
+f AS (SELECT * FROM o WHERE cap * rest >= weight * (total - caps) ORDER BY stop LIMIT 1),
+t AS (SELECT o.source, o.source_size, CASE WHEN o.stop < f.stop THEN o.cap::DOUBLE ELSE o.weight::DOUBLE * (f.total - f.caps)::DOUBLE / f.rest::DOUBLE END AS target FROM o, f),
+q AS (SELECT d.*, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, place, size, (source_size * k + upto)::DOUBLE / target AS v FROM q, range(0, 3) r(k) WHERE size > 0),
+e AS (SELECT doc_id, size, coalesce(sum(size) OVER (ORDER BY v, place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM c),
+k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM e WHERE spent < (SELECT sum(size) FROM d) GROUP BY 1)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken FROM q LEFT JOIN k ON q.doc_id = k.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators whose full rows SQL gives; the tests hold the others against brute force."""
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_source_mix": OP8_SQL}
