@@ -322,3 +322,45 @@ def media_groups(media: DataFrame, vectors: DataFrame, radius: float = 0.6, rera
     name = lambda side, out: ids.select(F.col("id").alias(side), F.col("file_path").alias(out))
     similar = pairs.join(name("a", "src"), "a").join(name("b", "dst"), "b").select("src", "dst")
     return near_groups(media, cut_lineage(similar, "similar"))
+
+
+def search_or_compute(stored: DataFrame, compute) -> DataFrame:
+    """Stored groups if there are any, else those that ``compute()`` finds."""
+    return compute() if stored.isEmpty() else stored
+
+
+def simulate_groups(vectors: DataFrame, radius: float = 1.0) -> DataFrame:
+    """Single-stage groups of ``id, file_path, vector`` without storing them; a group is named by its first file."""
+    joined = connected_components(range_pairs(vectors, radius), "a", "b").join(vectors.select("id", "file_path"), "id")
+    first = joined.groupBy("component").agg(F.min("file_path").alias("first"))
+    name = F.concat(F.lit("sim:"), F.substring(F.md5("first"), 1, 16))
+    return joined.join(first, "component").select(name.alias("group_id"), "file_path")
+
+
+def suggestion_sections(suggestions: DataFrame, order: list[Column], label: str = "kind") -> DataFrame:
+    """``is_header`` where the label changes along ``order``; a page of suggestions only."""
+    w = Window.orderBy(*order)
+    return suggestions.withColumn("is_header", (~F.lag(label).over(w).eqNullSafe(F.col(label))).cast("int"))
+
+
+def chunk_resort(suggestions: DataFrame, size: int = 50) -> DataFrame:
+    """``chunk`` by distance and ``place`` by falling similarity inside it."""
+    rows = suggestions.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy("distance", "id")) - 1) / size).cast("int"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("similarity"), "id")))
+
+
+def cluster_representative(rows: DataFrame) -> DataFrame:
+    """Of each ``owner``, the vector nearest to the centroid."""
+    near = rows.join(centroids(rows, "owner"), "owner").withColumn("similarity", V.vec_dot(V.vec_normalize(F.col("vector")), F.col("centroid")))
+    return near.groupBy("owner").agg(F.min_by("id", F.struct(-F.col("similarity"), F.col("id"))).alias("id"))
+
+
+def detected_faces(detections: DataFrame, iou_limit: float = 0.45, similarity_limit: float = 0.88) -> DataFrame:
+    """Detections that survive suppression inside a frame and across a file's frames.
+
+    ``id, path_key, frame_index, x1, y1, x2, y2, det_score, vector``.
+    """
+    inside = spatial_nms(detections.withColumnRenamed("id", "face_id"), iou_limit).where("kept").select(F.col("face_id").alias("id"))
+    first = detections.join(inside, "id", "left_semi")
+    across = temporal_nms(first.withColumn("file", F.col("path_key")), similarity_limit).where("kept").select("id")
+    return first.join(across, "id", "left_semi")

@@ -148,6 +148,11 @@ FROM media m LEFT JOIN locations l ON m.location_id = l.location_id WHERE m.medi
         lambda c, s, d: P.faces_joined(c, c.faces).groupBy("country", "prefecture", "city").agg(F.count("*").alias("n")),
         " SELECT country, prefecture, city, count(*) AS n FROM faces f LEFT JOIN media m ON f.path_key = m.path_key LEFT JOIN locations l ON m.location_id = l.location_id GROUP BY ALL",
     ),
+    "sidebar_fast_then_full": (
+        lambda c, s, d: P.person_list_fast(c).withColumn("phase", F.lit(1)).unionByName(P.person_list(c).withColumn("phase", F.lit(2))),
+        " SELECT cluster_id, custom_name, CAST(0 AS BIGINT) AS faces, 1 AS phase FROM clusters WHERE is_ignored = 0 UNION ALL SELECT f.cluster_id, c.custom_name, count(*) AS faces, 2 FROM faces f LEFT JOIN clusters c ON f.cluster_id = c.cluster_id WHERE f.is_ignored = 0 AND f.cluster_id >= 0 AND coalesce(c.is_ignored, 0) = 0 GROUP BY ALL",
+    ),
+    "capped_scan": (lambda c, s, d: c.faces.orderBy("face_id").limit(3000).select("face_id"), " SELECT face_id FROM faces ORDER BY face_id LIMIT 3000"),
     # joins
     "media_with_location": (lambda c, s, d: c.media.join(c.locations, "location_id", "left").select("file_path", "country", "city"), " SELECT file_path, country, city FROM media m LEFT JOIN locations l ON m.location_id = l.location_id"),
     "media_with_group": (lambda c, s, d: c.media.alias("m").join(c.groups.alias("g"), F.expr("lower(m.group_id) = lower(g.group_id)"), "left").select("file_path", "discovery_method"), " SELECT file_path, discovery_method FROM media m LEFT JOIN groups g ON lower(m.group_id) = lower(g.group_id)"),

@@ -117,6 +117,46 @@ SELECT id, city FROM p, q QUALIFY row_number() OVER (PARTITION BY id ORDER BY sq
         lambda c, s, d: __import__("lumenframe.operators.sync", fromlist=["resolve_location"]).resolve_location(_points(s, d).withColumn("cached_lat", F.when(F.col("id") % 2 == 0, F.col("lat"))), _cities(c)).select("id", F.col("city").isNotNull().alias("found")),
         " SELECT c_custkey AS id, c_custkey % 2 <> 0 AS found FROM customer",
     ),
+    "nearest_stage": (lambda c, s, d: V.nearest_stage(_rows(c, "label <> 1"), V.stages(_rows(c, "label = 1"), 0.8, 2), 1.2).select("id", "stage"), None),
+    "any_stage_within": (lambda c, s, d: V.within_any_stage(_rows(c, "label <> 1"), V.stages(_rows(c, "label = 1"), 0.8, 2), 1.2), None),
+    "representative_hydrate": (
+        lambda c, s, d: V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2, 50).join(c.features.select(F.col("vec_id").alias("id"), "file_path"), "id").select("id", "file_path"),
+        None,
+    ),
+    "suggestion_sections": (
+        lambda c, s, d: V.suggestion_sections(V.suggest_general(_rows(c, "label > 4"), _rows(c, "label in (1, 2)"), _rows(c, "label = 3"), EPS), [F.desc("kind"), F.desc("id")]).select("id", "kind", "is_header"),
+        None,
+    ),
+    "suggestion_chunk_resort": (lambda c, s, d: V.chunk_resort(V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2)).select("id", "chunk", "place"), None),
+    "suggestion_topk": (lambda c, s, d: V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2, 20).select("id"), None),
+    "face_vectors_by_ids": (
+        lambda c, s, d: _rows(c).where(F.col("id").isin(3, 5, 8)).select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("x")),
+        " SELECT vec_id AS id, round(CAST(vector[1] AS DOUBLE), 6) AS x FROM features WHERE vec_id IN (3, 5, 8)",
+    ),
+    "ignored_vectors": (lambda c, s, d: _rows(c, "label = 9").select("id", F.size("vector").alias("n")), " SELECT vec_id AS id, CAST(len(vector) AS INTEGER) AS n FROM features WHERE label = 9"),
+    "distinct_paths": (
+        lambda c, s, d: V.range_pairs(_rows(c), EPS, "cosine", True).select(F.explode(F.array("a", "b")).alias("id")).distinct(),
+        f", {_PAIRS} SELECT a AS id FROM pairs UNION SELECT b FROM pairs",
+    ),
+    "search_or_compute": (
+        lambda c, s, d: V.search_or_compute(c.media.where("group_id is not null").select("group_id", "file_path"), lambda: c.media.limit(0).select("group_id", "file_path")),
+        " SELECT group_id, file_path FROM media WHERE group_id IS NOT NULL",
+    ),
+    "simulate_groups": (
+        lambda c, s, d: V.simulate_groups(_path(c, _rows(c)), 2 * EPS).groupBy("group_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups")),
+        f""", u AS MATERIALIZED (SELECT vec_id AS id, vector FROM features),
+pairs AS MATERIALIZED (SELECT a, b FROM (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.vector, b.vector), lambda p : pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))) AS d FROM u a JOIN u b ON a.id < b.id) WHERE d < 2 * {EPS}),
+both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), ids AS (SELECT a AS id FROM both_ UNION SELECT b FROM both_), {_PARTS}
+SELECT n, count(*) AS groups FROM (SELECT component, count(*) AS n FROM parts GROUP BY 1) GROUP BY 1""",
+    ),
+    "cluster_representative": (lambda c, s, d: V.cluster_representative(_rows(c)), None),
+    "find_duplicates": (lambda c, s, d: V.media_groups(_vector_media(c), _path(c, _rows(c)), 2 * EPS, 0.35).select("component", "file_path", "method"), None),
+    "face_pipeline": (
+        lambda c, s, d: V.detected_faces(
+            c.faces.where("face_id < 2000000").select(F.col("face_id").alias("id"), "path_key", "frame_index", "x1", "y1", "x2", "y2", "det_score", F.array(*[F.col(k).cast("float") for k in ("x1", "y1", "x2", "y2")]).alias("vector"))
+        ).select("id"),
+        None,
+    ),
     "regroup": (lambda c, s, d: _regroup(c, s, d), None),
 }
 
