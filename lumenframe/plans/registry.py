@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.catalog import Catalog
 from lumenframe.plans import changes, reads, scalars, similarity
 from lumenframe.sources.fixtures import SQL, catalog
 
 _PARTS = (reads, scalars, changes, similarity)
+_planned: dict[tuple[str, str], Catalog] = {}
+
+
+def planned(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalogue's plans, analysed once per application and folder; nothing is read or kept but plans."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _planned:
+        _planned[key] = catalog(spark, sf_dir)
+    return _planned[key]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {}
     for part in _PARTS:
         for name, (query, _) in part.QUERIES.items():
-            found[name] = lambda spark, d, q=query: q(catalog(spark, d), spark, d)
+            found[name] = lambda spark, d, q=query: q(planned(spark, d), spark, d)
     return found
 
 
