@@ -35,19 +35,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(hubs).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``(id, component)`` for every node that occurs in ``edges``.
 
     ``component`` is the smallest id that can be reached.  Self loops and
     repeated edges are harmless, edges with a null end are ignored, and an
-    empty list gives an empty result.
+    empty list gives an empty result.  ``rows`` is about the number of edges, if
+    it is known.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     alone = pairs.where("u = v").select(F.col("u").alias("id")).distinct()
-    now = cut_lineage(pairs.where("u <> v").distinct(), "cc")
+    now = cut_lineage(pairs.where("u <> v").distinct(), "cc", rows)
+    held = now.count()
     mark = None
     for _ in range(max_rounds):
-        last, now = now, cut_lineage(_small_star(_large_star(now)), "cc")
+        last, now = now, cut_lineage(_small_star(_large_star(now)), "cc", held)
         drop(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+ROWS_PER_FILE = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +39,16 @@ _open: dict[str, list[str]] = {}
 _scope: list[str] = []
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    What follows restarts from the files, whichever executor is lost.
+    What follows restarts from the files, whichever executor is lost.  ``rows``,
+    if the caller knows about how many there are, keeps small tables in few
+    files: one for each ROWS_PER_FILE.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     if _scope:
