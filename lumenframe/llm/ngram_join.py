@@ -16,7 +16,8 @@ five-word shingles is at least ``percent``/100.  The join is exact:
    their first ``n - ceil(0.8 n) + l`` shingles.  ``l`` is chosen for each
    document by the estimated cost of its candidates (see ``_lengthen``).  Of a
    pair with different ``l`` the lesser holds.  Shingles that only one document
-   has can't match and aren't emitted.
+   has can't match and aren't emitted; a document of which too many are its own
+   has no links at all.
 4. *Pivots.*  Each shingle's list has a pivot, the member in whose prefix it
    stands earliest.  Every document is verified against the pivot of most of
    its lists, and links are joined to components.
@@ -24,7 +25,8 @@ five-word shingles is at least ``percent``/100.  The join is exact:
    with its size alone.
 5. *The rest.*  Lists that still hold several components give all pairs of
    which the components differ and at most one is in the list's largest
-   component, if sizes and positions allow 0.8 at all; pairs that share too few prefix
+   component, if sizes, positions and the number of shingles that others have
+   allow 0.8 at all; pairs that share too few prefix
    shingles go, the others are verified.
 
 Null texts and texts without words have empty sets and link with nothing.  A
@@ -47,18 +49,16 @@ from lumenframe.operators.components import connected_components
 from lumenframe.storage import cut_lineage, drop
 
 _PASS_1 = "doc_id long, n long, f1 long, f2 long, bucket int, tokens binary, counts binary"
-_PASS_2 = "doc_id long, n long, ell int, toks array<long>, poss array<int>, members array<long>"
+_PASS_2 = "doc_id long, n long, reach long, ell int, toks array<long>, poss array<int>, members array<long>"
 #: Shingles are counted by their upper bits; two that share them are counted as one, which can change only the order.
 _COUNT_BITS = 40
 _PROBES = 4
-#: Counted values below this are in the filter.
-_FILTERED = np.uint64(1 << (_COUNT_BITS - 1))
 #: Least and most prefix shingles that a pair must share.
 _MIN_ELL, _MAX_ELL = 3, 8
 #: Up to so many ids of 8 bytes are sent to all executors, to pick the sets that verification needs.
 _MAX_ENDS = 1 << 20
-#: Cost of verifying a pair over that of listing it.
-_VERIFY_COST = 8.0
+#: Cost of verifying a pair over that of listing it; what a pair could share at most leaves few to verify.
+_VERIFY_COST = 1.0
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +146,11 @@ def _reduce(buckets: int, width: int, min_heavy: int):
         first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
         value, count = value[first], np.add.reduceat(count.astype(np.int64), first)
         flags = np.zeros(width, dtype=bool)
-        for slot in _slots(value[(count > 1) & (value < _FILTERED)], width):
+        for slot in _slots(value[count > 1], width):
             flags[slot] = True
         heavy = count >= min_heavy
         one = pa.nulls(1, pa.int64())
-        found = pa.table([pa.array([k]), one, one, one, pa.array([np.packbits(flags).tobytes() if _bucket_start(k, buckets) < _FILTERED else b""], pa.binary()), pa.array([value[heavy].astype(np.int64)], longs), pa.array([count[heavy]], longs)], names=docs.column_names)
+        found = pa.table([pa.array([k]), one, one, one, pa.array([np.packbits(flags).tobytes()], pa.binary()), pa.array([value[heavy].astype(np.int64)], longs), pa.array([count[heavy]], longs)], names=docs.column_names)
         return pa.concat_tables([docs, found])
 
     return run
@@ -171,13 +171,8 @@ class ShingleOrder:
         return np.where(self.heavy[at] == short, self.counts[at], 0)
 
     def repeated(self, flat: np.ndarray) -> np.ndarray:
-        """Whether they may occur twice: all in the upper half of hashes, where few prefixes reach, and those that the filter has."""
+        """Whether the filter has them; it never misses one that occurs twice."""
         value = flat >> np.uint64(64 - _COUNT_BITS)
-        found = value >= _FILTERED
-        found[~found] = self._held(value[~found])
-        return found
-
-    def _held(self, value: np.ndarray) -> np.ndarray:
         start = ((value * np.uint64(self.buckets)) >> np.uint64(_COUNT_BITS)).astype(np.int64) * self.width
         found = np.ones(len(value), dtype=bool)
         for slot in _slots(value, self.width):
@@ -211,30 +206,33 @@ def _prefix_pass(order, percent: int):
                 a, b = bounds[i], bounds[i + 1]
                 if a == b or doc is None:
                     continue
-                n = b - a
+                n, reach = b - a, int(twice[a:b].sum())
+                need = -(-percent * n // 100)
+                if reach < need:  # what only this document has is shared with none
+                    continue
                 base = n - (-(-percent * n // 100)) + 1
                 c, ranks = count[a:b], None
                 if c.any():
                     ranks = np.argsort(c, kind="stable")  # sets are sorted by hash already
                     c = c[ranks]
                 # no pair shares fewer than ceil(percent n) shingles, so that is the most it can be asked for
-                need = -(-percent * n // 100)
                 ell = min(_lengthen(c, base), need)
                 take = min(n, base + ell - 1)
                 mine = flat[a:b] if ranks is None else flat[a:b][ranks]
                 pos = np.flatnonzero(twice[a : a + take] if ranks is None else twice[a:b][ranks[:take]])
                 if len(pos) >= min(_MIN_ELL, -(-percent * need // 100)):  # what its least partner may ask for
-                    rows.append((doc, n, ell, mine[pos].view(np.int64), pos.astype(np.int32), flat[a:b].view(np.int64)))
+                    rows.append((doc, n, reach, ell, mine[pos].view(np.int64), pos.astype(np.int32), flat[a:b].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.int32()),
-                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[4] for r in rows], pa.list_(pa.int32())),
-                    pa.array([r[5] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[2] for r in rows], pa.int64()),
+                    pa.array([r[3] for r in rows], pa.int32()),
+                    pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[5] for r in rows], pa.list_(pa.int32())),
+                    pa.array([r[6] for r in rows], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "ell", "toks", "poss", "members"],
+                names=["doc_id", "n", "reach", "ell", "toks", "poss", "members"],
             )
 
     return run
@@ -260,7 +258,7 @@ def link_classes(
     percent: int = 80,
     min_heavy: int = 32,
     max_heavy: int = 1 << 20,
-    filter_bits: int = 27,
+    filter_bits: int = 28,
 ) -> tuple[DataFrame, DataFrame]:
     """``(documents, links)`` of the join.
 
@@ -276,15 +274,14 @@ def link_classes(
     small_batches(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(300, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    width = max(8, 2 * (1 << filter_bits) // buckets // 8 * 8)  # buckets of the upper half have no slice
+    width = max(8, (1 << filter_bits) // buckets // 8 * 8)
     counted = text.mapInArrow(_count_pass(buckets), _PASS_1).groupBy("bucket").applyInArrow(_reduce(buckets, width, min_heavy), _COUNTED)
     counted = cut_lineage(counted, "shingle-counts")
-    filter_ = np.zeros((buckets // 2 + 1) * width // 8, dtype=np.uint8)
+    filter_ = np.zeros(buckets * width // 8, dtype=np.uint8)
     values, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for row in counted.where("slots is not null").select("doc_id", "slots", "heavy", "held").toLocalIterator():
         at = row.doc_id * width // 8  # such a row has its bucket there
-        if len(row.slots):
-            filter_[at : at + width // 8] = np.frombuffer(row.slots, dtype=np.uint8)
+        filter_[at : at + width // 8] = np.frombuffer(row.slots, dtype=np.uint8)
         values.append(np.array(row.heavy, dtype=np.int64).view(np.uint64))
         counts.append(np.array(row.held, dtype=np.int64))
         if sum(map(len, values)) > 2 * max_heavy:
@@ -301,10 +298,10 @@ def link_classes(
     lists = cut_lineage(text.mapInArrow(_prefix_pass(order, percent), _PASS_2), "shingle-lists")
     ours = lists.join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = lists.select(F.col("doc_id").alias("cls"), "members")
-    posts = ours.select(F.col("doc_id").alias("cls"), "n", "ell", F.arrays_zip("toks", "poss").alias("z")).select(
-        "cls", "n", "ell", F.explode("z").alias("z")
+    posts = ours.select(F.col("doc_id").alias("cls"), "n", "reach", "ell", F.arrays_zip("toks", "poss").alias("z")).select(
+        "cls", "n", "reach", "ell", F.posexplode("z").alias("rb", "z")
     )
-    posts = posts.select("cls", "n", "ell", F.col("z.toks").alias("tok"), F.col("z.poss").alias("pos"))
+    posts = posts.select("cls", "n", "reach", "rb", "ell", F.col("z.toks").alias("tok"), F.col("z.poss").alias("pos"))
     early = F.least(F.col("pos").cast("long"), F.lit(1 << 20)) * (1 << 40) + F.xxhash64("cls").bitwiseAND(F.lit((1 << 40) - 1))
     stats = posts.groupBy("tok").agg(F.count("*").alias("held"), F.min_by("cls", early).alias("pivot")).where("held > 1")
     posts = cut_lineage(posts.join(stats.select("tok", "pivot"), "tok"), "shingle-posts")
@@ -345,17 +342,23 @@ def _most(values: list[np.ndarray], counts: list[np.ndarray], limit: int) -> tup
 
 
 def _remaining(posts: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that the pivots left."""
-    now = posts.join(joined, posts.cls == joined.id, "left").select("tok", "cls", "n", "pos", "ell", F.coalesce("component", "cls").alias("part"))
+    """Candidate pairs of different components that the pivots left.
+
+    ``reach`` counts a document's shingles that others have, ``rb`` those of
+    them before a list's own.  What two documents share is at most what both
+    can share from there on and what both could before; of a pair's first l
+    shared shingles, at most l - 1 come before.
+    """
+    now = posts.join(joined, posts.cls == joined.id, "left").select("tok", "cls", "n", "reach", "rb", "ell", F.coalesce("component", "cls").alias("part"))
     per = now.groupBy("tok", "part").agg(F.count("*").alias("held"), F.min("n").alias("least_n"))
     top = per.groupBy("tok").agg(F.max_by("part", F.col("held") * (1 << 20) + F.pmod(F.xxhash64("part"), F.lit(1 << 20))).alias("main"), F.count("*").alias("parts"), F.min("least_n").alias("least_n"))
     open_ = now.join(top.where("parts > 1").drop("parts"), "tok")
     # what stands so late that not even the list's smallest set could reach the similarity isn't compared
-    able = open_.where(f"(n - pos + ell - 1) * {100 + percent} >= {percent} * (n + least_n)")
+    able = open_.where(f"(reach - rb + least(rb, ell - 1)) * {100 + percent} >= {percent} * (n + least_n)")
     few = able.where("part <> main")
-    a = few.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "pos", "ell", "part")])
-    b = able.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "pos", "ell", "part", "main")])
-    reach = f"(least(n_a - pos_a, n_b - pos_b) + least(ell_a, ell_b) - 1) * {100 + percent} >= {percent} * (n_a + n_b)"
+    a = few.select("tok", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "reach", "rb", "ell", "part")])
+    b = able.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "reach", "rb", "ell", "part", "main")])
+    reach = f"(least(reach_a - rb_a, reach_b - rb_b) + least(rb_a, rb_b, ell_a - 1, ell_b - 1)) * {100 + percent} >= {percent} * (n_a + n_b)"
     alike = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     once = "part_b = main_b or cls_a < cls_b"
     pairs = a.join(b, "tok").where(f"part_a <> part_b and ({once}) and {alike} and {reach}")
