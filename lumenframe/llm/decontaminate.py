@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm._text import as_bytes, distinct_sets, shingles, slices, small_batches
 
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item long, containment double"
-_LOOK = 18
+_LOOK = 16
 
 
 @dataclass
@@ -104,11 +104,10 @@ def _candidates(flat: np.ndarray, at: np.ndarray, classes: list[SizeClass]) -> s
                 if len(low) > k:
                     np.minimum(window[:-k], np.where(left[:-k] > k, low[k:], window[:-k]), out=window[:-k])
             hit = np.flatnonzero(c.look[h][(window & np.uint64((1 << _LOOK) - 1)).astype(np.int64)])
-            for w in hit.tolist():
-                a = np.searchsorted(c.minima[h], window[w], "left")
-                while a < len(c.minima[h]) and c.minima[h][a] == window[w]:
-                    out.add((int(home[w]), int(c.owners[h][a])))
-                    a += 1
+            from_ = np.searchsorted(c.minima[h], window[hit], "left")
+            to = np.searchsorted(c.minima[h], window[hit], "right")
+            for k in np.flatnonzero(to > from_).tolist():
+                out.update((int(home[hit[k]]), int(i)) for i in c.owners[h][from_[k] : to[k]])
     return out
 
 
