@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm._rows import without
 from lumenframe.llm._text import as_bytes, distinct_sets, shingles, slices, small_batches
 
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item long, containment double"
@@ -156,5 +157,4 @@ def _match_block(text: DataFrame, held: list, percent: int, miss: float) -> Data
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Documents that hold no item; the rows of a doc_id stay or go together, rows without one stay."""
-    gone = contained_items(docs, items, **options).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, contained_items(docs, items, **options))

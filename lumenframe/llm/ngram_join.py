@@ -44,6 +44,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm._rows import without
 from lumenframe.llm._text import as_bytes, distinct_sets, mix, shingles, slices, small_batches
 from lumenframe.operators.components import connected_components
 from lumenframe.storage import cut_lineage, drop
@@ -382,5 +383,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     is null are kept.
     """
     found = ngram_jaccard_join(docs.select("doc_id", "text"), **options)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return without(docs, found.where("component_id < doc_id"))
