@@ -6,7 +6,7 @@ five-word shingles is at least ``percent``/100.  The join is exact:
 1. *Counts.*  One pass gives each document's set size and a 128-bit digest of
    its set, and counts shingles over the whole corpus.  Counts are summed in
    every Arrow batch before they are dealt out, so a shingle that a third of
-   all documents hold costs one entry a batch.  They leave two tables of fixed
+   all documents hold costs one entry a batch.  They leave two tables of bounded
    size: the ``max_heavy`` most frequent shingles, and a Bloom filter of
    shingles that occur more than once.
 2. *Classes.*  Documents with equal digests are one class; its smallest doc_id
@@ -53,7 +53,7 @@ _PASS_1 = "doc_id long, n long, f1 long, f2 long, bucket int, tokens binary, cou
 _PASS_2 = "doc_id long, n long, reach long, ell int, toks array<long>, poss array<int>, members array<long>"
 #: Shingles are counted by their upper bits; two that share them are counted as one, which can change only the order.
 _COUNT_BITS = 40
-_PROBES = 4
+_PROBES, _BITS_EACH = 4, 16
 #: Least and most prefix shingles that a pair must share.
 _MIN_ELL, _MAX_ELL = 3, 8
 #: Up to so many ids of 8 bytes are sent to all executors, to pick the sets that verification needs.
@@ -109,19 +109,19 @@ def _batch(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "bucket", "tokens", "counts"])
 
 
-_COUNTED = "doc_id long, n long, f1 long, f2 long, slots binary, heavy array<long>, held array<long>"
+_COUNTED = "doc_id long, n long, f1 long, f2 long, slots binary, heavy binary, held binary"
 
 
-def _slots(value: np.ndarray, width: int) -> Iterator[np.ndarray]:
+def _slots(value: np.ndarray, width: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
     """Places of shingles in their bucket's slice of the filter, by double hashing."""
     first = mix(value + np.uint64(0x5851F42D4C957F2D))
     step = (first >> np.uint64(32)) | np.uint64(1)
     for _ in range(_PROBES):
-        yield (first % np.uint64(width)).astype(np.int64)
+        yield (first % width).astype(np.int64)
         first = first + step
 
 
-def _reduce(buckets: int, width: int, min_heavy: int):
+def _reduce(buckets: int, most_bits: int, min_heavy: int):
     """Sums a bucket's counts; gives its heavy shingles and its slice of the filter, and passes on the documents dealt to it."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -129,9 +129,8 @@ def _reduce(buckets: int, width: int, min_heavy: int):
         counts = pa.compute.is_valid(table.column("tokens"))
         docs = table.filter(pa.compute.invert(counts)).select(["doc_id", "n", "f1", "f2"])
         table = table.filter(counts)
-        longs = pa.list_(pa.int64())
-        for name, kind in (("slots", pa.binary()), ("heavy", longs), ("held", longs)):
-            docs = docs.append_column(name, pa.nulls(docs.num_rows, kind))
+        for name in ("slots", "heavy", "held"):
+            docs = docs.append_column(name, pa.nulls(docs.num_rows, pa.binary()))
         if not table.num_rows:
             return docs
         parts, sums = [], []
@@ -146,12 +145,14 @@ def _reduce(buckets: int, width: int, min_heavy: int):
         value, count = value[order], count[order]
         first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
         value, count = value[first], np.add.reduceat(count.astype(np.int64), first)
+        twice = value[count > 1]
+        width = max(8, min(most_bits, max(64, _BITS_EACH * len(twice))) // 8 * 8)
         flags = np.zeros(width, dtype=bool)
-        for slot in _slots(value[count > 1], width):
+        for slot in _slots(twice, np.uint64(width)):
             flags[slot] = True
         heavy = count >= min_heavy
         one = pa.nulls(1, pa.int64())
-        found = pa.table([pa.array([k]), one, one, one, pa.array([np.packbits(flags).tobytes()], pa.binary()), pa.array([value[heavy].astype(np.int64)], longs), pa.array([count[heavy]], longs)], names=docs.column_names)
+        found = pa.table([pa.array([k]), one, one, one, pa.array([np.packbits(flags).tobytes()], pa.binary()), pa.array([value[heavy].tobytes()], pa.binary()), pa.array([count[heavy].tobytes()], pa.binary())], names=docs.column_names)
         return pa.concat_tables([docs, found])
 
     return run
@@ -160,8 +161,11 @@ def _reduce(buckets: int, width: int, min_heavy: int):
 class ShingleOrder:
     """The total order of shingles, and which of them occur more than once."""
 
-    def __init__(self, heavy: np.ndarray, counts: np.ndarray, filter_: np.ndarray, buckets: int, width: int):
-        self.heavy, self.counts, self.filter, self.buckets, self.width = heavy, counts, filter_, buckets, width
+    def __init__(self, heavy: np.ndarray, counts: np.ndarray, slices: list[bytes]):
+        self.heavy, self.counts = heavy, counts
+        self.filter = np.frombuffer(b"".join(slices), dtype=np.uint8)
+        self.width = np.array([8 * len(x) for x in slices], dtype=np.uint64)
+        self.start = np.cumsum(self.width).astype(np.int64) - self.width.astype(np.int64)
 
     def count(self, flat: np.ndarray) -> np.ndarray:
         """Corpus count of heavy shingles, 0 for others."""
@@ -174,9 +178,10 @@ class ShingleOrder:
     def repeated(self, flat: np.ndarray) -> np.ndarray:
         """Whether the filter has them; it never misses one that occurs twice."""
         value = flat >> np.uint64(64 - _COUNT_BITS)
-        start = ((value * np.uint64(self.buckets)) >> np.uint64(_COUNT_BITS)).astype(np.int64) * self.width
+        bucket = ((value * np.uint64(len(self.width))) >> np.uint64(_COUNT_BITS)).astype(np.int64)
+        start = self.start[bucket]
         found = np.ones(len(value), dtype=bool)
-        for slot in _slots(value, self.width):
+        for slot in _slots(value, self.width[bucket]):
             slot += start
             found &= (self.filter[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
         return found
@@ -239,10 +244,11 @@ def _prefix_pass(order, percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct (x, y), those that link, written."""
-    pairs = cut_lineage(pairs, "shingle-pairs")
-    ends = cut_lineage(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "shingle-ends")
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, rows: int | None = None) -> DataFrame:
+    """Of distinct (x, y), about ``rows``, those that link, written."""
+    pairs = cut_lineage(pairs, "shingle-pairs", rows)
+    n = pairs.count()
+    ends = cut_lineage(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "shingle-ends", 2 * n)
     sets = sets.join(F.broadcast(ends) if ends.count() <= _MAX_ENDS else ends, "cls", "left_semi")
     left = sets.select(F.col("cls").alias("x"), F.col("members").alias("mx"))
     right = sets.select(F.col("cls").alias("y"), F.col("members").alias("my"))
@@ -267,7 +273,7 @@ def link_classes(
     for empty sets); links: ``id, component`` of the classes that are linked
     with other classes.
 
-    ``max_heavy`` (entries of 16 bytes) and ``filter_bits`` (2**bits bits) fix
+    ``max_heavy`` (entries of 16 bytes) and ``filter_bits`` (2**bits bits) bound
     the size of what is sent to each executor; past it the join stays exact and
     only lists more candidates.
     """
@@ -275,28 +281,27 @@ def link_classes(
     small_batches(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(300, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    width = max(8, (1 << filter_bits) // buckets // 8 * 8)
-    counted = text.mapInArrow(_count_pass(buckets), _PASS_1).groupBy("bucket").applyInArrow(_reduce(buckets, width, min_heavy), _COUNTED)
+    counted = text.mapInArrow(_count_pass(buckets), _PASS_1).groupBy("bucket").applyInArrow(_reduce(buckets, (1 << filter_bits) // buckets, min_heavy), _COUNTED)
     counted = cut_lineage(counted, "shingle-counts")
-    filter_ = np.zeros(buckets * width // 8, dtype=np.uint8)
+    parts = [b"\0"] * buckets
     values, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for row in counted.where("slots is not null").select("doc_id", "slots", "heavy", "held").toLocalIterator():
-        at = row.doc_id * width // 8  # such a row has its bucket there
-        filter_[at : at + width // 8] = np.frombuffer(row.slots, dtype=np.uint8)
-        values.append(np.array(row.heavy, dtype=np.int64).view(np.uint64))
-        counts.append(np.array(row.held, dtype=np.int64))
+        parts[row.doc_id] = bytes(row.slots)  # such a row has its bucket in place of a doc_id
+        values.append(np.frombuffer(row.heavy, dtype=np.uint64))
+        counts.append(np.frombuffer(row.held, dtype=np.int64))
         if sum(map(len, values)) > 2 * max_heavy:
             values, counts = _most(values, counts, max_heavy)
     (value,), (count,) = _most(values, counts, max_heavy)
-    order = spark.sparkContext.broadcast(ShingleOrder(value, count, filter_, buckets, width))
+    order = spark.sparkContext.broadcast(ShingleOrder(value, count, parts))
 
     every = counted.where("slots is null").select("doc_id", "n", "f1", "f2")
     same = ["n", "f1", "f2"]
     classes = every.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("cls"))
-    classes = cut_lineage(classes, "shingle-classes")
+    classes = cut_lineage(classes, "shingle-classes", every.count())
     documents = every.join(classes, same, "left").select("doc_id", "n", "cls")
 
     lists = cut_lineage(text.mapInArrow(_prefix_pass(order, percent), _PASS_2), "shingle-lists")
+    listed, posted = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()
     ours = lists.join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = lists.select(F.col("doc_id").alias("cls"), "members")
     posts = ours.select(F.col("doc_id").alias("cls"), "n", "reach", "ell", F.arrays_zip("toks", "poss").alias("z")).select(
@@ -305,19 +310,19 @@ def link_classes(
     posts = posts.select("cls", "n", "reach", "rb", "ell", F.col("z.toks").alias("tok"), F.col("z.poss").alias("pos"))
     early = F.least(F.col("pos").cast("long"), F.lit(1 << 20)) * (1 << 40) + F.xxhash64("cls").bitwiseAND(F.lit((1 << 40) - 1))
     stats = posts.groupBy("tok").agg(F.count("*").alias("held"), F.min_by("cls", early).alias("pivot")).where("held > 1")
-    posts = cut_lineage(posts.join(stats.select("tok", "pivot"), "tok"), "shingle-posts")
+    posts = cut_lineage(posts.join(stats.select("tok", "pivot"), "tok"), "shingle-posts", posted)
 
     sizes = classes.select(F.col("cls").alias("y"), F.col("n").alias("ny"))
     star = posts.where("cls <> pivot").groupBy(F.col("cls").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("votes"), F.max("n").alias("nx"))
     star = star.join(sizes, "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     # the pivot of most of a document's lists; other links are left to step 5
     star = star.groupBy("x").agg(F.max_by("y", F.col("votes") * (1 << 40) + F.xxhash64("y").bitwiseAND(F.lit((1 << 40) - 1))).alias("y"))
-    first = _verify(star, sets, percent)
-    joined = cut_lineage(connected_components(first, "x", "y"), "shingle-parts")
+    first = _verify(star, sets, percent, listed)
+    joined = cut_lineage(connected_components(first, "x", "y", rows=listed), "shingle-parts", listed)
 
     rest = _remaining(posts, joined, percent)
     second = _verify(rest, sets, percent)
-    links = cut_lineage(_merged(joined, second), "shingle-links")
+    links = cut_lineage(_merged(joined, second), "shingle-links", listed)
     drop(lists, posts, joined, first, second)
     order.destroy()
     return documents, links
@@ -327,7 +332,7 @@ def _merged(joined: DataFrame, more: DataFrame) -> DataFrame:
     """Components after further links, which are first brought to components: few if pivots have found most."""
     part = lambda side: joined.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     over = more.join(part("x"), "x", "left").join(part("y"), "y", "left").select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))
-    again = connected_components(over, "a", "b").select(F.col("id").alias("part"), F.col("component").alias("least"))
+    again = connected_components(over, "a", "b", rows=more.count()).select(F.col("id").alias("part"), F.col("component").alias("least"))
     new = over.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("component"))
     all_ = joined.union(new.join(joined.select("id"), "id", "left_anti"))
     return all_.join(again, F.col("component") == F.col("part"), "left").select("id", F.coalesce("least", "component").alias("component"))
