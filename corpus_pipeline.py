@@ -43,8 +43,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token files; one row per document, read back from them."""
-    return token_file_digest(docs, public_tokenizers.path(VOCABULARY))
+    """Packed token files; one row per document, read back from them.
+
+    Workers remember fewer words than usual, as they hold what earlier stages left.
+    """
+    return token_file_digest(docs, public_tokenizers.path(VOCABULARY), memo_words=200_000)
 
 
 def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:

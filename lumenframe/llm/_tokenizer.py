@@ -32,6 +32,7 @@ class WordEncoder:
         self.ends[[i for word, i in rules["model"]["vocab"].items() if word.endswith(suffix)]] = True
         self.kind = np.uint16 if self.vocab_size <= 1 << 16 else np.uint32
         self.width = np.dtype(self.kind).itemsize
+        self.limit = MEMO_WORDS
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -79,7 +80,7 @@ class WordEncoder:
             return [self._plain(t.decode("utf-8", "surrogatepass")) for t in texts]
         # lower case is one of the vocabulary's rules; special strings have none, and texts with capitals in them are no special strings
         split = [t.lower().split() if self._folds(t) else t.split() for t in texts]
-        if len(self.now) > MEMO_WORDS:
+        if len(self.now) > self.limit:
             self.now, self.before = {}, self.now
         new = set().union(*split).difference(self.now)
         known = [w for w in new if w in self.before]

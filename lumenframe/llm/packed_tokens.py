@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm._text import as_bytes, slices, small_batches
-from lumenframe.llm._tokenizer import load
+from lumenframe.llm._tokenizer import MEMO_WORDS, load
 from lumenframe.storage import cut_lineage, new_path
 
 MAGIC, VERSION, BLOCK = b"LFPK", 1, 4096
@@ -105,9 +105,10 @@ def _file(uri: str):
     return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _write_pass(root: str, vocabulary: str, end_id: int, shard_ids: int):
+def _write_pass(root: str, vocabulary: str, end_id: int, shard_ids: int, memo_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(vocabulary)
+        encoder.limit = memo_words
         width = encoder.width
         bits = bits_for(encoder.vocab_size)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
@@ -150,7 +151,7 @@ def _write_pass(root: str, vocabulary: str, end_id: int, shard_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, root: str, vocabulary: str, end_id: int = 2, shard_ids: int = 1 << 21) -> DataFrame:
+def write_tokens(docs: DataFrame, root: str, vocabulary: str, end_id: int = 2, shard_ids: int = 1 << 21, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Write shards below ``root`` in ascending doc_id order; returns the manifest ``name, n_docs, n_ids, start``."""
     small_batches(docs)
     store, folder = _file(root)
@@ -161,7 +162,7 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, end_id: int = 2, s
     dealt = text.withColumn("tie", order[1]).repartitionByRange(order[0], F.col("tie"))
     dealt = dealt.sortWithinPartitions(order[0], "tie").select("doc_id", "text")
     schema = "part long, shard long, name string, n_docs long, n_ids long"
-    found = cut_lineage(dealt.mapInArrow(_write_pass(root, vocabulary, end_id, shard_ids), schema), "token-manifest")
+    found = cut_lineage(dealt.mapInArrow(_write_pass(root, vocabulary, end_id, shard_ids, memo_words), schema), "token-manifest")
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     return cut_lineage(found.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-manifest").select("name", "n_docs", "n_ids", "start")
 
