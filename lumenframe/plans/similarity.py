@@ -104,7 +104,7 @@ SELECT owner, CAST(max(members) AS BIGINT) AS members, round(max(x) FILTER (i =
     "ignored_stages": (lambda c, s, d: V.stages(_rows(c, "label = 9"), 0.75, 3).select("stage", "members"), None),
     "suggest_for_person": (lambda c, s, d: V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2).select("id", "stage", F.round("distance", 5).alias("distance")), None),
     "suggest_general": (lambda c, s, d: V.suggest_general(_rows(c, "label > 4"), _rows(c, "label in (1, 2)"), _rows(c, "label = 3"), EPS), None),
-    "spatial_nms": (lambda c, s, d: V.spatial_nms(c.faces.where("face_id < 2000000")).select("frame", "face_id", "kept"), None),
+    "spatial_nms": (lambda c, s, d: V.spatial_nms(c.faces).select("frame", "face_id", "kept"), None),
     "temporal_nms": (lambda c, s, d: V.temporal_nms(_rows(c).withColumn("file", F.col("id") % 50).withColumn("det_score", (F.col("id") % 13).cast("double")), 0.2), None),
     "stored_face_dedup": (lambda c, s, d: V.stored_face_dedup(c.faces), None),
     "nearest_city": (
@@ -153,7 +153,7 @@ SELECT n, count(*) AS groups FROM (SELECT component, count(*) AS n FROM parts GR
     "find_duplicates": (lambda c, s, d: V.media_groups(_vector_media(c), _path(c, _rows(c)), 2 * EPS, 0.35).select("component", "file_path", "method"), None),
     "face_pipeline": (
         lambda c, s, d: V.detected_faces(
-            c.faces.where("face_id < 2000000").select(F.col("face_id").alias("id"), "path_key", "frame_index", "x1", "y1", "x2", "y2", "det_score", F.array(*[F.col(k).cast("float") for k in ("x1", "y1", "x2", "y2")]).alias("vector"))
+            c.faces.select(F.col("face_id").alias("id"), "path_key", "frame_index", "x1", "y1", "x2", "y2", "det_score", F.array(*[F.col(k).cast("float") for k in ("x1", "y1", "x2", "y2")]).alias("vector"))
         ).select("id"),
         None,
     ),
