@@ -23,6 +23,13 @@ def _vec_pairs(c):
     return a.join(b, F.col("a") < F.col("b"))
 
 
+def _patch_pairs(c):
+    """All pairs of vectors as patch sets, which are made once a vector."""
+    sets = c.features.select("vec_id", V.patches(F.col("vector")).alias("p")).repartition("vec_id")
+    a, b = sets.select(F.col("vec_id").alias("a"), F.col("p").alias("pa")), sets.select(F.col("vec_id").alias("b"), F.col("p").alias("pb"))
+    return a.join(b, F.col("a") < F.col("b"))
+
+
 def _windows_path(c):
     return c.media.select("media_no", F.expr("concat('C:', replace(file_path, '/', '\\\\'))").alias("raw"))
 
@@ -126,7 +133,7 @@ SELECT path_key, string_agg(concat(label, '=', id), ';' ORDER BY label, id) AS l
         lambda c, s, d: _vec_pairs(c).select("a", "b", F.round(V.vec_l2sq(F.col("va"), F.col("vb")), 6).alias("x")),
         f" SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.vector, b.vector), lambda p : pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))), 6) AS x{_PAIRS}",
     ),
-    "chamfer": (lambda c, s, d: _vec_pairs(c).select("a", "b", F.round(V.chamfer(V.patches(F.col("va")), V.patches(F.col("vb"))), 6).alias("x")), None),
+    "chamfer": (lambda c, s, d: _patch_pairs(c).select("a", "b", F.round(V.chamfer(F.col("pa"), F.col("pb")), 6).alias("x")), None),
     "topk_patches": (
         lambda c, s, d: _vec(c).select("id", F.size(V.topk_patches(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("vector", i * 8 + 1, 8)), 3)).alias("n")),
         " SELECT vec_id AS id, 3 AS n FROM features WHERE vec_id < 40",

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from lumenframe.plans import similarity
+import numpy as np
+import pytest
+
+from lumenframe.plans import scalars, similarity
 
 FACES = "face_id long, path_key string, frame_index int, x1 double, y1 double, x2 double, y2 double, det_score double"
 
@@ -42,3 +45,23 @@ def test_face_pipeline_sees_faces_of_every_id(spark):
     got = {r.id for r in similarity.QUERIES["face_pipeline"][0](c, spark, None).collect()}
     assert got <= suppressed(rows)
     assert {i // 1000 for i in got} == {3, 1999, 2000, 91000}
+
+
+def vectors(spark, n):
+    x = np.random.default_rng(4).normal(size=(n, 16)).astype(np.float32)
+    rows = [(f"vec/{i}", i, v.tolist(), i % 3) for i, v in enumerate(x)]
+    return x.astype(np.float64), SimpleNamespace(features=spark.createDataFrame(rows, "file_path string, vec_id long, vector array<float>, label int"))
+
+
+def test_chamfer_sees_all_pairs(spark):
+    x, c = vectors(spark, 25)
+    p = x.reshape(len(x), -1, 8)
+    p = p / np.linalg.norm(p, axis=2, keepdims=True)
+    want = {}
+    for i in range(len(x)):
+        for j in range(i + 1, len(x)):
+            m = p[i] @ p[j].T
+            want[i, j] = (m.max(axis=1).mean() + m.max(axis=0).mean()) / 2
+    got = {(r.a, r.b): r.x for r in scalars.QUERIES["chamfer"][0](c, spark, None).collect()}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
