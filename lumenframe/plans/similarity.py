@@ -93,7 +93,7 @@ SELECT owner, CAST(max(members) AS BIGINT) AS members, round(max(x) FILTER (i =
     ),
     "cluster_radius": (lambda c, s, d: V.with_radius(_rows(c), V.centroids(_rows(c), "owner"), "owner").select("owner", F.round("radius", 6).alias("radius")), None),
     "norm_stats": (lambda c, s, d: V.norm_stats(_rows(c)), " SELECT count(*) AS n, CAST(1.0 AS DOUBLE) AS min_norm, CAST(1.0 AS DOUBLE) AS max_norm, CAST(1.0 AS DOUBLE) AS mean_norm FROM features"),
-    "sort_by_centroid": (lambda c, s, d: V.sort_by_centroid(_rows(c), _rows(c, "label = 2")).orderBy(F.desc("similarity"), "id").limit(100).select("id", F.round("similarity", 5).alias("similarity")), None),
+    "sort_by_centroid": (lambda c, s, d: V.sort_by_centroid(_rows(c), _rows(c, "label = 2")).orderBy(F.desc("similarity"), "id").select("id", F.round("similarity", 5).alias("similarity")), None),
     "ignored_match": (
         lambda c, s, d: V.ignored_match(_rows(c, "label <> 9"), _rows(c, "label = 9"), EPS),
         f", {_PAIRS}, own AS (SELECT a AS id, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs) SELECT DISTINCT o.id FROM own o JOIN u i ON o.id = i.id JOIN u j ON o.other = j.id WHERE i.owner <> 9 AND j.owner = 9",

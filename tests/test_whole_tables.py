@@ -65,3 +65,13 @@ def test_chamfer_sees_all_pairs(spark):
     got = {(r.a, r.b): r.x for r in scalars.QUERIES["chamfer"][0](c, spark, None).collect()}
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_sort_by_centroid_returns_every_vector(spark):
+    x, c = vectors(spark, 130)
+    rows = similarity.QUERIES["sort_by_centroid"][0](c, spark, None).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    center = unit[2::3].mean(axis=0)
+    want = unit @ (center / np.linalg.norm(center))
+    assert [r.id for r in rows] == sorted(range(130), key=lambda i: (-want[i], i))
+    assert all(r.similarity == pytest.approx(want[r.id], abs=1e-4) for r in rows)
