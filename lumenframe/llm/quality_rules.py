@@ -3,14 +3,17 @@
 Lines are normalised (A-Z lower-cased, digits to 0, white space to one space)
 and hashed; for each host (the ``source`` column) the distinct documents that
 hold a line are counted, where documents with one and the same text count once.
-A line is boilerplate if more than ``max(min_docs, share * documents of the
-host)`` hold it.  Boilerplate lines are removed, and a document of which less
-than ``keep_share`` of its words is left is rejected, as is one that fails the
-base rules (fewer than 50 words, or over half of them in three-word windows
+A line that more than ``min_docs`` of them hold is boilerplate, however many
+documents the host has.  Boilerplate lines are removed, and a document of which
+less than ``keep_share`` of its words is left is rejected, as is one that fails
+the base rules (fewer than 50 words, or over half of them in three-word windows
 that repeat).
 
-The limit is a share of the host's documents, not a count, so that a text
-copied a few hundred times isn't taken for a template.
+Near copies of one text aren't taken for a template: texts that hold over two
+thirds of their words in such lines, and so may have over half of all their
+words in common, count once for each longest line of theirs, not one by one.
+Of n near copies that miss a line with probability p, about log n / log (1 / p)
+are counted.
 
 A null text is empty and fails the base rules; a null source is a host of its
 own; repeated rows get the same verdict; an empty table gives an empty result.
@@ -52,22 +55,60 @@ def _line_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = as_bytes(batch.column("text"), lower=False)
         sources = batch.column("source").to_pylist()
-        keys = [np.unique(np.array([k for k, n in _keys(t, _seed(s)) if n], dtype=np.int64)) for t, s in zip(texts, sources)]
+        own = [{k: n for k, n in _keys(t, _seed(s)) if n} for t, s in zip(texts, sources)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("source"), pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["source", "digest", "lines"],
+            [
+                batch.column("source"),
+                pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64()),
+                pa.array([list(x) for x in own], pa.list_(pa.int64())),
+                pa.array([list(x.values()) for x in own], pa.list_(pa.int32())),
+                pa.array([sum(x.values()) for x in own], pa.int64()),
+            ],
+            names=["source", "digest", "lines", "sizes", "words"],
         )
 
 
-def frequent_lines(docs: DataFrame, share: float = 0.1, min_docs: int = 20) -> DataFrame:
+def _held_pass(held):
+    """Of each text that has any: its lines that are in ``held``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for batch in batches:
+            lines, sizes = batch.column("lines").to_pylist(), batch.column("sizes").to_pylist()
+            found = [[(k, n) for k, n in zip(x, y) if k in own] for x, y in zip(lines, sizes)]
+            some = np.flatnonzero([len(x) for x in found])
+            picked = [found[i] for i in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(x).take(pa.array(some)) for x in ("digest", "words")],
+                    pa.array([[k for k, _ in x] for x in picked], pa.list_(pa.int64())),
+                    pa.array([[n for _, n in x] for x in picked], pa.list_(pa.int32())),
+                ],
+                names=["digest", "words", "lines", "sizes"],
+            )
+
+    return run
+
+
+def frequent_lines(docs: DataFrame, min_docs: int = 20, max_broadcast: int = 1 << 20) -> DataFrame:
     """``line``: keys (of host and line) of boilerplate lines."""
     text = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    seen = text.mapInArrow(_line_pass, "source string, digest long, lines array<long>").dropDuplicates(["source", "digest"])
+    seen = text.mapInArrow(_line_pass, "source string, digest long, lines array<long>, sizes array<int>, words long").dropDuplicates(["source", "digest"])
     seen = cut_lineage(seen, "lines")
-    hosts = seen.groupBy("source").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(share)).alias("limit"))
-    counts = seen.select("source", F.explode("lines").alias("line")).groupBy("source", "line").agg(F.count("*").alias("held"))
-    often = counts.where(F.col("held") > min_docs).alias("a").join(hosts.alias("b"), F.expr("a.source <=> b.source"))
-    return often.where("held > limit").select("line").distinct()
+    counts = seen.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("held"))
+    held = cut_lineage(counts.where(F.col("held") > min_docs).select("line"), "held-lines")
+    found = held.limit(max_broadcast + 1).toArrow().column("line").to_pylist()
+    if len(found) <= max_broadcast:
+        own = docs.sparkSession.sparkContext.broadcast(frozenset(found))
+        picked = seen.select("digest", "words", "lines", "sizes").mapInArrow(_held_pass(own), "digest long, words long, lines array<long>, sizes array<int>")
+    else:
+        lines = seen.select("source", "digest", "words", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("source", "digest", "words", "x.*").withColumnRenamed("lines", "line")
+        picked = lines.join(held, "line").groupBy("source", "digest", "words").agg(F.collect_list(F.struct("line", "sizes")).alias("x")).select("digest", "words", F.col("x.line").alias("lines"), F.col("x.sizes").alias("sizes"))
+    shared = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)
+    longest = F.array_max(F.arrays_zip("sizes", "lines"))["lines"]
+    group = F.when(3 * shared > 2 * F.col("words"), longest).otherwise(F.col("digest"))
+    groups = picked.select(group.alias("group"), F.explode("lines").alias("line")).dropDuplicates(["line", "group"])
+    return groups.groupBy("line").agg(F.count("*").alias("held")).where(F.col("held") > min_docs).select("line")
 
 
 def _judge(frequent, keep_share: float, with_text: bool, names: list[str]):
@@ -103,7 +144,6 @@ def _judge(frequent, keep_share: float, with_text: bool, names: list[str]):
 
 def quality_rules(
     docs: DataFrame,
-    share: float = 0.1,
     min_docs: int = 20,
     keep_share: float = 0.3,
     columns: list[str] | None = None,
@@ -119,7 +159,7 @@ def quality_rules(
     names = ["doc_id"] if columns is None else columns
     small_batches(docs)
     spark = docs.sparkSession
-    often = cut_lineage(frequent_lines(docs, share, min_docs), "frequent-lines")
+    often = cut_lineage(frequent_lines(docs, min_docs, max_broadcast), "frequent-lines")
     inner = docs.select(*[F.col(x).alias(f"__c{i}") for i, x in enumerate(names)], F.col("text").cast("string").alias("__text"), F.col("source").cast("string").alias("__source"))
     found = often.limit(max_broadcast + 1).toArrow().column("line").to_pylist()
     if len(found) <= max_broadcast:
