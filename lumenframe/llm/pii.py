@@ -4,14 +4,18 @@ DataFrame and SQL functions only.  A text is split at a kind's pattern; the
 lengths of the parts and of the matches give code-point offsets.  Base spans
 are the matches that pass their kind's test.
 
-Bootstrapping works on words with a digit or ``@`` (candidates).  A pattern is
-the word before, lower-cased, with the candidate's shape (runs of digits as 0,
-of letters as a).  Candidates that base spans cover are seeds.  Patterns and
-instances form a graph on which scores pass to and fro: a pattern's confidence
-in a kind is the smoothed mean score of its distinct instances, an instance's
-score the best confidence of its patterns.  After ``rounds``, patterns with
-confidence ``min_confidence`` and ``min_seeds`` distinct seeds give their
-remaining instances that have the kind's form as further spans.
+Bootstrapping works on words with a digit or ``@`` and on runs of several words
+of digits and marks (candidates).  A candidate's patterns are the word before
+and the word after, each by itself and lower-cased, and as a weaker third the
+word before with the candidate's shape (runs of digits as 0, of letters as a).
+Candidates that base spans cover are seeds.  Patterns and instances form a graph
+on which scores pass to and fro: a pattern's confidence in a kind is the
+smoothed mean score of its distinct instances, which are its seeds of any kind
+and the candidates of the kind's loose form; an instance's score is the best
+confidence of its patterns.  After ``rounds``, patterns with confidence
+``min_confidence`` and ``min_seeds`` distinct seeds give their remaining
+instances as further spans, of the surest kind; a run gives none where one of
+its words does.
 
 A null text is empty: no spans, the digest of an empty string.  Rows that
 repeat get the same spans; null doc_ids are documents like others; an empty
@@ -32,6 +36,8 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Two words of digits and marks or more; only marks may follow the last digit or bracket of a word.
+_RUN = r"(?<![^\x20\x09-\x0D])[+(]*+[0-9][0-9()./+-]*+(?:\x20[(]?[0-9][0-9()./-]*+(?=[,;:!?]*+(?:[\x20\x09-\x0D]|$)))++"
 #: Least length of runs that are worth a look for a card: 14 digits.
 _LONG_RUN = r"[0-9](?:[\x20-]?[0-9]){13}"
 
@@ -99,37 +105,65 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _candidates(text: Column) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,shape:string>>")
-    made = F.transform(
-        matches(text, _CANDIDATE),
-        lambda m: F.struct(
+def _found(text: Column, pattern: str) -> Column:
+    found = matches(text, pattern)
+    gaps = F.slice(F.split(text, pattern, -1), 2, 1 << 30)
+    return F.zip_with(
+        found,
+        gaps,
+        lambda m, after: F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["found"].alias("value"),
             F.lower(F.regexp_extract(F.right(m["gap"], F.lit(64)), r"([^\x20\x09-\x0D]{1,48})[\x20\x09-\x0D]*$", 1)).alias("left"),
+            F.lower(F.regexp_extract(F.left(after, F.lit(64)), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,48})", 1)).alias("right"),
             F.left(F.regexp_replace(F.regexp_replace(m["found"], "[0-9]+", "0"), r"\p{L}+", "a"), F.lit(48)).alias("shape"),
         ),
     )
-    return F.when(F.regexp_like(text, F.lit("[0-9@]")), made).otherwise(none)
+
+
+def _candidates(text: Column) -> Column:
+    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string,shape:string>>")
+    words = F.when(F.regexp_like(text, F.lit("[0-9@]")), _found(text, _CANDIDATE)).otherwise(none)
+    runs = F.when(F.regexp_like(text, F.lit(r"[0-9()./-]\x20[(]?[0-9]")), _found(text, _RUN)).otherwise(none)
+    # no kind has another number of digits
+    return F.concat(words, F.filter(runs, lambda r: F.length(_digits(r["value"])).between(10, 19)))
 
 
 _FORMS = {
-    "email": r"^[^@\s]+@[^@\s]+$",
+    "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}[^0-9]*$",
     "card": r"^(?:[^0-9]*[0-9]){14,19}[^0-9]*$",
     "phone": r"^\+?(?:[^0-9]*[0-9]){10,15}[^0-9]*$",
 }
 
 
+def _patterns() -> Column:
+    """The patterns of a candidate: the word before, the word after, the word before with the shape."""
+    left, right = F.col("left") != "", F.col("right") != ""
+    made = F.array(
+        F.when(left, F.concat(F.lit("< "), "left")),
+        F.when(right, F.concat(F.lit("> "), "right")),
+        F.when(left, F.concat(F.lit("= "), "left", F.lit(" "), "shape")),
+    )
+    return F.filter(made, lambda x: x.isNotNull())
+
+
+def _fits() -> Column:
+    fits = F.lit(False)
+    for i, kind in enumerate(KINDS):
+        fits = fits | ((F.col("kind") == i) & F.regexp_like("value", F.lit(_FORMS[kind])))
+    return fits
+
+
 def _discovered(found: DataFrame, rounds: int, min_confidence: float, min_seeds: int, smooth: float) -> DataFrame:
-    """Of candidates ``row, start, end, value, left, shape, k`` (k: the base kind or null), the unseen ones of confident patterns."""
-    edges = found.groupBy("left", "shape", "value").agg(F.max("k").alias("k"))
-    edges = cut_lineage(edges.where("left <> ''"), "pii-edges")
+    """Of candidates ``row, start, end, value, left, right, shape, k`` (k: the base kind or null), the unseen ones of confident patterns."""
+    edges = found.select("value", "k", F.explode(_patterns()).alias("pattern")).groupBy("pattern", "value").agg(F.max("k").alias("k"))
+    edges = cut_lineage(edges, "pii-edges")
     # a pattern without a single seed stays at 0 in all rounds
-    kinds = edges.where("k is not null").groupBy("left", "shape", F.col("k").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
+    kinds = edges.where("k is not null").groupBy("pattern", F.col("k").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
     kinds = cut_lineage(kinds, "pii-kinds")
-    graph = cut_lineage(edges.join(kinds, ["left", "shape"]), "pii-graph")
+    graph = cut_lineage(edges.join(kinds, "pattern").where(F.col("k").isNotNull() | _fits()), "pii-graph")
     best = None
     for _ in range(rounds):
         score = F.when(F.col("k") == F.col("kind"), 1.0).when(F.col("k").isNotNull(), 0.0)
@@ -139,16 +173,17 @@ def _discovered(found: DataFrame, rounds: int, min_confidence: float, min_seeds:
         else:
             scored = graph.join(best, ["value", "kind"], "left")
             score = F.coalesce(score, F.col("best"), F.lit(0.0))
-        patterns = scored.groupBy("left", "shape", "kind", "seeds").agg((F.sum(score) / (F.count("*") + smooth)).alias("confidence"))
+        patterns = scored.groupBy("pattern", "kind", "seeds").agg((F.sum(score) / (F.count("*") + smooth)).alias("confidence"))
         patterns = cut_lineage(patterns, "pii-patterns")
-        spread = graph.where("k is null").join(patterns.drop("seeds"), ["left", "shape", "kind"])
+        spread = graph.where("k is null").join(patterns.drop("seeds"), ["pattern", "kind"])
         best = cut_lineage(spread.groupBy("value", "kind").agg(F.max("confidence").alias("best")), "pii-instances")
-    sure = patterns.where(F.col("confidence") >= min_confidence).select("left", "shape", "kind")
-    unseen = found.where("k is null").join(sure, ["left", "shape"])
-    fits = F.lit(False)
-    for i, kind in enumerate(KINDS):
-        fits = fits | ((F.col("kind") == i) & F.regexp_like("value", F.lit(_FORMS[kind])))
-    return unseen.where(fits).groupBy("row").agg(F.collect_set(F.struct("start", F.col("kind").alias("k"), "end")).alias("more"))
+    sure = patterns.where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence")
+    unseen = found.where("k is null").select("row", "start", "end", "value", F.explode(_patterns()).alias("pattern")).join(sure, "pattern").where(_fits())
+    top = F.max(F.struct("confidence", (-F.col("kind")).alias("least")))
+    spans = unseen.groupBy("row", "start", "end").agg((-top["least"]).alias("k"))
+    more = spans.groupBy("row").agg(F.collect_list(F.struct("start", "k", "end")).alias("all"))
+    inside = lambda x: F.exists("all", lambda y: (y["start"] >= x["start"]) & (y["end"] <= x["end"]) & (y["end"] - y["start"] < x["end"] - x["start"]))
+    return more.select("row", F.filter("all", lambda x: ~inside(x)).alias("more"))
 
 
 def find_pii(docs: DataFrame, rounds: int = 3, min_confidence: float = 0.9, min_seeds: int = 10, smooth: float = 1.0) -> DataFrame:
