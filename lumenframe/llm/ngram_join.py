@@ -54,6 +54,8 @@ _PASS_2 = "doc_id long, n long, reach long, ell int, toks array<long>, poss arra
 #: Shingles are counted by their upper bits; two that share them are counted as one, which can change only the order.
 _COUNT_BITS = 40
 _PROBES, _BITS_EACH = 4, 16
+#: Bytes of input for each bucket of counts, which one Python worker holds.
+_BUCKET_BYTES = 64 << 20
 #: Least and most prefix shingles that a pair must share.
 _MIN_ELL, _MAX_ELL = 3, 8
 #: Up to so many ids of 8 bytes are sent to all executors, to pick the sets that verification needs.
@@ -87,8 +89,12 @@ def _count_pass(buckets: int):
             f2 = _sums(np.bitwise_xor, mix(flat + np.uint64(0x1234567887654321)), at).view(np.int64)
             docs = batch.num_rows
             none = pa.nulls(docs, pa.binary())
-            dealt = pa.array((np.arange(docs) % buckets).astype(np.int32))
-            yield _batch([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(f1), pa.array(f2), dealt, none, none])
+            ids = batch.column("doc_id")
+            # by id, set and place: copies of one text, rows of one id and batches of few rows are all dealt evenly
+            lot = f1.view(np.uint64) + np.arange(docs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            lot += ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            dealt = pa.array((mix(lot) % np.uint64(buckets)).astype(np.int32))
+            yield _batch([ids, pa.array(np.diff(at)), pa.array(f1), pa.array(f2), dealt, none, none])
             value, count = np.unique(flat >> np.uint64(64 - _COUNT_BITS), return_counts=True)
             home = ((value * np.uint64(buckets)) >> np.uint64(_COUNT_BITS)).astype(np.int64)
             cut = np.searchsorted(home, np.arange(buckets + 1))
@@ -109,6 +115,12 @@ def _batch(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "bucket", "tokens", "counts"])
 
 
+def _input_bytes(docs: DataFrame) -> int:
+    """The planner's estimate of the table's size; 0 where it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 _COUNTED = "doc_id long, n long, f1 long, f2 long, slots binary, heavy binary, held binary"
 
 
@@ -280,7 +292,7 @@ def link_classes(
     spark = docs.sparkSession
     small_batches(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(300, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(300, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(docs) // _BUCKET_BYTES))
     counted = text.mapInArrow(_count_pass(buckets), _PASS_1).groupBy("bucket").applyInArrow(_reduce(buckets, (1 << filter_bits) // buckets, min_heavy), _COUNTED)
     counted = cut_lineage(counted, "shingle-counts")
     parts = [b"\0"] * buckets
@@ -298,7 +310,8 @@ def link_classes(
     same = ["n", "f1", "f2"]
     classes = every.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("cls"))
     classes = cut_lineage(classes, "shingle-classes", every.count())
-    documents = every.join(classes, same, "left").select("doc_id", "n", "cls")
+    documents = cut_lineage(every.join(classes, same, "left").select("doc_id", "n", "cls"), "shingle-documents", every.count())
+    documents, bridges = _bridged(documents)
 
     lists = cut_lineage(text.mapInArrow(_prefix_pass(order, percent), _PASS_2), "shingle-lists")
     listed, posted = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()
@@ -322,12 +335,27 @@ def link_classes(
 
     rest = _remaining(posts, joined, percent)
     second = _verify(rest, sets, percent)
-    links = cut_lineage(_merged(joined, second), "shingle-links", listed)
+    links = cut_lineage(_merged(joined, second.union(bridges)), "shingle-links", listed)
     drop(lists, posts, joined, first, second)
     order.destroy()
     return documents, links
 
 
+def _bridged(documents: DataFrame, most: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Documents whose rows all have a class if one of them has, and edges ``x, y`` between the classes of each doc_id.
+
+    Only doc_ids with several classes, or with rows that have none, are looked up.
+    """
+    per = documents.where("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("rows"), F.count("cls").alias("classed"))
+    mixed = cut_lineage(per.where("least <> most or (classed > 0 and classed < rows)").select("doc_id", "least"), "shingle-bridges")
+    held = mixed.count()
+    if not held:
+        return documents, mixed.select(F.col("least").alias("x"), F.col("least").alias("y"))
+    met = documents.join(F.broadcast(mixed) if held <= most else mixed, "doc_id", "left")
+    edges = met.where("cls <> least").select(F.col("least").alias("x"), F.col("cls").alias("y")).distinct()
+    return met.select("doc_id", "n", F.coalesce("cls", "least").alias("cls")), cut_lineage(edges, "shingle-bridge-edges")
+
+
 def _merged(joined: DataFrame, more: DataFrame) -> DataFrame:
     """Components after further links, which are first brought to components: few if pivots have found most."""
     part = lambda side: joined.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))

@@ -102,6 +102,16 @@ def test_join_edges(spark):
     assert ngram_jaccard_join(empty(spark)).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(11)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(3, a), (5, a), (1, b), (5, b), (7, c), (7, None), (9, c), (9, ""), (4, None), (4, " ")]
+    got = {}
+    for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == {1: {1}, 3: {1}, 5: {1}, 7: {7}, 9: {7}, 4: {4}}
+
+
 def test_keep_one(spark):
     kept = [r.doc_id for r in keep_one(nasty(spark, extra=True)).collect()]
     assert kept.count(5) == 3 and 6 not in kept and 7 not in kept and 8 not in kept and kept.count(None) == 2
