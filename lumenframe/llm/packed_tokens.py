@@ -13,9 +13,11 @@ starts at a known bit; numpy unpacks a block, or any run of ids inside it,
 without reading what stands before.
 
 Documents are dealt out by ranges of doc_id; each task writes shards of about
-``shard_ids`` ids under a name that its partition and place fix, to a temporary
-name first that is then renamed, so a task that is run again replaces its own
-files by the same bytes.  A manifest of one row per shard orders them.
+``shard_ids`` ids into a folder of files under way and moves each, when it is
+whole, to a name of its partition, place and attempt that no other attempt has.
+A manifest of one row per shard names the files of the attempts that counted
+and orders them; files of an attempt that was lost or beaten aren't in it, so
+readers leave them out.
 
 A null text has only the end id.  Null doc_ids come first; rows with equal
 doc_id are ordered by text.  An empty table gives no shards and no rows.
@@ -40,6 +42,8 @@ from lumenframe.storage import cut_lineage, new_path
 MAGIC, VERSION, BLOCK = b"LFPK", 1, 4096
 _HEAD = struct.Struct("<4sIIQQI")
 _NULL = -(1 << 63)
+#: Folder of files that are being written; Spark's readers skip names that start with an underscore.
+_UNDER_WAY = "_under_way"
 
 
 def bits_for(vocab_size: int) -> int:
@@ -124,12 +128,12 @@ def _write_pass(root: str, vocabulary: str, end_id: int, shard_ids: int, memo_wo
             nonlocal held, made
             ids = np.frombuffer(b"".join(raw), dtype=encoder.kind)
             data = shard_bytes(np.concatenate(docs), np.array(lengths), ids, bits)
-            name = f"{folder}/part-{part:06d}-{made:06d}.lfpk"
-            with store.open_output_stream(f"{name}.{attempt}.tmp") as out:
+            name = f"part-{part:06d}-{made:06d}-{attempt}.lfpk"
+            with store.open_output_stream(f"{folder}/{_UNDER_WAY}/{name}") as out:
                 out.write(data)
-            store.move(f"{name}.{attempt}.tmp", name)
+            store.move(f"{folder}/{_UNDER_WAY}/{name}", f"{folder}/{name}")
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([made]), pa.array([name.rsplit("/", 1)[1]]), pa.array([len(lengths)]), pa.array([len(ids)])], names=["part", "shard", "name", "n_docs", "n_ids"]
+                [pa.array([part]), pa.array([made]), pa.array([name]), pa.array([len(lengths)]), pa.array([len(ids)])], names=["part", "shard", "name", "n_docs", "n_ids"]
             )
             docs.clear(), lengths.clear(), raw.clear()
             held, made = 0, made + 1
@@ -155,7 +159,7 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, end_id: int = 2, s
     """Write shards below ``root`` in ascending doc_id order; returns the manifest ``name, n_docs, n_ids, start``."""
     small_batches(docs)
     store, folder = _file(root)
-    store.create_dir(folder)
+    store.create_dir(f"{folder}/{_UNDER_WAY}")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.md5(F.coalesce("text", F.lit("")))]
     # ranges of (doc_id, digest): a doc_id that many rows share is dealt over several tasks
@@ -163,7 +167,8 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, end_id: int = 2, s
     dealt = dealt.sortWithinPartitions(order[0], "tie").select("doc_id", "text")
     schema = "part long, shard long, name string, n_docs long, n_ids long"
     found = cut_lineage(dealt.mapInArrow(_write_pass(root, vocabulary, end_id, shard_ids, memo_words), schema), "token-manifest")
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    store.delete_dir(f"{folder}/{_UNDER_WAY}")
+    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     return cut_lineage(found.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-manifest").select("name", "n_docs", "n_ids", "start")
 
 
