@@ -7,9 +7,9 @@ All copies are served by finish time until the budget (the words of all
 sources) is spent.  DataFrame and SQL functions only.
 
 A source is cut into buckets by the hash, so a source that holds most rows is
-many groups; its running sums come from bucket sums.  The place where the
-budget ends is found by narrowing a range of finish times with aggregated slot
-sums, so no task sorts all rows.
+many groups; its running sums come from bucket sums.  The copies are sorted by
+one range sort over finish times and truncated where the budget ends: the sums
+of the ranges tell in which range that is.
 
 Null texts have size 0 and are never taken; a null source is one source, last
 in order; repeated rows are documents of their own.
@@ -24,8 +24,6 @@ from lumenframe.storage import cut_lineage, drop
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 3
-_SLOTS = 4096
-_FEW = 4096
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -56,7 +54,7 @@ def _targets(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     return s.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
-def fair_queue(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", rows_per_bucket: int = 4096) -> DataFrame:
+def fair_queue(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", rows_per_bucket: int = 256) -> DataFrame:
     """``columns`` of each row with ``size, source_size, target, upto`` (words of its source up to its end) and ``place``, its order among equals."""
     lead = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -85,32 +83,42 @@ def _finish(turn: int) -> Column:
     return (F.col("source_size") * turn + F.col("upto")).cast("double") / F.col("target")
 
 
-def _cut(queue: DataFrame, budget: int) -> tuple[float, str, int] | None:
-    """Finish time, place and id of the last copy served; None if every copy is."""
+def serving_order(queue: DataFrame) -> DataFrame:
+    """``v, place, id, size, part``: every copy in the order in which it is served.
+
+    One global sort by finish time: Spark deals ranges of (finish time, place,
+    id), which are balanced by sampling, and each range is sorted by itself.
+    ``part`` numbers the ranges.
+    """
     turns = F.explode(F.array(*[_finish(k) for k in range(ROUNDS)]))
     copies = queue.where("size > 0").select("place", "id", "size", turns.alias("v"))
-    span = copies.agg(F.min("v"), F.max("v"), F.sum("size")).first()
-    if span[2] is None or span[2] <= budget:
-        return None
-    low, high, spent = span[0], span[1], 0
-    while True:
-        step = (high - low) / _SLOTS
-        slot = F.least(F.floor((F.col("v") - low) / step), F.lit(_SLOTS - 1)) if step > 0 else F.lit(0)
-        here = copies.where(F.col("v").between(low, high))
-        found = here.groupBy(slot.alias("slot")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("slot").collect()
-        for x in found:
-            if spent + x.words > budget:
-                break
-            spent += x.words
-        low, high = x.a, x.b
-        if x.n <= _FEW or low == high:
-            break
-    for x in copies.where(F.col("v").between(low, high)).orderBy("v", "place", "id", "size").toLocalIterator():
-        spent += x["size"]
-        last = (x.v, x.place, x.id)
-        if spent >= budget:
+    order = ["v", "place", "id", "size"]
+    ranged = copies.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("v", "place", "id", "size", F.spark_partition_id().alias("part"))
+
+
+def _cut(queue: DataFrame, budget: int) -> tuple[float, str, int] | None:
+    """Finish time, place and id of the last copy served; None if every copy is.
+
+    The sums of the sorted ranges, one row each, tell in which of them the
+    budget ends; only that range is added up copy by copy.
+    """
+    served = cut_lineage(serving_order(queue), "mix-order")
+    sums = served.groupBy("part").agg(F.sum("size").alias("words")).orderBy("part").collect()  # a row for each range
+    spent, last = 0, None
+    for x in sums:
+        if spent + x.words >= budget:
+            last = x.part
             break
-    return last
+        spent += x.words
+    if last is None or (x is sums[-1] and spent + x.words == budget):
+        drop(served)
+        return None
+    run = Window.partitionBy("part").orderBy("v", "place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ends = served.where(F.col("part") == last).withColumn("spent", F.sum("size").over(run)).where(F.col("spent") >= budget - spent)
+    found = ends.orderBy("spent", "v", "place", "id").select("v", "place", "id").first()
+    drop(served)
+    return tuple(found)
 
 
 def mix_sources(docs: DataFrame, columns: list[str] | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
