@@ -5,9 +5,10 @@ lengths of the parts and of the matches give code-point offsets.  Base spans
 are the matches that pass their kind's test.
 
 Bootstrapping works on words with a digit or ``@`` and on runs of several words
-of digits and marks (candidates).  A candidate's patterns are the word before
-and the word after, each by itself and lower-cased, and as a weaker third the
-word before with the candidate's shape (runs of digits as 0, of letters as a).
+of digits and marks (candidates).  A candidate's patterns are, lower-cased, the
+word before, the two words before, the word after, the words on both sides, and
+the word before with the candidate's shape (runs of digits as 0, of letters as
+a).  Words are looked for up to the neighbouring candidates.
 Candidates that base spans cover are seeds.  Patterns and instances form a graph
 on which scores pass to and fro: a pattern's confidence in a kind is the
 smoothed mean score of its distinct instances, which are its seeds of any kind
@@ -24,10 +25,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.storage import cut_lineage
+from lumenframe.storage import cut_lineage, drop
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, with possessive repeats and a look behind where a start inside a run could only repeat a failure.
@@ -39,6 +40,8 @@ _CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]
 #: Two words of digits and marks or more; only marks may follow the last digit or bracket of a word.
 _RUN = r"(?<![^\x20\x09-\x0D])[+(]*+[0-9][0-9()./+-]*+(?:\x20[(]?[0-9][0-9()./-]*+(?=[,;:!?]*+(?:[\x20\x09-\x0D]|$)))++"
 #: Least length of runs that are worth a look for a card: 14 digits.
+#: Elements that are added up, or searched, one by one.
+_BLOCK = 128
 _LONG_RUN = r"[0-9](?:[\x20-]?[0-9]){13}"
 
 
@@ -69,6 +72,9 @@ _TESTS = {
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
 }
 _PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
+_LAST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$"
+_LAST_WORDS = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$"
+_FIRST_WORD = r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)"
 _MAYBE = {
     "email": lambda t: F.contains(t, F.lit("@")),
     "ip": lambda t: F.regexp_like(t, F.lit(r"[0-9]\.[0-9]++\.[0-9]")),
@@ -77,19 +83,56 @@ _MAYBE = {
 }
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: inside a lambda an expression would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """Slices of an array of at most _BLOCK elements, in order."""
+    count = F.ceil(F.size(items) / F.lit(_BLOCK)).cast("int")
+    return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, found, gap>>`` of a pattern's matches in code points; gap: the text since the last."""
+    """``array<struct<start, end, found, gap>>`` of a pattern's matches in code points; gap: the text since the last.
+
+    Offsets are running sums of lengths: inside blocks, then over blocks, so
+    the time grows with the matches, not with their square.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    zipped = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda x: x["m"].isNotNull())
     none = F.array().cast("array<struct<start:int,end:int,found:string,gap:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
         span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found"), x["g"].alias("gap"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out")))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+    def placed(block: Column, first: Column) -> Column:
+        return F.transform(block["out"], lambda x: F.struct((x["start"] + first).alias("start"), (x["end"] + first).alias("end"), x["found"].alias("found"), x["gap"].alias("gap")))
+
+    def joined(inner: Column) -> Column:
+        add = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        firsts = F.aggregate(inner, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(inner, firsts, placed))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def blocks(z: Column) -> Column:
+        return F.transform(_blocks(z), lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+
+    return _let(zipped, lambda z: _let(blocks(z), joined))
+
+
+def _reached(spans: Column) -> Column:
+    """Blocks of spans sorted by start, each with the range it covers."""
+    return F.transform(_blocks(spans), lambda s: F.struct(F.array_min(F.transform(s, lambda x: x["start"])).alias("low"), F.array_max(F.transform(s, lambda x: x["end"])).alias("high"), s.alias("spans")))
+
+
+def _first_over(reached: Column, start: Column, end: Column) -> Column:
+    """The first span that overlaps; null if none does."""
+    near = F.filter(reached, lambda b: (b["low"] < end) & (b["high"] > start))
+    return F.get(F.flatten(F.transform(near, lambda b: F.filter(b["spans"], lambda x: (x["start"] < end) & (x["end"] > start)))), F.lit(0))
 
 
 def _kind_spans(text: Column, kind: str) -> Column:
@@ -106,28 +149,35 @@ def _written(spans: Column) -> Column:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    found = matches(text, pattern)
     gaps = F.slice(F.split(text, pattern, -1), 2, 1 << 30)
     return F.zip_with(
-        found,
+        matches(text, pattern),
         gaps,
         lambda m, after: F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["found"].alias("value"),
-            F.lower(F.regexp_extract(F.right(m["gap"], F.lit(64)), r"([^\x20\x09-\x0D]{1,48})[\x20\x09-\x0D]*$", 1)).alias("left"),
-            F.lower(F.regexp_extract(F.left(after, F.lit(64)), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,48})", 1)).alias("right"),
-            F.left(F.regexp_replace(F.regexp_replace(m["found"], "[0-9]+", "0"), r"\p{L}+", "a"), F.lit(48)).alias("shape"),
+            F.lower(F.regexp_extract(m["gap"], _LAST_WORD, 1)).alias("left"),
+            F.lower(F.regexp_extract(m["gap"], _LAST_WORDS, 1)).alias("lefts"),
+            F.lower(F.regexp_extract(after, _FIRST_WORD, 1)).alias("right"),
+            F.regexp_replace(F.regexp_replace(m["found"], "[0-9]+", "0"), r"\p{L}+", "a").alias("shape"),
         ),
     )
 
 
 def _candidates(text: Column) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string,shape:string>>")
+    """Words, and runs of words, each with ``run``: the start of the run that holds it, or its own."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,lefts:string,right:string,shape:string>>")
     words = F.when(F.regexp_like(text, F.lit("[0-9@]")), _found(text, _CANDIDATE)).otherwise(none)
     runs = F.when(F.regexp_like(text, F.lit(r"[0-9()./-]\x20[(]?[0-9]")), _found(text, _RUN)).otherwise(none)
     # no kind has another number of digits
-    return F.concat(words, F.filter(runs, lambda r: F.length(_digits(r["value"])).between(10, 19)))
+    runs = F.filter(runs, lambda r: F.length(_digits(r["value"])).between(10, 19))
+
+    def both(r: Column) -> Column:
+        held = _let(_reached(r), lambda b: F.transform(words, lambda w: w.withField("run", F.coalesce(_first_over(b, w["start"], w["end"])["start"], w["start"])).withField("word", F.lit(True))))
+        return F.concat(held, F.transform(r, lambda x: x.withField("run", x["start"]).withField("word", F.lit(False))))
+
+    return _let(runs, both)
 
 
 _FORMS = {
@@ -139,11 +189,13 @@ _FORMS = {
 
 
 def _patterns() -> Column:
-    """The patterns of a candidate: the word before, the word after, the word before with the shape."""
+    """The patterns of a candidate: the word or two words before, the word after, both sides, the word before with the shape."""
     left, right = F.col("left") != "", F.col("right") != ""
     made = F.array(
         F.when(left, F.concat(F.lit("< "), "left")),
+        F.when(F.col("lefts") != "", F.concat(F.lit("<< "), "lefts")),
         F.when(right, F.concat(F.lit("> "), "right")),
+        F.when(left & right, F.concat(F.lit("<> "), "left", F.lit(" "), "right")),
         F.when(left, F.concat(F.lit("= "), "left", F.lit(" "), "shape")),
     )
     return F.filter(made, lambda x: x.isNotNull())
@@ -157,14 +209,14 @@ def _fits() -> Column:
 
 
 def _discovered(found: DataFrame, rounds: int, min_confidence: float, min_seeds: int, smooth: float) -> DataFrame:
-    """Of candidates ``row, start, end, value, left, right, shape, k`` (k: the base kind or null), the unseen ones of confident patterns."""
+    """Of candidates (see ``_candidates``) with ``row`` and ``k``, the base kind or null, the unseen ones of confident patterns: ``row, more``."""
     edges = found.select("value", "k", F.explode(_patterns()).alias("pattern")).groupBy("pattern", "value").agg(F.max("k").alias("k"))
     edges = cut_lineage(edges, "pii-edges")
     # a pattern without a single seed stays at 0 in all rounds
     kinds = edges.where("k is not null").groupBy("pattern", F.col("k").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
     kinds = cut_lineage(kinds, "pii-kinds")
     graph = cut_lineage(edges.join(kinds, "pattern").where(F.col("k").isNotNull() | _fits()), "pii-graph")
-    best = None
+    best, done = None, []
     for _ in range(rounds):
         score = F.when(F.col("k") == F.col("kind"), 1.0).when(F.col("k").isNotNull(), 0.0)
         scored = graph
@@ -177,27 +229,32 @@ def _discovered(found: DataFrame, rounds: int, min_confidence: float, min_seeds:
         patterns = cut_lineage(patterns, "pii-patterns")
         spread = graph.where("k is null").join(patterns.drop("seeds"), ["pattern", "kind"])
         best = cut_lineage(spread.groupBy("value", "kind").agg(F.max("confidence").alias("best")), "pii-instances")
+        done += [patterns, best]
     sure = patterns.where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence")
-    unseen = found.where("k is null").select("row", "start", "end", "value", F.explode(_patterns()).alias("pattern")).join(sure, "pattern").where(_fits())
+    unseen = found.where("k is null").select("row", "run", "word", "start", "end", "value", F.explode(_patterns()).alias("pattern")).join(sure, "pattern").where(_fits())
     top = F.max(F.struct("confidence", (-F.col("kind")).alias("least")))
-    spans = unseen.groupBy("row", "start", "end").agg((-top["least"]).alias("k"))
-    more = spans.groupBy("row").agg(F.collect_list(F.struct("start", "k", "end")).alias("all"))
-    inside = lambda x: F.exists("all", lambda y: (y["start"] >= x["start"]) & (y["end"] <= x["end"]) & (y["end"] - y["start"] < x["end"] - x["start"]))
-    return more.select("row", F.filter("all", lambda x: ~inside(x)).alias("more"))
+    spans = unseen.groupBy("row", "run", "word", "start", "end").agg((-top["least"]).alias("k"))
+    # the words of one run, which are as few as it has
+    spans = spans.withColumn("words", F.max("word").over(Window.partitionBy("row", "run")))
+    more = spans.where(F.col("word") | ~F.col("words")).groupBy("row").agg(F.collect_list(F.struct("start", "k", "end")).alias("more"))
+    more = cut_lineage(more, "pii-more")
+    drop(edges, kinds, graph, *done)
+    return more
 
 
 def find_pii(docs: DataFrame, rounds: int = 3, min_confidence: float = 0.9, min_seeds: int = 10, smooth: float = 1.0) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` of each row; counts are of base spans."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans`` of each row; counts are of base spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("a"), F.crc32(text).alias("b")).alias("row"), text.alias("text"))
     # rows with nothing to find skip all patterns
     base = base.withColumns({kind: _kind_spans(F.col("text"), kind) for kind in KINDS} | {"candidates": _candidates(F.col("text"))}).drop("text")
     base = cut_lineage(base, "pii-base")
     every = F.array_sort(F.concat(*[F.col(k) for k in KINDS]))
-    found = base.where("size(candidates) > 0").select("row", every.alias("spans"), F.explode("candidates").alias("c"))
-    hit = F.filter("spans", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
-    found = found.select("row", "c.*", F.get(hit, F.lit(0))["k"].alias("k"))
-    more = _discovered(cut_lineage(found, "pii-candidates"), rounds, min_confidence, min_seeds, smooth)
+    marked = _let(_reached(F.col("spans")), lambda b: F.transform("candidates", lambda c: c.withField("k", _first_over(b, c["start"], c["end"])["k"])))
+    found = base.where("size(candidates) > 0").select("row", "candidates", every.alias("spans")).select("row", F.explode(marked).alias("c")).select("row", "c.*")
+    found = cut_lineage(found, "pii-candidates")
+    more = _discovered(found, rounds, min_confidence, min_seeds, smooth)
+    drop(found)
     joined = base.alias("b").join(more.alias("m"), F.expr("b.row.d <=> m.row.d and b.row.a = m.row.a and b.row.b = m.row.b"), "left")
     added = F.coalesce("more", F.array().cast("array<struct<start:int,k:int,end:int>>"))
     return joined.select(
@@ -206,4 +263,5 @@ def find_pii(docs: DataFrame, rounds: int = 3, min_confidence: float = 0.9, min_
         F.sha2(_written(every), 256).alias("base_sha256"),
         _written(F.array_sort(F.concat(every, added))).alias("spans"),
         F.size(added).cast("long").alias("n_added"),
+        (F.size(every) + F.size(added)).cast("long").alias("n_spans"),
     )
