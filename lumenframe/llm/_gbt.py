@@ -1,6 +1,7 @@
 """Histogram gradient-boosted trees for binary labels, flattened into arrays.
 
-Features are cut into at most 64 bins at quantiles of the training rows; trees
+Features are cut into at most 64 bins at quantiles of the training rows, half
+way to the next value; trees
 grow level by level on summed gradients of the log loss; all trees' nodes stand
 in flat arrays, and prediction moves all rows down one level at a time.
 """
@@ -37,6 +38,12 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -35, 35)))
 
 
+def _between(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Half way from each cut to the next value of the training rows, so that values between the two go to the nearer side."""
+    known = np.unique(values)
+    return (cuts + known[np.minimum(np.searchsorted(known, cuts, "right"), len(known) - 1)]) / 2
+
+
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: int = 8, l2: float = 1.0) -> Trees:
     """Train on rows ``x`` with labels ``y`` (0 or 1). Without rows or with one class only the score is constant."""
     n = len(y)
@@ -47,6 +54,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     if n < 2 * least or y.min() == y.max():
         return Trees(base, np.zeros((0, total), dtype=np.int64), np.zeros((0, total)), np.zeros((0, total)), depth)
     cuts = [np.unique(np.quantile(x[:, f], np.arange(1, bins) / bins, method="lower")) for f in range(width)]
+    between = [_between(x[:, f], c) for f, c in enumerate(cuts)]
     code = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)  # code <= b: x <= cuts[b]
     offset = np.arange(width) * bins
     raw = np.full(n, base)
@@ -72,7 +80,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
             for k in range(many):
                 f, b = divmod(int(best[k]), bins)
                 if gain[k, f, b] > 1e-9 and b < len(cuts[f]):
-                    feature[first + k], cut[first + k] = f, cuts[f][b]
+                    feature[first + k], cut[first + k] = f, between[f][b]
             at = node
             node = 2 * node + 1 + (x[np.arange(n), feature[at]] > cut[at])
         leaf = node - inner

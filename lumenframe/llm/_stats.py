@@ -19,6 +19,12 @@ def histogram(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def byte_entropy(hist: np.ndarray) -> np.ndarray:
+    """Bits a byte of each text; 0 for an empty one."""
+    share = hist / np.maximum(hist.sum(axis=1), 1)[:, None]
+    return -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+
+
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     run = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
     return run[offsets[1:]] - run[offsets[:-1]]
@@ -93,8 +99,6 @@ def features(texts: list[bytes]) -> np.ndarray:
     base = base_rules_of(hist)
     lines = hist[:, 10] + 1
     share = hist / per[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        entropy = -np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0).sum(axis=1)
     solid = size - hist[:, list(SPACES)].sum(axis=1)
     nn = np.maximum(n, 1)
     return np.stack(
@@ -102,7 +106,7 @@ def features(texts: list[bytes]) -> np.ndarray:
             np.log1p(n), np.log1p(size), solid / nn, distinct / nn, hist[:, list(SYMBOLS)].sum(axis=1) / per,
             hist[:, 0x30:0x3A].sum(axis=1) / per, hist[:, 0x41:0x5B].sum(axis=1) / per, base / per, hist[:, ord("!")] / per,
             hist[:, ord("|")] / per, hist[:, 0x80:].sum(axis=1) / per, np.array([duplicate_lines(x) for x in texts]) / lines,
-            n / lines, repeated_words(words, offsets) / nn, hist[:, ord(".")] / nn, hist[:, ord(",")] / nn, share.max(axis=1), entropy,
+            n / lines, repeated_words(words, offsets) / nn, hist[:, ord(".")] / nn, hist[:, ord(",")] / nn, share.max(axis=1), byte_entropy(hist),
         ],
         axis=1,
     )
