@@ -34,18 +34,25 @@ def held_out() -> Column:
 def _feature_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = features(as_bytes(batch.column("text"), lower=False))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(found), pa.list_(pa.float64()))], names=["label", "x"])
+        columns = [batch.column(x) for x in ("doc_id", "digest", "label")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found), pa.list_(pa.float64()))], names=["doc_id", "digest", "label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 20_000, **options) -> Trees:
-    """Fit on at most ``max_train`` labelled rows outside the held-out fold."""
+    """Fit on at most ``max_train`` labelled rows outside the held-out fold.
+
+    A doc_id with labels of both kinds isn't used; of a doc_id with several
+    texts, the one of the least hash is.
+    """
     small_batches(docs)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    rows = rows.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
+    rows = rows.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = own.join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most max_train rows of 12 bytes
-    found = picked.mapInArrow(_feature_pass, "label int, x array<double>").toArrow()
+    picked = own.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("digest"), "label", "text")  # at most max_train rows of 12 bytes
+    found = picked.mapInArrow(_feature_pass, "doc_id long, digest long, label int, x array<double>")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("digest", "x", "label")).alias("row")).select("row.label", "row.x").toArrow()
     y = np.array(found.column("label").to_pylist(), dtype=np.float64)
     x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, y))  # the same trees, however rows arrive
