@@ -195,5 +195,5 @@ def apply_quality_rules(docs: DataFrame, **options) -> DataFrame:
     names = [x for x in docs.columns if x not in ("text", "n_chars")]
     judged = quality_rules(docs, columns=names, with_text=True, **options).where("kept")
     text = F.col("clean_text")
-    made = {"text": text, "n_chars": F.length(text).cast("long")}
-    return judged.select(*[made[x].alias(x) if x in made else F.col(x) for x in docs.columns])
+    made = {"text": text, "n_chars": F.length(text)}
+    return judged.select(*[made[x].cast(docs.schema[x].dataType).alias(x) if x in made else F.col(x) for x in docs.columns])
