@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenframe.llm import _gbt
+from lumenframe.llm import _gbt, _stats
 from lumenframe.llm._tokenizer import load
 from lumenframe.llm.decontaminate import contained_items, decontaminate
 from lumenframe.llm.ngram_join import keep_one, ngram_jaccard_join
@@ -174,6 +175,16 @@ def test_token_files(spark, docs, tokenizer, tmp_path):
         start += len(own)
 
 
+def test_files_of_lost_attempts_are_left_out(spark, docs, tmp_path):
+    root = f"file://{tmp_path}/out"
+    manifest = write_tokens(docs, root, VOCABULARY, shard_ids=5000)
+    files = sorted((tmp_path / "out").glob("*.lfpk"))
+    want = sorted(map(str, read_tokens(spark, root, manifest).collect()))
+    (tmp_path / "out" / "part-000000-000000-999.lfpk").write_bytes(files[0].read_bytes())
+    assert sorted(map(str, read_tokens(spark, root, manifest).collect())) == want and len(want) == docs.count()
+    assert not (tmp_path / "out" / "_under_way").exists()
+
+
 def test_token_file_edges(spark, tokenizer):
     rows = token_file_digest(nasty(spark, extra=True), VOCABULARY).collect()
     assert len(rows) == 19 and sum(r.doc_id is None for r in rows) == 2
@@ -277,6 +288,15 @@ def test_base_spans_are_exact(spark, docs, texts):
         assert set(brute.pii(t).split(",")) <= set(got[d].spans.split(","))
 
 
+def test_long_texts_with_many_matches(spark):
+    text = "ab c@d.ef +1 555 123 4567, " * 6000
+    started = time.perf_counter()
+    (row,) = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row.n_email, row.n_phone, row.n_added) == (6000, 6000, 0)
+    assert row.base_sha256 == hashlib.sha256(brute.pii(text).encode()).hexdigest()
+    assert time.perf_counter() - started < 60
+
+
 def test_pii_edges(spark):
     odd = ["x@y.z@a.b a.b@c.d_e@f.g.h 1.2.3.4.5.6.7.8 999.1.1.1 1.2.3.004", "4035 7874-5564  1871 12  34 4035-7874-5564-1871-", "1 " * 400 + "a@b" + ".c" * 400, "+1 2 3" * 300 + "@" * 90, "😀é a@b.c é +12345678901"]
     df = nasty(spark, extra=True).select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
@@ -324,6 +344,31 @@ def test_classifier_edges(spark):
     assert classify(empty(spark), labels).count() == 0
 
 
+def test_training_rows_are_settled(spark):
+    rows = [(i, sentence(random.Random(i), 60) if i % 2 else "!! ## " * 30) for i in range(1, 200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 200)] + [(2, 1), (3, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + [(7, "!! ## " * 40)] * 50, "doc_id long, text string")
+    first = sorted((r.doc_id, r.score) for r in classify(docs, labels).collect())
+    assert first == sorted((r.doc_id, r.score) for r in classify(docs.repartition(7), labels.repartition(3)).collect())
+
+
+def test_features_of_texts(texts):
+    some = [t for _, t in texts[:40]] + ["", " \n", "word", "é, b! | é", "a b c a b c a b c\nx\nx"]
+    for row, text in zip(_stats.features([t.encode() for t in some]), some):
+        data, words = text.encode(), [w.encode() for w in brute.WORD.findall(text)]
+        n, size, lines = len(words), len(data), text.count("\n") + 1
+        held = [data.count(bytes([b])) for b in range(256)]
+        _, _, symbols, duplicates, repeats, _ = brute.base_rules(text)
+        of = lambda kinds: sum(held[b] for b in kinds)
+        per, nn = max(size, 1), max(n, 1)
+        want = [
+            np.log1p(n), np.log1p(size), sum(map(len, words)) / nn, len(set(words)) / nn, symbols / per, of(range(48, 58)) / per, of(range(65, 91)) / per,
+            sum(held[b] for b in range(33, 127) if not chr(b).isalnum()) / per, held[33] / per, held[124] / per, of(range(128, 256)) / per, duplicates / lines,
+            n / lines, repeats / nn, held[46] / nn, held[44] / nn, max(held) / per, -sum(h / per * np.log2(h / per) for h in held if h),
+        ]
+        assert np.allclose(row, want), text[:40]
+
+
 def test_trees_against_a_known_rule():
     x = np.random.default_rng(0).normal(size=(600, 4))
     y = ((x[:, 1] > 0) & (x[:, 2] < 0.5)).astype(float)
@@ -408,6 +453,61 @@ def test_neighbours_delete_shared_open_lines(spark):
     assert got[99] == "Site name\nown text 99\nmore 99\nAll rights reserved"
 
 
+def brute_open_text(pages):
+    """Text of pages of <p> lines without markup of regions, by the definition: nearest path, longest common subsequence, copies passed over."""
+
+    def common(a, b):
+        """Places in a of one longest common subsequence of lines that don't repeat."""
+        best = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + (i,) if x == y else max(best[i][j + 1], best[i + 1][j], key=len)
+        return set(best[-1][-1])
+
+    rows = sorted((split_url(u), p, re.findall("<p>(.*?)</p>", h)) for p, u, h in pages)
+    out = {}
+    for i, ((host, path), page, lines) in enumerate(rows):
+        near = [rows[k] for k in (i - 1, i + 1) if 0 <= k < len(rows) and rows[k][0][0] == host]
+        near.sort(key=lambda r: -next((n for n, (x, y) in enumerate(zip(r[0][1], path)) if x != y), min(len(r[0][1]), len(path))))
+        lost = set()
+        for r in near:
+            lost = common(lines, r[2])
+            if 3 * sum(len(lines[k].split()) for k in lost) <= 2 * sum(len(x.split()) for x in lines):
+                break
+            lost = set()
+        out[page] = "\n".join(x for k, x in enumerate(lines) if k not in lost)
+    return out
+
+
+def test_differencing_is_the_definitions(spark):
+    rng = random.Random(12)
+    pages = []
+    for i in range(120):
+        site = [f"site {i % 3} {k}" for k in range(rng.randrange(4))]
+        own = [f"{sentence(rng, 6)} {i}" for _ in range(rng.randrange(5))]
+        if i % 9 == 0 and pages:  # a copy under another path
+            pages.append((i, f"http://h{i % 3}/c/{rng.randrange(50)}/{i}", pages[rng.randrange(len(pages))][2]))
+            continue
+        turn = [own] * len(own) + [site] * len(site)  # site lines keep their order, so there is one longest common subsequence
+        rng.shuffle(turn)
+        lines = [x.pop(0) for x in turn]
+        pages.append((i, f"http://h{i % 3}/{rng.choice('ab')}/{rng.randrange(50)}/{i}", "".join(f"<p>{x}</p>" for x in lines)))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = brute_open_text(pages)
+    assert got == want and sum(want[p] != "\n".join(re.findall("<p>(.*?)</p>", h)) for p, _, h in pages) > 40
+
+
+def test_copies_keep_their_text(spark):
+    html = "<p>one text of some words</p><p>and a second line of it</p>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", html) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in main_text(pages).collect()} == {"one text of some words\nand a second line of it"}
+
+
+def test_marks_of_whole_pages_and_articles():
+    lines = page_lines('<body class="with-sidebar"><article class="has-comments"><h1 class="article-header">T</h1><p data-id="ad">x</p><div class="share">s</div></article></body>')
+    assert [(t, r) for t, r in lines] == [("T", 0), ("x", 0), ("s", 1)]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(60):

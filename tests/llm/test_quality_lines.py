@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import collections
 import random
+import re
 
 import pytest
 
-from lumenframe.llm.quality_rules import quality_rules
+from lumenframe.llm.quality_rules import apply_quality_rules, quality_rules
+from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -34,3 +37,62 @@ def test_lines_of_a_large_host(spark, max_broadcast):
     assert {got[i].n_removed_words for i in range(40, 100)} == {120}
     assert {got[i].n_removed_words for i in range(100, 3000)} == {0}  # 20 documents are not more than 20
     assert all(got[i].n_removed_words == 0 and got[i].kept for i in range(5000, 5400))
+
+
+def brute_verdicts(rows, min_docs, keep_share):
+    """doc_id -> (removed words, kept), by the definition."""
+
+    def lines_of(text):
+        return [" ".join(re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x)).split()) for x in text.split("\n")]
+
+    held = collections.defaultdict(set)
+    for _, text, _, host, _ in rows:
+        for line in lines_of(text):
+            if line:
+                held[host, line].add(text)
+    often = {k for k, v in held.items() if len(v) > min_docs}
+    counted = collections.defaultdict(set)
+    for text, host in {(r[1], r[3]) for r in rows}:
+        own = {x for x in lines_of(text) if x}
+        some = {x for x in own if (host, x) in often}
+        size = lambda lines: sum(len(x.split()) for x in lines)
+        longest = max(some, key=lambda x: len(x.split()), default=None)
+        group = ("lines", longest) if 3 * size(some) > 2 * size(own) else ("text", text)
+        for line in some:
+            counted[host, line].add(group)
+    gone = {k for k, v in counted.items() if len(v) > min_docs}
+    out = {}
+    for doc, text, _, host, _ in rows:
+        n, *_, failed = brute.base_rules(text)
+        lost = sum(len(x.split()) for x in lines_of(text) if (host, x) in gone)
+        out[doc] = (lost, not failed and n - lost >= keep_share * n)
+    return out
+
+
+@pytest.mark.parametrize("max_broadcast", [1000, 1])
+def test_verdicts_are_the_definitions(spark, max_broadcast):
+    rng = random.Random(14)
+    # lines of lengths of their own, so that a longest one is never a tie
+    menus = [sentence(rng, 3 + 2 * k) for k in range(12)]
+    rows = []
+    for i in range(400):
+        lines = [sentence(rng, rng.randrange(10, 50)) for _ in range(rng.randrange(4))]
+        lines += rng.sample(menus, rng.randrange(6))
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(x.upper() if rng.random() < 0.2 else x for x in lines), "en", rng.choice(["a", "b"]), 0))
+    rows += [(1000 + i, rows[i][1], "en", rows[i][3], 0) for i in range(40)]
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in quality_rules(spark.createDataFrame(rows, DOCS), min_docs=15, max_broadcast=max_broadcast).collect()}
+    want = brute_verdicts(rows, 15, 0.3)
+    assert got == want and len({x for x, _ in want.values()}) > 10
+
+
+def test_verdicts_on_the_test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in quality_rules(spark.createDataFrame(docs)).collect()}
+    assert got == brute_verdicts([tuple(r) for r in docs], 20, 0.3)
+
+
+def test_length_column_keeps_its_type(spark):
+    rng = random.Random(15)
+    df = spark.createDataFrame([(1, sentence(rng, 80), "en", "h", 5)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert apply_quality_rules(df).schema == df.schema
