@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.catalog import Catalog, UnknownAction
 from lumenframe.functions import text as T
+from lumenframe.operators.numbering import numbered
 
 _UPDATED = ("last_modified", "metadata_json", "is_corrupted", "is_in_trash", "capture_date", "year", "month")
 _KEPT = ("group_id", "location_id", "thumbnail_path", "file_hash")
@@ -23,7 +24,9 @@ def _listed(df: DataFrame, ids: list, name: str) -> DataFrame:
 
 
 def last_of_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """One row of each ``key``: the last by ``order``, of equal ones the greatest by the other columns."""
+    rest = [F.desc_nulls_last(x.name) for x in batch.schema if x.name not in (key, order) and x.dataType.typeName() not in ("map", "variant")]
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(order), *rest)
     return batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -61,7 +64,7 @@ def get_or_create_locations(c: Catalog, places: DataFrame) -> tuple[Catalog, Dat
     have = c.locations.withColumn("key", _place_key())
     new = wanted.join(have.select("key"), "key", "left_anti").dropDuplicates(["key"])
     top = c.locations.agg(F.coalesce(F.max("location_id"), F.lit(0)).alias("top"))
-    new = new.withColumn("n", F.row_number().over(Window.orderBy("key"))).join(F.broadcast(top))  # one row
+    new = numbered(new, "key").join(F.broadcast(top))  # one row
     added = new.select((F.col("top") + F.col("n")).cast("int").alias("location_id"), "country", "prefecture", "city")
     all_ = c.locations.unionByName(added)
     found = wanted.join(all_.withColumn("key", _place_key()).select("key", "location_id"), "key", "left").drop("key")
@@ -249,10 +252,13 @@ def merge_clusters(c: Catalog, sources: list[int], target: int) -> Catalog:
     return c.having(faces=faces, clusters=kept.select(*c.clusters.columns))
 
 
+def numbered_faces(c: Catalog, batch: DataFrame) -> DataFrame:
+    """``batch`` with ``path_key`` and the next ids as ``face_id``."""
+    top = c.faces.agg(F.coalesce(F.max("face_id"), F.lit(0)).alias("top"))
+    new = numbered(batch, "file_path", "frame_index", "x1", "y1", "x2", "y2").join(F.broadcast(top))  # one row
+    return new.withColumns({"face_id": F.col("top") + F.col("n"), "path_key": T.normalize_path(F.col("file_path"))}).drop("top", "n")
+
+
 def add_faces(c: Catalog, batch: DataFrame) -> Catalog:
     """Append faces under the next ids."""
-    top = c.faces.agg(F.coalesce(F.max("face_id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("file_path", "frame_index", "x1", "y1"))
-    new = batch.withColumn("n", number).join(F.broadcast(top)).withColumn("face_id", F.col("top") + F.col("n"))  # one row
-    new = new.withColumn("path_key", T.normalize_path(F.col("file_path")))
-    return c.having(faces=c.faces.unionByName(new.drop("top", "n"), allowMissingColumns=True).select(*c.faces.columns))
+    return c.having(faces=c.faces.unionByName(numbered_faces(c, batch), allowMissingColumns=True).select(*c.faces.columns))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumenframe.catalog import Catalog
 from lumenframe.functions import text as T
 from lumenframe.operators import mutations as M
+from lumenframe.operators.numbering import numbered
+from lumenframe.operators.vectors import nearest_city
 
 
 def keyed(listing: DataFrame) -> DataFrame:
@@ -75,16 +77,11 @@ def cache_valid(listing: DataFrame, c: Catalog, thumbnails: DataFrame, force: bo
 
 def thumbnail_preload(c: Catalog, thumbnails: DataFrame, batch: int = 25) -> DataFrame:
     """Rows with an existing thumbnail, dealt to batches by path."""
-    from pyspark.sql import Window
-
     rows = c.media.where("thumbnail_path is not null").join(thumbnails.select("thumbnail_path"), "thumbnail_path", "left_semi")
-    at = F.row_number().over(Window.orderBy("file_path")) - 1
-    return rows.select("file_path", "thumbnail_path", F.floor(at / batch).cast("int").alias("batch"))
+    return numbered(rows.select("file_path", "thumbnail_path"), "file_path").select("file_path", "thumbnail_path", F.floor((F.col("n") - 1) / batch).cast("int").alias("batch"))
 
 
 def resolve_location(rows: DataFrame, cities: DataFrame) -> DataFrame:
     """A city for rows with coordinates that changed since the stored ones; null otherwise."""
-    from lumenframe.operators.vectors import nearest_city
-
     ask = rows.where("(lat <> 0 or lon <> 0) and not (lat <=> cached_lat)")
     return rows.join(nearest_city(ask.select("id", "lat", "lon"), cities), "id", "left").select("id", "city")

@@ -1,59 +1,22 @@
-"""Vector analytics: range join, clustering, stages, suggestions, suppression.
+"""Vector analytics: clustering, stages, suggestions, suppression.
 
-All distances are in double precision.  The range join is the one place that
-leaves SQL: rows are dealt to blocks of bounded size and every pair of blocks is
-one matrix product in an Arrow function, which returns only pairs in range.
+All distances are in double precision.  Joins of vectors by distance (``blocks``)
+are the one place that leaves SQL.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geo
 from lumenframe.functions import text as T
 from lumenframe.functions import vectors as V
+from lumenframe.operators.blocks import cross_nearest, cross_pairs, range_pairs, range_pairs_within
 from lumenframe.operators.components import connected_components
+from lumenframe.operators.numbering import numbered
 from lumenframe.storage import cut_lineage
 
-BLOCK_ROWS = 2048
-
-
-def _near(radius: float, metric: str, inclusive: bool):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        i, j = key[0].as_py(), key[1].as_py()
-        block = rows.column("block").to_numpy()
-        ids = rows.column("id").to_numpy()
-        flat = np.array(rows.column("vector").to_pylist(), dtype=np.float64)
-        a, b = block == i, block == j
-        if metric == "cosine":
-            norm = np.linalg.norm(flat, axis=1, keepdims=True)
-            flat = flat / np.where(norm > 0, norm, 1)
-            dist = 1 - flat[a] @ flat[b].T
-        else:
-            square = (flat**2).sum(axis=1)
-            dist = square[a][:, None] + square[b][None, :] - 2 * flat[a] @ flat[b].T
-        hit = dist <= radius if inclusive else dist < radius
-        x, y = np.nonzero(hit)
-        left, right, d = ids[a][x], ids[b][y], dist[x, y]
-        keep = left < right if i == j else np.ones(len(left), dtype=bool)
-        left, right, d = left[keep], right[keep], d[keep]
-        return pa.table({"a": np.minimum(left, right), "b": np.maximum(left, right), "distance": d})
-
-    return run
-
-
-def range_pairs(rows: DataFrame, radius: float, metric: str = "l2sq", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a < b, distance`` of every pair of ``id, vector`` within ``radius``. Null vectors match nothing."""
-    rows = rows.where("vector is not null and id is not null").select("id", "vector")
-    blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    met = dealt.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return met.select("i", "j", "block", "id", "vector").groupBy("i", "j").applyInArrow(_near(radius, metric, inclusive), "a long, b long, distance double")
-
 
 def video_pairs(pairs: DataFrame, videos: DataFrame, radius: float, ratio: float = 0.4 / 0.6) -> DataFrame:
     """Pairs that also pass the tighter radius if a side is a video (``id``)."""
@@ -72,8 +35,7 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     core = cut_lineage(core, "dbscan-core")
     dense = pairs.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi")
     joined = core.join(connected_components(dense, "a", "b"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    number = F.dense_rank().over(Window.orderBy("component")) - 1
-    names = joined.select("component").distinct().withColumn("label", number)
+    names = numbered(joined.select("component").distinct(), "component").select("component", (F.col("n") - 1).cast("int").alias("label"))
     labels = cut_lineage(joined.join(names, "component").select("id", "label"), "dbscan-labels")
     border = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
     out = ids.join(labels, "id", "left").join(border, F.col("id") == F.col("a"), "left")
@@ -121,10 +83,7 @@ def known_stages(rows: DataFrame, eps: float = 0.38, min_samples: int = 3, least
 
 def cluster_within(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """Density labels of ``id, owner, vector`` among the same owner's vectors only; label is the least core id."""
-    pairs = range_pairs(rows, eps, "cosine", inclusive=True)
-    own = rows.select("id", "owner")
-    pairs = pairs.join(own.select(F.col("id").alias("a"), F.col("owner").alias("oa")), "a").join(own.select(F.col("id").alias("b"), F.col("owner").alias("ob")), "b")
-    pairs = cut_lineage(pairs.where("oa = ob").select("a", "b"), "within-pairs")
+    pairs = cut_lineage(range_pairs_within(rows, eps, "cosine", inclusive=True).select("a", "b"), "within-pairs")
     both = pairs.union(pairs.select("b", "a"))
     degree = both.groupBy("a").agg((F.count("*") + 1).alias("n")).withColumnRenamed("a", "id")
     core = rows.select("id").join(degree, "id", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("id")
@@ -134,41 +93,42 @@ def cluster_within(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return rows.join(labels, "id", "left").join(near, "id", "left").withColumn("label", F.coalesce("label", "near", F.lit(-1))).drop("near")
 
 
-def nearest_stage(rows: DataFrame, centers: DataFrame, floor: float = 0.0) -> DataFrame:
-    """Each vector's nearest stage, where it lies within the stage's radius or ``floor``.
+MAX_STAGES = 10_000
 
-    ``centers`` is the stated query set: its rows (one per stage of a person)
-    are broadcast up to ``MAX_STAGES`` and matched in blocks of that many.
-    """
-    dist = F.sqrt(V.vec_l2sq(V.vec_normalize(F.col("vector")), F.col("centroid")))
-    met = rows.join(_sized_broadcast(centers.select("stage", "centroid", "radius"))).withColumn("distance", dist)
-    best = F.min_by(F.struct("stage", "radius", "distance"), F.struct("distance", "stage"))
-    near = met.groupBy("id").agg(best.alias("s")).select("id", "s.*")
-    return near.where(F.col("distance") <= F.greatest("radius", F.lit(floor))).select("id", "stage", "distance", (1 - F.col("distance") * F.col("distance") / 2).alias("similarity"))
 
+def _stage_distance() -> Column:
+    return F.sqrt(V.vec_l2sq(V.vec_normalize(F.col("vector")), F.col("centroid")))
 
-MAX_STAGES = 10_000
 
+def nearest_stage(rows: DataFrame, centers: DataFrame, floor: float = 0.0, most: int = MAX_STAGES) -> DataFrame:
+    """Each vector's nearest stage (of equally near ones the least), where it lies within the stage's radius or ``floor``.
 
-def _sized_broadcast(small: DataFrame) -> DataFrame:
-    """``small`` broadcast if it has at most MAX_STAGES rows; larger sets are left to the planner."""
-    small = cut_lineage(small, "query-set")
-    return F.broadcast(small) if small.count() <= MAX_STAGES else small
+    Up to ``most`` centers, one per stage of a person, are broadcast; more meet
+    the rows block by block.
+    """
+    centers = cut_lineage(centers.select("stage", "centroid", "radius"), "stages")
+    if centers.count() <= most:
+        met = rows.join(F.broadcast(centers)).withColumn("distance", _stage_distance())
+    else:
+        met = cross_nearest(rows, centers, floor)
+    best = F.min_by(F.struct("stage", "radius", "distance"), F.struct("distance", "stage"))
+    near = met.groupBy("id").agg(best.alias("s")).select("id", "s.*")
+    return near.where(F.col("distance") <= F.greatest("radius", F.lit(floor))).select("id", "stage", "distance", (1 - F.col("distance") * F.col("distance") / 2).alias("similarity"))
 
 
-def within_any_stage(rows: DataFrame, centers: DataFrame, floor: float = 0.0) -> DataFrame:
+def within_any_stage(rows: DataFrame, centers: DataFrame, floor: float = 0.0, most: int = MAX_STAGES) -> DataFrame:
     """Ids within some stage's radius."""
-    dist = F.sqrt(V.vec_l2sq(V.vec_normalize(F.col("vector")), F.col("centroid")))
-    met = rows.join(_sized_broadcast(centers.select("centroid", "radius")))
-    return met.where(dist <= F.greatest("radius", F.lit(floor))).select("id").distinct()
+    centers = cut_lineage(centers.select("centroid", "radius"), "stages")
+    if centers.count() <= most:
+        met = rows.join(F.broadcast(centers)).where(_stage_distance() <= F.greatest("radius", F.lit(floor)))
+    else:
+        met = cross_nearest(rows, centers.withColumn("stage", F.xxhash64("centroid", "radius")), floor).where("inside")
+    return met.select("id").distinct()
 
 
 def ignored_match(rows: DataFrame, ignored: DataFrame, eps: float = 0.42) -> DataFrame:
     """Ids that lie strictly within ``eps`` of an ignored vector other than themselves."""
-    both = rows.select("id", "vector").unionByName(ignored.select("id", "vector")).dropDuplicates(["id"])
-    pairs = cut_lineage(range_pairs(both, eps, "cosine"), "ignored-pairs")
-    either = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    hit = either.join(ignored.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
+    hit = cut_lineage(cross_pairs(rows, ignored, eps, "cosine").select(F.col("a").alias("id")).distinct(), "ignored-pairs")
     return rows.select("id").join(hit, "id", "left_semi")
 
 
@@ -225,19 +185,20 @@ def norm_stats(rows: DataFrame) -> DataFrame:
 def greedy_keep(rows: DataFrame, by: str, order: list[Column], columns: list[str], conflict) -> DataFrame:
     """In each ``by`` group and in ``order``, keep an item that conflicts with no item kept before; returns all with ``kept``.
 
-    A fold over the sorted items of one file, which are as few as its faces.
+    A fold over the places of the sorted items of one file, which are as few as
+    its faces; only places are remembered.
     """
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *columns)
-    fields = rows.select(*columns).schema.simpleString()
     groups = rows.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("items"))
-    bare = F.transform("items", lambda s: F.struct(*[s[c].alias(c) for c in columns]))
+    item = lambda i: F.get("items", i)
 
-    def step(kept: Column, item: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: conflict(k, item)), kept).otherwise(F.array_append(kept, item))
+    def step(kept: Column, i: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: conflict(item(k), item(i))), kept).otherwise(F.array_append(kept, i))
 
-    kept = F.aggregate(bare, F.array().cast(f"array<{fields}>"), step)
-    out = groups.select(by, F.explode(bare).alias("item"), kept.alias("kept"))
-    return out.select(by, "item.*", F.array_contains("kept", F.col("item")).alias("kept"))
+    places = F.sequence(F.lit(0), F.size("items") - 1)
+    kept = groups.withColumn("places", F.aggregate(places, F.array().cast("array<int>"), step))
+    out = kept.select(by, F.explode(F.transform("items", lambda s, i: F.struct(*[s[c].alias(c) for c in columns], F.array_contains("places", i).alias("kept")))).alias("item"))
+    return out.select(by, "item.*")
 
 
 def _box(s: Column) -> dict[str, Column]:
@@ -256,11 +217,16 @@ def temporal_nms(rows: DataFrame, limit: float = 0.88, by: str = "file") -> Data
     return greedy_keep(rows, by, [-F.col("det_score"), F.col("id")], ["id", "vector"], lambda k, x: V.vec_dot(k["vector"], x["vector"]) / (V.vec_norm(k["vector"]) * V.vec_norm(x["vector"])) > limit).drop("vector")
 
 
-def stored_face_dedup(faces: DataFrame, limit: float = 0.45) -> DataFrame:
-    """Stored photo faces that overlap an earlier one of their file."""
-    rows = faces.where(~T.is_video(F.col("path_key")))
-    kept = greedy_keep(rows, "path_key", [F.col("face_id")], ["face_id", "x1", "y1", "x2", "y2"], lambda k, x: geo.iou(_box(k), _box(x)) > limit)
-    return kept.where("not kept").select("face_id")
+def stored_face_dedup(faces: DataFrame, vectors: DataFrame, iou_limit: float = 0.45, similarity_limit: float = 0.88) -> DataFrame:
+    """Stored faces to remove: those that overlap (photos) or resemble (videos) an earlier one of their file.
+
+    ``vectors``: ``face_id, vector``; a face without one is left alone.
+    """
+    rows = faces.join(vectors.select("face_id", "vector").where("vector is not null"), "face_id")
+    length = lambda x: V.vec_norm(x["vector"]) + 1e-6
+    photo = greedy_keep(rows.where(~T.is_video(F.col("path_key"))), "path_key", [F.col("face_id")], ["face_id", "x1", "y1", "x2", "y2"], lambda k, x: geo.iou(_box(k), _box(x)) > iou_limit)
+    video = greedy_keep(rows.where(T.is_video(F.col("path_key"))), "path_key", [F.col("face_id")], ["face_id", "vector"], lambda k, x: V.vec_dot(k["vector"], x["vector"]) / (length(k) * length(x)) > similarity_limit)
+    return photo.where("not kept").select("face_id").union(video.where("not kept").select("face_id"))
 
 
 def rerank_pairs(pairs: DataFrame, sets: DataFrame, limit: float = 0.95) -> DataFrame:
@@ -298,11 +264,42 @@ def near_groups(media: DataFrame, similar: DataFrame) -> DataFrame:
     return rows.select("component", "file_path", "file_hash", method.alias("method"), F.row_number().over(w.orderBy(*best)).alias("rank"))
 
 
-def nearest_city(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """``id, city`` nearest in degrees; ties go to the least city. Cities are the stated set, broadcast up to MAX_STAGES."""
+def nearest_city(points: DataFrame, cities: DataFrame, most: int = MAX_STAGES) -> DataFrame:
+    """``id, city`` nearest in degrees; ties go to the least city.
+
+    Up to ``most`` cities are broadcast.  More are put on a grid: a point looks
+    at its cell and the eight around it, and has found its nearest city if that
+    is no farther than a cell is wide; other points look again on a grid twice
+    as wide.  Points without coordinates have no row.
+    """
+    points = points.where("lat is not null and lon is not null").select("id", "lat", "lon")
+    cities = cut_lineage(cities.where("city_lat is not null and city_lon is not null").select("city", "city_lat", "city_lon"), "cities")
+    n = cities.count()
     d = geo.degree_distance(F.col("lat"), F.col("lon"), F.col("city_lat"), F.col("city_lon"))
-    met = points.join(_sized_broadcast(cities)).withColumn("d", d)
-    return met.groupBy("id").agg(F.min_by("city", F.struct("d", "city")).alias("city"))
+    best = F.min_by(F.struct(F.col("city").alias("city"), F.col("d").alias("d")), F.struct("d", "city"))
+    if n <= most:
+        return points.join(F.broadcast(cities)).withColumn("d", d).groupBy("id").agg(best["city"].alias("city"))
+    span = cities.agg(F.max("city_lat") - F.min("city_lat"), F.max("city_lon") - F.min("city_lon")).first()
+    reach = points.agg(F.max(F.abs("lat")), F.max(F.abs("lon"))).first()
+    widest = 2 * max(span[0] + 180, span[1] + 360, *(x or 0 for x in reach))
+    width, found, left = max((span[0] * span[1] / n) ** 0.5, 1e-6), [], points
+    while True:
+        cell = lambda lat, lon: (F.floor(F.col(lat) / width).alias("y"), F.floor(F.col(lon) / width).alias("x"))  # noqa: B023, E731
+        around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        spread = cities.select("*", *cell("city_lat", "city_lon")).withColumn("near", around).withColumns({"y": F.col("y") + F.col("near.a"), "x": F.col("x") + F.col("near.b")}).drop("near")
+        met = left.select("*", *cell("lat", "lon")).join(spread, ["y", "x"], "left").withColumn("d", d)
+        done = cut_lineage(met.groupBy("id", "lat", "lon").agg(best.alias("best")), "nearest-city")
+        last = width >= widest
+        sure = F.lit(True) if last else F.coalesce(F.col("best.d") <= width, F.lit(False))
+        found.append(done.where(sure).select("id", F.col("best.city").alias("city")))
+        left = done.where(~sure).select("id", "lat", "lon")
+        if last or left.isEmpty():
+            break
+        width *= 2
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def media_groups(media: DataFrame, vectors: DataFrame, radius: float = 0.6, rerank: float | None = None) -> DataFrame:
