@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators import mutations as X
+from lumenframe.functions import vectors as VF
+from lumenframe.operators import flows
 from lumenframe.operators import vectors as V
 from lumenframe.operators.components import connected_components
+from lumenframe.operators.sync import resolve_location
+from lumenframe.sources.fixtures import face_vectors
 
 EPS = 0.60
 _UNIT = "list_transform(vector, lambda x : CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda y : CAST(y AS DOUBLE) * y))))"
@@ -16,6 +19,97 @@ pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, 1 - list_dot_product(a.v, b.
 _PARTS = """reach AS (SELECT id, id AS other FROM ids UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON r.other = e.a), parts AS (SELECT id, min(other) AS component FROM reach GROUP BY 1)"""
 
 
+_L2SQ = "list_sum(list_transform(list_zip(a.vector, b.vector), lambda p : pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))"
+
+
+def _unit(where: str = "true", name: str = "u", by: str = "0") -> str:
+    """``id, grp, v`` of vectors, as a CTE."""
+    return f"{name} AS MATERIALIZED (SELECT vec_id AS id, {by} AS grp, {_UNIT} AS v FROM features WHERE {where})"
+
+
+def _density(p: str, src: str, eps: float, least: int) -> str:
+    """CTEs up to ``{p}lab(id, grp, c)``: density clusters inside each ``grp``, named by their least core id, -1 for noise."""
+    return f"""{p}n AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM {src} a JOIN {src} b ON a.grp = b.grp AND a.id <> b.id WHERE 1 - list_dot_product(a.v, b.v) <= {eps}),
+{p}core AS MATERIALIZED (SELECT s.id FROM {src} s LEFT JOIN {p}n n ON s.id = n.a GROUP BY s.id HAVING count(n.b) + 1 >= {least}),
+{p}e AS MATERIALIZED (SELECT n.a, n.b FROM {p}n n JOIN {p}core x ON n.a = x.id JOIN {p}core y ON n.b = y.id),
+{p}reach AS (SELECT id, id AS other FROM {p}core UNION SELECT r.id, e.b FROM {p}reach r JOIN {p}e e ON r.other = e.a),
+{p}comp AS MATERIALIZED (SELECT id, min(other) AS c FROM {p}reach GROUP BY 1),
+{p}near AS MATERIALIZED (SELECT n.a AS id, min(k.c) AS c FROM {p}n n JOIN {p}comp k ON n.b = k.id GROUP BY 1),
+{p}lab AS MATERIALIZED (SELECT s.id, s.grp, coalesce(k.c, r.c, -1) AS c FROM {src} s LEFT JOIN {p}comp k ON s.id = k.id LEFT JOIN {p}near r ON s.id = r.id)"""
+
+
+def _numbers(p: str) -> str:
+    """``{p}num(c, label)``: clusters numbered from 0."""
+    return f"{p}num AS MATERIALIZED (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT c FROM {p}lab WHERE c <> -1))"
+
+
+def _centers(p: str, src: str, lab: str) -> str:
+    """CTEs up to ``{p}st(grp, c, members, center, radius)`` of the clusters of ``lab``."""
+    return f"""{p}mean AS MATERIALIZED (SELECT l.grp, l.c, r.i, avg(s.v[r.i]) AS x, count(*) AS members FROM {lab} l JOIN {src} s ON l.id = s.id, range(1, 65) r(i) WHERE l.c <> -1 GROUP BY 1, 2, 3),
+{p}raw AS MATERIALIZED (SELECT grp, c, CAST(max(members) AS BIGINT) AS members, list(x ORDER BY i) AS m FROM {p}mean GROUP BY 1, 2),
+{p}cen AS MATERIALIZED (SELECT grp, c, members, list_transform(m, lambda x : x / sqrt(list_dot_product(m, m))) AS center FROM {p}raw),
+{p}st AS MATERIALIZED (SELECT e.grp, e.c, any_value(e.members) AS members, any_value(e.center) AS center, max(list_distance(s.v, e.center)) AS radius FROM {p}cen e JOIN {lab} l ON l.grp = e.grp AND l.c = e.c JOIN {src} s ON s.id = l.id GROUP BY 1, 2)"""
+
+
+def _stages_sql(p: str, src: str, eps: float, min_samples: int, least: int = 5) -> str:
+    """One owner's stages: clusters, or one mean for few vectors or no cluster."""
+    whole = f"(SELECT count(*) FROM {src}) < {least} OR NOT EXISTS (SELECT 1 FROM {p}lab WHERE c <> -1)"
+    return f"""{_density(p, src, eps, min_samples)},
+{p}use AS MATERIALIZED (SELECT id, grp, CASE WHEN {whole} THEN 0 ELSE c END AS c FROM {p}lab),
+{_centers(p, src, p + "use")},
+{p}stage AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c) - 1 AS stage, members, center, radius FROM {p}st)"""
+
+
+def _known_sql(p: str, src: str, eps: float = 0.38, min_samples: int = 3, least: int = 50) -> str:
+    """Every person's stages: a mean for persons with few vectors, clusters inside a person otherwise."""
+    return f"""{_density(p, src, eps, min_samples)},
+{p}size AS (SELECT grp, count(*) AS n FROM {src} GROUP BY 1),
+{p}use AS MATERIALIZED (SELECT l.id, l.grp, CASE WHEN z.n < {least} THEN 0 ELSE l.c END AS c FROM {p}lab l JOIN {p}size z ON l.grp = z.grp),
+{_centers(p, src, p + "use")}"""
+
+
+def _nearest_sql(rows: str, stages: str, floor: float) -> str:
+    """``id, stage, distance`` of each row's nearest stage, where it is near enough."""
+    return f"SELECT id, stage, distance FROM (SELECT r.id, s.stage, s.radius, list_distance(r.v, s.center) AS distance FROM {rows} r, {stages} s QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY list_distance(r.v, s.center), s.stage) = 1) WHERE distance <= greatest(radius, {floor})"
+
+
+def _greedy_sql(src: str, order: str, conflict: str) -> str:
+    """CTEs up to ``kept(grp, id, kept)``: the first of ``src(grp, id, ...)`` stay, others unless they conflict with one that stays."""
+    return f"""it AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {order}) AS pos FROM {src}),
+rivals AS MATERIALIZED (SELECT b.grp, b.pos, list(a.pos) AS r FROM it a JOIN it b ON a.grp = b.grp AND a.pos < b.pos WHERE {conflict} GROUP BY 1, 2),
+turn AS MATERIALIZED (SELECT it.grp, it.pos, it.id, coalesce(r.r, []) AS r FROM it LEFT JOIN rivals r ON it.grp = r.grp AND it.pos = r.pos),
+fold AS (SELECT grp, CAST(1 AS BIGINT) AS pos, [CAST(1 AS BIGINT)] AS held FROM turn WHERE pos = 1
+  UNION ALL SELECT f.grp, t.pos, CASE WHEN list_has_any(f.held, t.r) THEN f.held ELSE list_append(f.held, t.pos) END FROM fold f JOIN turn t ON t.grp = f.grp AND t.pos = f.pos + 1),
+ends AS MATERIALIZED (SELECT grp, arg_max(held, pos) AS held FROM fold GROUP BY 1),
+kept AS MATERIALIZED (SELECT t.grp, t.id, list_contains(e.held, t.pos) AS kept FROM turn t JOIN ends e ON t.grp = e.grp)"""
+
+
+_W = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1))"
+_H = "greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+_UNION = f"((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_W} * {_H})"
+_OVERLAP = f"CASE WHEN {_UNION} > 0 THEN {_W} * {_H} / {_UNION} ELSE 0.0 END > 0.45"
+_FACE_VECTORS = f"fv AS MATERIALIZED (SELECT f.face_id AS id, e.vector AS raw, {_UNIT.replace('vector', 'e.vector')} AS v FROM faces f JOIN features e ON (f.face_id // 1000 * 7 + f.face_id % 1000 // 2) % (SELECT count(*) FROM features) = e.vec_id)"
+_VIDEO = "regexp_matches(f.path_key, '\\.(mp4|avi|mov|mkv)$')"
+
+
+def _near_groups_sql(rerank: float | None = None) -> str:
+    """CTEs up to ``ng(component, file_path, file_hash, method, rank)`` of the vectors seen as files."""
+    patch = "list_transform(range(0, 8), lambda i : list_transform({0}[i * 8 + 1 : i * 8 + 8], lambda x : CAST(x AS DOUBLE)))"
+    unit = "list_transform({0}, lambda r : list_transform(r, lambda x : x / sqrt(list_dot_product(r, r))))"
+    side = "list_avg(list_transform({0}, lambda x : list_max(list_transform({1}, lambda y : list_dot_product(x, y)))))"
+    keep = "" if rerank is None else f" AND ({side.format('x.p', 'y.p')} + {side.format('y.p', 'x.p')}) / 2 > {rerank}"
+    return f"""vm AS MATERIALIZED (SELECT vec_id AS id, concat('vec/', vec_id, CASE WHEN vec_id % 10 = 0 THEN '.mp4' ELSE '.jpg' END) AS file_path, CASE WHEN vec_id % 20 < 2 THEN concat('h', vec_id // 2) ELSE concat('i', vec_id) END AS h, vec_id * 3 AS size, vec_id % 3 = 0 OR vec_id % 5 = 0 AS good,
+  vec_id % 10 = 0 AS video, vector, {unit.format(patch.format('vector'))} AS p FROM features),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_L2SQ} AS d FROM vm a JOIN vm b ON a.id < b.id),
+accepted AS MATERIALIZED (SELECT x.file_path AS a, y.file_path AS b, x.video OR y.video AS video FROM near n JOIN vm x ON n.a = x.id JOIN vm y ON n.b = y.id WHERE n.d < {2 * EPS} AND ((NOT x.video AND NOT y.video) OR n.d < {2 * EPS} * (0.4::DOUBLE / 0.6::DOUBLE)) AND x.h <> y.h{keep}),
+edge AS MATERIALIZED (SELECT a, b FROM accepted UNION SELECT b, a FROM accepted UNION SELECT x.file_path, y.file_path FROM vm x JOIN vm y ON x.h = y.h AND x.id <> y.id),
+walk AS (SELECT a AS id, a AS other FROM edge UNION SELECT w.id, e.b FROM walk w JOIN edge e ON w.other = e.a),
+member AS MATERIALIZED (SELECT id AS file_path, min(other) AS component FROM walk GROUP BY 1),
+ng AS MATERIALIZED (SELECT m.component, m.file_path, v.h, CASE WHEN min(v.h) OVER w = max(v.h) OVER w THEN 'exact' WHEN bool_or(t.a IS NOT NULL) OVER w THEN 'ai_local_video' ELSE 'ai_local' END AS method,
+  CAST(row_number() OVER (PARTITION BY m.component ORDER BY v.good DESC, v.size DESC, m.file_path) AS INTEGER) AS rank
+  FROM member m JOIN vm v ON m.file_path = v.file_path LEFT JOIN (SELECT DISTINCT a FROM accepted WHERE video) t ON t.a = m.file_path WINDOW w AS (PARTITION BY m.component))"""
+
+
 def _rows(c, where: str = "true") -> DataFrame:
     return c.features.where(where).select(F.col("vec_id").alias("id"), F.col("label").alias("owner"), "vector")
 
@@ -44,6 +138,13 @@ def _vector_media(c) -> DataFrame:
     return _path(c, _rows(c)).selectExpr("file_path", "md5(concat(id div 2 * case when id % 20 < 2 then 1 else 0 end, case when id % 20 < 2 then '' else cast(id as string) end)) as file_hash", "id * 3 as size", "id % 3 = 0 as has_exif_date", "id % 5 = 0 as has_location")
 
 
+_SUGGEST = f", {_unit('label <> 1')}, {_unit('label = 1', 'o')}, {_stages_sql('k', 'o', 0.38, 2)}, best AS MATERIALIZED ({_nearest_sql('u', 'kstage', 1.2)})"
+_GENERAL = f""", {_unit("label > 4")}, {_density("g", "u", EPS, 1)}, {_numbers("g")}, gsize AS (SELECT c, count(*) AS members FROM glab GROUP BY 1),
+{_unit("label IN (1, 2)", "pv", "label")}, {_known_sql("k", "pv")}, {_unit("label = 3", "ig")}, {_stages_sql("q", "ig", 0.35, 3)},
+known AS (SELECT DISTINCT u.id FROM u, kst s WHERE list_distance(u.v, s.center) <= s.radius),
+alike AS (SELECT DISTINCT u.id FROM u, qstage s WHERE list_distance(u.v, s.center) <= greatest(s.radius, 0.45)),
+general AS MATERIALIZED (SELECT l.id, n.label, z.members, CASE WHEN a.id IS NOT NULL THEN 'IGNORE_IDENTICAL' WHEN z.members <= 2 THEN 'IGNORE_RARE' ELSE 'SUGGEST_NEW' END AS kind
+  FROM glab l JOIN gnum n ON l.c = n.c JOIN gsize z ON l.c = z.c LEFT JOIN alike a ON l.id = a.id WHERE l.id NOT IN (SELECT id FROM known))"""
 _COMPONENTS = f"""
 , {_PAIRS}, both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), ids AS (SELECT a AS id FROM both_ UNION SELECT b FROM both_), {_PARTS}"""
 
@@ -62,12 +163,15 @@ FROM features a JOIN features b ON a.vec_id < b.vec_id) WHERE d < 2 * {EPS}""",
         lambda c, s, d: V.dbscan(_rows(c), EPS, 2),
         f"{_COMPONENTS}, named AS (SELECT id, dense_rank() OVER (ORDER BY component) - 1 AS label FROM parts) SELECT u.id, CAST(coalesce(n.label, -1) AS INTEGER) AS label FROM u LEFT JOIN named n ON u.id = n.id",
     ),
-    "dbscan_border": (lambda c, s, d: V.dbscan(_rows(c), EPS, 3), None),
+    "dbscan_border": (
+        lambda c, s, d: V.dbscan(_rows(c), EPS, 3),
+        f", {_unit()}, {_density('k', 'u', EPS, 3)}, {_numbers('k')} SELECT l.id, coalesce(n.label, -1) AS label FROM klab l LEFT JOIN knum n ON l.c = n.c",
+    ),
     "outlier_summary": (
         lambda c, s, d: V.outlier_summary(_rows(c), EPS, 2),
         f"{_COMPONENTS} SELECT (SELECT count(*) FROM u) AS total, (SELECT count(*) FROM u) - (SELECT count(*) FROM parts) AS outliers, (SELECT count(DISTINCT component) FROM parts) AS stages",
     ),
-    "person_outliers": (lambda c, s, d: V.person_outliers(_rows(c, "label = 3"), 0.7, 2), None),
+    "person_outliers": (lambda c, s, d: V.person_outliers(_rows(c, "label = 3"), 0.7, 2), f", {_unit('label = 3')}, {_density('k', 'u', 0.7, 2)} SELECT id FROM klab WHERE c = -1"),
     "exact_edges": (
         lambda c, s, d: V.exact_edges(_docs(s, d)),
         f", {_DOCS} SELECT src, file_path AS dst FROM (SELECT file_path, min(file_path) OVER (PARTITION BY file_hash) AS src FROM docs) WHERE src <> file_path",
@@ -76,8 +180,18 @@ FROM features a JOIN features b ON a.vec_id < b.vec_id) WHERE d < 2 * {EPS}""",
         lambda c, s, d: V.near_groups(_docs(s, d), _docs(s, d).select(F.col("file_path").alias("src"), F.col("file_path").alias("dst")).limit(0)).select("component", "file_path", "method", "rank"),
         f", {_DOCS} SELECT min(file_path) OVER w AS component, file_path, 'exact' AS method, CAST(row_number() OVER (PARTITION BY file_hash ORDER BY good DESC, size DESC, file_path) AS INTEGER) AS rank FROM docs WINDOW w AS (PARTITION BY file_hash) QUALIFY count(*) OVER w > 1",
     ),
-    "near_groups": (lambda c, s, d: V.media_groups(_vector_media(c), _path(c, _rows(c)), 2 * EPS), None),
-    "rerank_pairs": (lambda c, s, d: V.media_groups(_vector_media(c), _path(c, _rows(c)), 2 * EPS, 0.35), None),
+    "near_groups": (
+        lambda c, s, d: V.media_groups(_vector_media(c), _path(c, _rows(c)), 2 * EPS).select("component", "file_path", "method", "rank"),
+        f", {_near_groups_sql()} SELECT component, file_path, method, rank FROM ng",
+    ),
+    "rerank_pairs": (
+        lambda c, s, d: V.rerank_pairs(V.range_pairs(_rows(c), 2 * EPS), c.features.select(F.col("vec_id").alias("id"), VF.patches(F.col("vector")).alias("patches")), 0.35).select("a", "b", F.round("similarity", 5).alias("similarity")),
+        """, vm AS MATERIALIZED (SELECT vec_id AS id, vector, list_transform(list_transform(range(0, 8), lambda i : list_transform(vector[i * 8 + 1 : i * 8 + 8], lambda x : CAST(x AS DOUBLE))), lambda r : list_transform(r, lambda x : x / sqrt(list_dot_product(r, r)))) AS p FROM features),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.p AS pa, b.p AS pb FROM vm a JOIN vm b ON a.id < b.id WHERE """
+        + f"{_L2SQ} < {2 * EPS}),"
+        + """ sim AS MATERIALIZED (SELECT a, b, (list_avg(list_transform(pa, lambda x : list_max(list_transform(pb, lambda y : list_dot_product(x, y))))) + list_avg(list_transform(pb, lambda x : list_max(list_transform(pa, lambda y : list_dot_product(x, y)))))) / 2 AS similarity FROM near)
+SELECT a, b, round(similarity, 5) AS similarity FROM sim WHERE similarity > 0.35""",
+    ),
     "drop_connected": (
         lambda c, s, d: V.drop_connected(V.range_pairs(_rows(c), EPS, "cosine", True).select("a", "b"), _rows(c).select("id", (F.col("id") % 2).alias("component"))),
         f", {_PAIRS} SELECT a, b FROM pairs WHERE a % 2 <> b % 2",
@@ -91,22 +205,63 @@ FROM features a JOIN features b ON a.vec_id < b.vec_id) WHERE d < 2 * {EPS}""",
         f""", u AS (SELECT label AS owner, {_UNIT} AS v FROM features), p AS (SELECT owner, i, avg(v[i]) AS x, count(*) AS members FROM u, range(1, 65) r(i) GROUP BY ALL)
 SELECT owner, CAST(max(members) AS BIGINT) AS members, round(max(x) FILTER (i = 1) / sqrt(sum(x * x)), 6) AS x0 FROM p GROUP BY 1""",
     ),
-    "cluster_radius": (lambda c, s, d: V.with_radius(_rows(c), V.centroids(_rows(c), "owner"), "owner").select("owner", F.round("radius", 6).alias("radius")), None),
-    "norm_stats": (lambda c, s, d: V.norm_stats(_rows(c)), " SELECT count(*) AS n, CAST(1.0 AS DOUBLE) AS min_norm, CAST(1.0 AS DOUBLE) AS max_norm, CAST(1.0 AS DOUBLE) AS mean_norm FROM features"),
-    "sort_by_centroid": (lambda c, s, d: V.sort_by_centroid(_rows(c), _rows(c, "label = 2")).orderBy(F.desc("similarity"), "id").select("id", F.round("similarity", 5).alias("similarity")), None),
+    "cluster_radius": (
+        lambda c, s, d: V.with_radius(_rows(c), V.centroids(_rows(c), "owner"), "owner").select("owner", F.round("radius", 5).alias("radius")),
+        f", {_unit()}, lab AS MATERIALIZED (SELECT vec_id AS id, 0 AS grp, label AS c FROM features), {_centers('k', 'u', 'lab')} SELECT c AS owner, round(radius, 5) AS radius FROM kst",
+    ),
+    "norm_stats": (
+        lambda c, s, d: V.norm_stats(c.features.select(F.expr("transform(vector, x -> x * (1 + vec_id % 7))").alias("vector"))),
+        """, l AS (SELECT sqrt(list_sum(list_transform(vector, lambda x : pow(CAST(CAST(x AS FLOAT) * CAST(1 + vec_id % 7 AS FLOAT) AS DOUBLE), 2)))) AS x FROM features)
+SELECT count(*) AS n, round(min(x), 6) AS min_norm, round(max(x), 6) AS max_norm, round(avg(x), 6) AS mean_norm FROM l""",
+    ),
+    "sort_by_centroid": (
+        lambda c, s, d: V.sort_by_centroid(_rows(c), _rows(c, "label = 2")).orderBy(F.desc("similarity"), "id").select("id", F.round("similarity", 5).alias("similarity")),
+        f", {_unit()}, own AS MATERIALIZED (SELECT vec_id AS id, 0 AS grp, 0 AS c FROM features WHERE label = 2), {_centers('k', 'u', 'own')} SELECT id, round(list_dot_product(v, center), 5) AS similarity FROM u, kcen",
+    ),
     "ignored_match": (
         lambda c, s, d: V.ignored_match(_rows(c, "label <> 9"), _rows(c, "label = 9"), EPS),
         f", {_PAIRS}, own AS (SELECT a AS id, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs) SELECT DISTINCT o.id FROM own o JOIN u i ON o.id = i.id JOIN u j ON o.other = j.id WHERE i.owner <> 9 AND j.owner = 9",
     ),
-    "cluster_folder": (lambda c, s, d: V.cluster_faces(_rows(c, "label <> 9"), _rows(c, "label = 9"), EPS, 2, 1000), None),
-    "person_stages": (lambda c, s, d: V.stages(_rows(c, "label = 1"), 0.8, 2).select("stage", "members", F.round("radius", 5).alias("radius")), None),
-    "known_stages": (lambda c, s, d: V.known_stages(_rows(c), 0.8, 3).select("owner", "stage", "members"), None),
-    "ignored_stages": (lambda c, s, d: V.stages(_rows(c, "label = 9"), 0.75, 3).select("stage", "members"), None),
-    "suggest_for_person": (lambda c, s, d: V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2).select("id", "stage", F.round("distance", 5).alias("distance")), None),
-    "suggest_general": (lambda c, s, d: V.suggest_general(_rows(c, "label > 4"), _rows(c, "label in (1, 2)"), _rows(c, "label = 3"), EPS), None),
-    "spatial_nms": (lambda c, s, d: V.spatial_nms(c.faces).select("frame", "face_id", "kept"), None),
-    "temporal_nms": (lambda c, s, d: V.temporal_nms(_rows(c).withColumn("file", F.col("id") % 50).withColumn("det_score", (F.col("id") % 13).cast("double")), 0.2), None),
-    "stored_face_dedup": (lambda c, s, d: V.stored_face_dedup(c.faces), None),
+    "cluster_folder": (
+        lambda c, s, d: V.cluster_faces(_rows(c, "label <> 9"), _rows(c, "label = 9"), EPS, 2, 1000),
+        f""", {_PAIRS}, own AS (SELECT a AS id, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs),
+hit AS MATERIALIZED (SELECT DISTINCT o.id FROM own o JOIN u i ON o.id = i.id JOIN u j ON o.other = j.id WHERE i.owner <> 9 AND j.owner = 9),
+w AS MATERIALIZED (SELECT id, 0 AS grp, v FROM u WHERE owner <> 9 AND id NOT IN (SELECT id FROM hit)), {_density("k", "w", EPS, 2)}, {_numbers("k")}
+SELECT l.id, coalesce(n.label + 1000, -1) AS label, false AS matches_ignored FROM klab l LEFT JOIN knum n ON l.c = n.c UNION ALL SELECT id, NULL, true FROM hit""",
+    ),
+    "person_stages": (
+        lambda c, s, d: V.stages(_rows(c, "label = 1"), 0.8, 2).select("stage", "members", F.round("radius", 5).alias("radius")),
+        f", {_unit('label = 1')}, {_stages_sql('k', 'u', 0.8, 2)} SELECT CAST(stage AS INTEGER) AS stage, members, round(radius, 5) AS radius FROM kstage",
+    ),
+    "known_stages": (
+        lambda c, s, d: V.known_stages(_rows(c), 0.8, 3).select("owner", "stage", "members", F.round("radius", 5).alias("radius")),
+        f", {_unit('true', 'u', 'label')}, {_known_sql('k', 'u', 0.8, 3)} SELECT grp AS owner, c AS stage, members, round(radius, 5) AS radius FROM kst",
+    ),
+    "ignored_stages": (
+        lambda c, s, d: V.stages(_rows(c, "label = 9"), 0.75, 3).select("stage", "members"),
+        f", {_unit('label = 9')}, {_stages_sql('k', 'u', 0.75, 3)} SELECT CAST(stage AS INTEGER) AS stage, members FROM kstage",
+    ),
+    "suggest_for_person": (
+        lambda c, s, d: V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2).select("id", "stage", F.round("distance", 5).alias("distance")),
+        f"{_SUGGEST} SELECT id, CAST(stage AS INTEGER) AS stage, round(distance, 5) AS distance FROM best ORDER BY best.distance, id LIMIT 1000",
+    ),
+    "suggest_general": (
+        lambda c, s, d: V.suggest_general(_rows(c, "label > 4"), _rows(c, "label in (1, 2)"), _rows(c, "label = 3"), EPS),
+        f"{_GENERAL} SELECT * FROM general ORDER BY kind DESC, id DESC LIMIT 1000",
+    ),
+    "spatial_nms": (
+        lambda c, s, d: V.spatial_nms(c.faces).select("frame", "face_id", "kept"),
+        f", src AS (SELECT concat(path_key, '#', frame_index) AS grp, face_id AS id, x1, y1, x2, y2, det_score FROM faces), {_greedy_sql('src', 'det_score DESC, id', _OVERLAP)} SELECT grp AS frame, id AS face_id, kept FROM kept",
+    ),
+    "temporal_nms": (
+        lambda c, s, d: V.temporal_nms(_rows(c).withColumn("file", F.col("id") % 50).withColumn("det_score", (F.col("id") % 13).cast("double")), 0.2),
+        f", src AS (SELECT vec_id % 50 AS grp, vec_id AS id, vec_id % 13 AS det_score, {_UNIT} AS v FROM features), {_greedy_sql('src', 'det_score DESC, id', 'list_dot_product(a.v, b.v) > 0.2')} SELECT grp AS file, id, kept FROM kept",
+    ),
+    "stored_face_dedup": (
+        lambda c, s, d: V.stored_face_dedup(c.faces, face_vectors(c)),
+        f""", {_FACE_VECTORS}, src AS (SELECT f.path_key AS grp, f.face_id AS id, {_VIDEO} AS video, v.v, x1, y1, x2, y2 FROM faces f JOIN fv v ON f.face_id = v.id),
+{_greedy_sql("src", "id", f"CASE WHEN a.video THEN list_dot_product(a.v, b.v) > 0.88 ELSE {_OVERLAP} END")} SELECT id AS face_id FROM kept WHERE NOT kept""",
+    ),
     "nearest_city": (
         lambda c, s, d: V.nearest_city(_points(s, d), _cities(c)),
         """, p AS (SELECT c_custkey AS id, c_custkey % 180 - 90 + 0.37::DOUBLE AS lat, c_custkey * 7 % 360 - 180 + 0.53::DOUBLE AS lon FROM customer),
@@ -114,21 +269,34 @@ q AS (SELECT prefecture AS city, CAST((location_id * 37 % 180) - 90 AS DOUBLE) A
 SELECT id, city FROM p, q QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt((lat - y) * (lat - y) + (lon - x) * (lon - x)), city) = 1""",
     ),
     "resolve_location": (
-        lambda c, s, d: __import__("lumenframe.operators.sync", fromlist=["resolve_location"]).resolve_location(_points(s, d).withColumn("cached_lat", F.when(F.col("id") % 2 == 0, F.col("lat"))), _cities(c)).select("id", F.col("city").isNotNull().alias("found")),
+        lambda c, s, d: resolve_location(_points(s, d).withColumn("cached_lat", F.when(F.col("id") % 2 == 0, F.col("lat"))), _cities(c)).select("id", F.col("city").isNotNull().alias("found")),
         " SELECT c_custkey AS id, c_custkey % 2 <> 0 AS found FROM customer",
     ),
-    "nearest_stage": (lambda c, s, d: V.nearest_stage(_rows(c, "label <> 1"), V.stages(_rows(c, "label = 1"), 0.8, 2), 1.2).select("id", "stage"), None),
-    "any_stage_within": (lambda c, s, d: V.within_any_stage(_rows(c, "label <> 1"), V.stages(_rows(c, "label = 1"), 0.8, 2), 1.2), None),
+    "nearest_stage": (
+        lambda c, s, d: V.nearest_stage(_rows(c, "label <> 1"), V.stages(_rows(c, "label = 1"), 0.8, 2), 1.2).select("id", "stage"),
+        f", {_unit('label <> 1')}, {_unit('label = 1', 'o')}, {_stages_sql('k', 'o', 0.8, 2)}, best AS ({_nearest_sql('u', 'kstage', 1.2)}) SELECT id, CAST(stage AS INTEGER) AS stage FROM best",
+    ),
+    "any_stage_within": (
+        lambda c, s, d: V.within_any_stage(_rows(c, "label <> 1"), V.stages(_rows(c, "label = 1"), 0.8, 2), 1.2),
+        f", {_unit('label <> 1')}, {_unit('label = 1', 'o')}, {_stages_sql('k', 'o', 0.8, 2)} SELECT DISTINCT u.id FROM u, kstage s WHERE list_distance(u.v, s.center) <= greatest(s.radius, 1.2)",
+    ),
     "representative_hydrate": (
         lambda c, s, d: V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2, 50).join(c.features.select(F.col("vec_id").alias("id"), "file_path"), "id").select("id", "file_path"),
-        None,
+        f"{_SUGGEST} SELECT id, concat('vec/', id) AS file_path FROM best ORDER BY distance, id LIMIT 50",
     ),
     "suggestion_sections": (
         lambda c, s, d: V.suggestion_sections(V.suggest_general(_rows(c, "label > 4"), _rows(c, "label in (1, 2)"), _rows(c, "label = 3"), EPS), [F.desc("kind"), F.desc("id")]).select("id", "kind", "is_header"),
-        None,
+        f"{_GENERAL}, page AS (SELECT * FROM general ORDER BY kind DESC, id DESC LIMIT 1000) SELECT id, kind, CAST(lag(kind) OVER (ORDER BY kind DESC, id DESC) IS DISTINCT FROM kind AS INTEGER) AS is_header FROM page",
+    ),
+    "suggestion_chunk_resort": (
+        lambda c, s, d: V.chunk_resort(V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2)).select("id", "chunk", "place"),
+        f"""{_SUGGEST}, page AS (SELECT *, CAST((row_number() OVER (ORDER BY distance, id) - 1) // 50 AS INTEGER) AS chunk FROM (SELECT * FROM best ORDER BY distance, id LIMIT 1000))
+SELECT id, chunk, CAST(row_number() OVER (PARTITION BY chunk ORDER BY distance, id) AS INTEGER) AS place FROM page""",
+    ),
+    "suggestion_topk": (
+        lambda c, s, d: V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2, 20).select("id"),
+        f"{_SUGGEST} SELECT id FROM best ORDER BY distance, id LIMIT 20",
     ),
-    "suggestion_chunk_resort": (lambda c, s, d: V.chunk_resort(V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2)).select("id", "chunk", "place"), None),
-    "suggestion_topk": (lambda c, s, d: V.suggest_for_person(_rows(c, "label <> 1"), _rows(c, "label = 1"), 1.2, 20).select("id"), None),
     "face_vectors_by_ids": (
         lambda c, s, d: _rows(c).where(F.col("id").isin(3, 5, 8)).select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("x")),
         " SELECT vec_id AS id, round(CAST(vector[1] AS DOUBLE), 6) AS x FROM features WHERE vec_id IN (3, 5, 8)",
@@ -139,8 +307,8 @@ SELECT id, city FROM p, q QUALIFY row_number() OVER (PARTITION BY id ORDER BY sq
         f", {_PAIRS} SELECT a AS id FROM pairs UNION SELECT b FROM pairs",
     ),
     "search_or_compute": (
-        lambda c, s, d: V.search_or_compute(c.media.where("group_id is not null").select("group_id", "file_path"), lambda: c.media.limit(0).select("group_id", "file_path")),
-        " SELECT group_id, file_path FROM media WHERE group_id IS NOT NULL",
+        lambda c, s, d: _stored_and_computed(c),
+        " SELECT 'stored' AS way, group_id, file_path FROM media WHERE group_id IS NOT NULL UNION ALL SELECT 'computed', min(file_path) OVER (PARTITION BY file_hash), file_path FROM media QUALIFY count(*) OVER (PARTITION BY file_hash) > 1",
     ),
     "simulate_groups": (
         lambda c, s, d: V.simulate_groups(_path(c, _rows(c)), 2 * EPS).groupBy("group_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups")),
@@ -149,15 +317,29 @@ pairs AS MATERIALIZED (SELECT a, b FROM (SELECT a.id AS a, b.id AS b, list_sum(l
 both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), ids AS (SELECT a AS id FROM both_ UNION SELECT b FROM both_), {_PARTS}
 SELECT n, count(*) AS groups FROM (SELECT component, count(*) AS n FROM parts GROUP BY 1) GROUP BY 1""",
     ),
-    "cluster_representative": (lambda c, s, d: V.cluster_representative(_rows(c)), None),
-    "find_duplicates": (lambda c, s, d: V.media_groups(_vector_media(c), _path(c, _rows(c)), 2 * EPS, 0.35).select("component", "file_path", "method"), None),
-    "face_pipeline": (
-        lambda c, s, d: V.detected_faces(
-            c.faces.select(F.col("face_id").alias("id"), "path_key", "frame_index", "x1", "y1", "x2", "y2", "det_score", F.array(*[F.col(k).cast("float") for k in ("x1", "y1", "x2", "y2")]).alias("vector"))
-        ).select("id"),
-        None,
+    "cluster_representative": (
+        lambda c, s, d: V.cluster_representative(_rows(c)),
+        f""", {_unit()}, lab AS MATERIALIZED (SELECT vec_id AS id, 0 AS grp, label AS c FROM features), {_centers("k", "u", "lab")}
+SELECT l.c AS owner, l.id FROM lab l JOIN u ON l.id = u.id JOIN kcen e ON e.c = l.c QUALIFY row_number() OVER (PARTITION BY l.c ORDER BY list_dot_product(u.v, e.center) DESC, l.id) = 1""",
+    ),
+    "find_duplicates": (
+        lambda c, s, d: V.media_groups(_vector_media(c), _path(c, _rows(c)), 2 * EPS, 0.35).select("component", "file_path", "method"),
+        f", {_near_groups_sql(0.35)} SELECT component, file_path, method FROM ng",
+    ),
+    "detected_faces": (
+        lambda c, s, d: V.detected_faces(_detections(c, c.faces)).select("id"),
+        f""", {_FACE_VECTORS}, src AS (SELECT concat(path_key, '#', frame_index) AS grp, face_id AS id, path_key, x1, y1, x2, y2, det_score FROM faces), {_greedy_sql("src", "det_score DESC, id", _OVERLAP)},
+src2 AS MATERIALIZED (SELECT s.path_key AS grp, s.id, s.det_score, v.v FROM src s JOIN kept k ON s.id = k.id JOIN fv v ON v.id = s.id WHERE k.kept),
+{_greedy_sql("src2", "det_score DESC, id", "list_dot_product(a.v, b.v) > 0.88").replace("it AS", "it2 AS").replace(" it", " it2").replace("it.", "it2.").replace("rivals", "rivals2").replace("turn", "turn2").replace("fold", "fold2").replace("ends", "ends2").replace("kept AS MAT", "kept2 AS MAT")}
+SELECT id FROM kept2 WHERE kept""",
+    ),
+    "face_pipeline": (lambda c, s, d: _pipeline(c), None),
+    "regroup": (
+        lambda c, s, d: _regroup(c),
+        f""", {_near_groups_sql()}, stored AS (SELECT *, CASE WHEN id % 6 = 0 THEN 'old_ai' WHEN id % 6 = 1 THEN 'old_exact' END AS old FROM vm),
+named AS (SELECT component, CASE WHEN h LIKE 'h%' OR h LIKE 'i%' THEN h END AS group_id FROM ng WHERE rank = 1)
+SELECT s.file_path, coalesce(n.group_id, CASE WHEN s.old = 'old_exact' THEN s.old END) AS group_id FROM stored s LEFT JOIN ng g ON g.file_path = s.file_path LEFT JOIN named n ON n.component = g.component""",
     ),
-    "regroup": (lambda c, s, d: _regroup(c, s, d), None),
 }
 
 
@@ -170,9 +352,35 @@ def _drift(s, d) -> DataFrame:
     return found.select("component").distinct().join(touched, "component", "left_anti")
 
 
-def _regroup(c, s, d) -> DataFrame:
-    """Clear similarity groups, find groups again and store them."""
-    cleared = X.clear_ai_groups(c)
-    found = V.near_groups(c.media, c.media.select(F.col("file_path").alias("src"), F.col("file_path").alias("dst")).limit(0))
-    members = found.join(c.media.select("file_path", "path_key"), "file_path")
-    return X.persist_groups(cleared, members).media.select("file_path", "group_id")
+def _stored_and_computed(c) -> DataFrame:
+    """Both ways of the search: what is stored, and what is computed if nothing is."""
+    files = c.media.select("file_path", "file_hash", "size", "has_exif_date", "has_location")
+    none = files.select(F.col("file_path").alias("src"), F.col("file_path").alias("dst")).limit(0)
+    found = lambda: V.near_groups(files, none).select(F.col("component").alias("group_id"), "file_path")
+    stored = c.media.where("group_id is not null").select("group_id", "file_path")
+    ways = [V.search_or_compute(rows, found).select(F.lit(way).alias("way"), "group_id", "file_path") for way, rows in (("stored", stored), ("computed", stored.where("group_id = ''")))]
+    return ways[0].union(ways[1])
+
+
+def _detections(c, faces: DataFrame) -> DataFrame:
+    """Faces seen as detections, with vectors."""
+    columns = ["file_path", "path_key", "frame_index", "x1", "y1", "x2", "y2", "det_score"]
+    return faces.join(face_vectors(c), "face_id").select(F.col("face_id").alias("id"), *columns, "vector")
+
+
+def _pipeline(c) -> DataFrame:
+    """Even faces of a folder are detected anew, odd ones are stored already."""
+    folder = "/lib/p1/c_7"
+    fresh = F.startswith("path_key", F.lit(f"{folder}/")) & (F.col("face_id") % 2 == 0)
+    stored = c.having(faces=c.faces.where(~fresh))
+    after, vectors = flows.face_pipeline(stored, face_vectors(c).join(stored.faces.select("face_id"), "face_id", "left_semi"), _detections(c, c.faces.where(fresh)), folder, 0.55)
+    return after.faces.where(F.startswith("path_key", F.lit(f"{folder}/"))).join(vectors.select("face_id"), "face_id", "left").select("path_key", "frame_index", "x1", "y1", "cluster_id")
+
+
+def _regroup(c) -> DataFrame:
+    """Vectors as files, some of them grouped by similarity or by hash before."""
+    groups = c.groups.sparkSession.createDataFrame([("old_ai", "ai_local"), ("old_exact", "exact")], "group_id string, discovery_method string")
+    media = _vector_media(c).withColumn("id", F.regexp_extract("file_path", "[0-9]+", 0).cast("long"))
+    media = media.withColumn("file_hash", F.expr("case when id % 20 < 2 then concat('h', id div 2) else concat('i', id) end"))
+    media = media.withColumns({"path_key": F.lower("file_path"), "is_in_trash": F.lit(0), "group_id": F.expr("case id % 6 when 0 then 'old_ai' when 1 then 'old_exact' end")}).drop("id")
+    return flows.regroup(c.having(media=media, groups=groups), _path(c, _rows(c)), 2 * EPS).media.select("file_path", "group_id")
