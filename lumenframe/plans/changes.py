@@ -134,8 +134,8 @@ UNION ALL SELECT lower(concat(file_path, '.new.jpg')), 1.0, 'h', NULL, 0, 1, NUL
         " SELECT path_key, CASE WHEN media_no % 10 = 1 THEN last_modified + 5 ELSE last_modified END AS last_modified FROM media",
     ),
     "add_faces": (
-        lambda c, s, d: X.add_faces(c, c.faces.where("face_id % 1000 = 1 and face_id < 100000").select("file_path", "frame_index", "x1", "y1", "x2", "y2")).faces.agg(F.count("*").alias("n"), F.count_distinct("face_id").alias("ids")),
-        " SELECT count(*) + count(*) FILTER (face_id % 1000 = 1 AND face_id < 100000) AS n, count(*) + count(*) FILTER (face_id % 1000 = 1 AND face_id < 100000) AS ids FROM faces",
+        lambda c, s, d: X.add_faces(c, c.faces.where("face_id % 1000 = 1").select("file_path", "frame_index", "x1", "y1", "x2", "y2")).faces.agg(F.count("*").alias("n"), F.count_distinct("face_id").alias("ids")),
+        " SELECT count(*) + count(*) FILTER (face_id % 1000 = 1) AS n, count(*) + count(*) FILTER (face_id % 1000 = 1) AS ids FROM faces",
     ),
     "sync_catalogue": (
         lambda c, s, d: S.sync_catalogue(c, _listing(c).select("file_path", "last_modified")).media.select("path_key"),

@@ -283,8 +283,8 @@ s AS (SELECT file_path, sum(is_header) OVER (ORDER BY capture_date DESC NULLS LA
         f", f AS ({_facet_sql('month', 'm.year = 1995')}) SELECT month, CAST(row_number() OVER (ORDER BY CAST(month AS VARCHAR)) AS INTEGER) AS place FROM f",
     ),
     "sort_by_date": (
-        lambda c, s, d: c.faces.orderBy(F.coalesce("capture_date", F.lit("")).desc(), F.col("face_id").desc()).limit(500).select("face_id"),
-        " SELECT face_id FROM faces ORDER BY coalesce(capture_date, '') DESC, face_id DESC LIMIT 500",
+        lambda c, s, d: c.faces.orderBy(F.coalesce("capture_date", F.lit("")).desc(), F.col("face_id").desc()).select("face_id", "capture_date"),
+        " SELECT face_id, capture_date FROM faces",
     ),
     # sets
     "catalogue_orphans": (lambda c, s, d: S.catalogue_orphans(c, _listing(c), "/lib/p1"), f", {_LISTING} SELECT file_path FROM media m WHERE starts_with(m.path_key, '/lib/p1/') AND path_key NOT IN (SELECT path_key FROM listing)"),

@@ -9,18 +9,21 @@ from lumenframe.functions import geo as G
 from lumenframe.functions import text as T
 from lumenframe.functions import vectors as V
 from lumenframe.operators import media as M
+from lumenframe.operators.vectors import centroids
+from lumenframe.sources.blobs import decode_vectors, encode_vectors
 
 _DOT = "list_sum(list_transform(list_zip(a.vector, b.vector), lambda p : CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
 
-def _vec(c, ids=40):
-    return c.features.where(F.col("vec_id") < ids).select(F.col("vec_id").alias("id"), "vector")
+def _vec(c):
+    return c.features.select(F.col("vec_id").alias("id"), "vector")
 
 
 def _vec_pairs(c):
-    a = _vec(c, 20).select(F.col("id").alias("a"), F.col("vector").alias("va"))
-    b = _vec(c, 20).select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b"))
+    """Every vector with the one of the next id."""
+    a = _vec(c).select(F.col("id").alias("a"), F.col("vector").alias("va"))
+    b = _vec(c).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("vector").alias("vb"))
+    return a.join(b, "a")
 
 
 def _patch_pairs(c):
@@ -34,7 +37,7 @@ def _windows_path(c):
     return c.media.select("media_no", F.expr("concat('C:', replace(file_path, '/', '\\\\'))").alias("raw"))
 
 
-_PAIRS = " FROM features a JOIN features b ON a.vec_id < b.vec_id WHERE a.vec_id < 20 AND b.vec_id < 20"
+_PAIRS = " FROM features a JOIN features b ON a.vec_id + 1 = b.vec_id"
 
 QUERIES = {
     "normalize_path": (
@@ -107,13 +110,13 @@ SELECT path_key, string_agg(concat(label, '=', id), ';' ORDER BY label, id) AS l
         " SELECT media_no, round(sqrt(pow(media_no % 90 - 2.25, 2) + pow(1.5 - media_no % 180, 2)), 9) AS x FROM media",
     ),
     "box_iou": (
-        lambda c, s, d: c.faces.where("face_id < 400000").alias("a").join(c.faces.where("face_id < 400000").alias("b"), F.expr("a.path_key = b.path_key and a.face_id < b.face_id")).select(
+        lambda c, s, d: c.faces.alias("a").join(c.faces.alias("b"), F.expr("a.path_key = b.path_key and a.face_id < b.face_id")).select(
             F.col("a.face_id").alias("a"), F.col("b.face_id").alias("b"), F.round(G.iou({k: F.col(f"a.{k}") for k in ("x1", "y1", "x2", "y2")}, {k: F.col(f"b.{k}") for k in ("x1", "y1", "x2", "y2")}), 9).alias("iou")
         ),
         """ SELECT a.face_id AS a, b.face_id AS b, round(CASE WHEN u > 0 THEN i / u ELSE 0.0 END, 9) AS iou FROM (
   SELECT a, b, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
          (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - i AS u
-  FROM faces a JOIN faces b ON a.path_key = b.path_key AND a.face_id < b.face_id WHERE a.face_id < 400000 AND b.face_id < 400000)""",
+  FROM faces a JOIN faces b ON a.path_key = b.path_key AND a.face_id < b.face_id)""",
     ),
     "padded_box": (
         lambda c, s, d: c.faces.select("face_id", *[v.alias(k) for k, v in G.padded_box(*[F.floor(F.col(k)).cast("double") for k in ("x1", "y1", "x2", "y2")], 60.0, 60.0, 0.25).items()]),
@@ -127,7 +130,7 @@ SELECT path_key, string_agg(concat(label, '=', id), ';' ORDER BY label, id) AS l
         lambda c, s, d: c.media.select("media_no", F.array_join(G.frame_positions(F.col("media_no"), 4), ",").alias("x")),
         " SELECT media_no, concat_ws(',', media_no * 1 // 5, media_no * 2 // 5, media_no * 3 // 5, media_no * 4 // 5) AS x FROM media",
     ),
-    "vec_normalize": (lambda c, s, d: _vec(c).select("id", F.round(V.vec_norm(V.vec_normalize(F.transform("vector", lambda x: x * 3))), 6).alias("n")), " SELECT vec_id AS id, CAST(1.0 AS DOUBLE) AS n FROM features WHERE vec_id < 40"),
+    "vec_normalize": (lambda c, s, d: _vec(c).select("id", F.round(F.get(V.vec_normalize(F.transform("vector", lambda x: x * 3)), F.lit(0)), 5).alias("x")), " SELECT vec_id AS id, round(CAST(vector[1] AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda x : pow(CAST(x AS DOUBLE), 2)))), 5) AS x FROM features"),
     "vec_dot": (lambda c, s, d: _vec_pairs(c).select("a", "b", F.round(V.vec_dot(F.col("va"), F.col("vb")), 6).alias("x")), f" SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS x{_PAIRS}"),
     "vec_l2sq": (
         lambda c, s, d: _vec_pairs(c).select("a", "b", F.round(V.vec_l2sq(F.col("va"), F.col("vb")), 6).alias("x")),
@@ -135,14 +138,17 @@ SELECT path_key, string_agg(concat(label, '=', id), ';' ORDER BY label, id) AS l
     ),
     "chamfer": (lambda c, s, d: _patch_pairs(c).select("a", "b", F.round(V.chamfer(F.col("pa"), F.col("pb")), 6).alias("x")), None),
     "topk_patches": (
-        lambda c, s, d: _vec(c).select("id", F.size(V.topk_patches(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("vector", i * 8 + 1, 8)), 3)).alias("n")),
-        " SELECT vec_id AS id, 3 AS n FROM features WHERE vec_id < 40",
+        lambda c, s, d: _vec(c).select("id", V.topk_patches(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("vector", i * 8 + 1, 8)), 3).alias("top")).select("id", F.size("top").alias("n"), F.round(F.aggregate("top", F.lit(0.0), lambda a, x: a + V.vec_norm(x)), 5).alias("x")),
+        """, p AS (SELECT vec_id AS id, list_transform(range(0, 8), lambda i : sqrt(list_sum(list_transform(vector[i * 8 + 1 : i * 8 + 8], lambda x : pow(CAST(x AS DOUBLE), 2))))) AS l FROM features)
+SELECT id, 3 AS n, round(list_sum(list_sort(l, 'DESC')[1:3]), 5) AS x FROM p""",
     ),
     "mean_pool": (
-        lambda c, s, d: __import__("lumenframe.operators.vectors", fromlist=["centroids"]).centroids(c.features.where("vec_id < 200").withColumn("file", F.col("vec_id") % 7), "file").select("file", "members", F.round(V.vec_norm(F.col("centroid")), 6).alias("n")),
-        " SELECT vec_id % 7 AS file, count(*) AS members, CAST(1.0 AS DOUBLE) AS n FROM features WHERE vec_id < 200 GROUP BY 1",
+        lambda c, s, d: centroids(c.features.withColumn("file", F.col("vec_id") % 7), "file").select("file", "members", F.round(F.get("centroid", F.lit(0)), 5).alias("x")),
+        """, u AS (SELECT vec_id % 7 AS file, list_transform(vector, lambda x : CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda y : CAST(y AS DOUBLE) * y)))) AS v FROM features),
+p AS (SELECT file, i, avg(v[i]) AS x, count(*) AS members FROM u, range(1, 65) r(i) GROUP BY ALL)
+SELECT file, CAST(max(members) AS BIGINT) AS members, round(max(x) FILTER (i = 1) / sqrt(sum(x * x)), 5) AS x FROM p GROUP BY 1""",
     ),
-    "blob_codec": (lambda c, s, d: _blob(_vec(c)), " SELECT vec_id AS id, round(CAST(vector[1] AS DOUBLE), 6) AS x, CAST(256 AS INTEGER) AS bytes FROM features WHERE vec_id < 40"),
+    "blob_codec": (lambda c, s, d: _blob(_vec(c)), " SELECT vec_id AS id, round(CAST(vector[1] AS DOUBLE), 6) AS x, CAST(256 AS INTEGER) AS bytes FROM features"),
     "json_decode": (
         lambda c, s, d: c.media.select("media_no", F.from_json("metadata_json", "size bigint, has_exif_date boolean, has_location boolean").alias("m")).select("media_no", "m.*"),
         " SELECT media_no, size, has_exif_date, has_location FROM media",
@@ -160,7 +166,5 @@ SELECT path_key, string_agg(concat(label, '=', id), ';' ORDER BY label, id) AS l
 
 def _blob(rows):
     """Vectors to little-endian bytes and back, at the ingest edge."""
-    from lumenframe.sources.blobs import decode_vectors, encode_vectors
-
     blobs = encode_vectors(rows, "vector", "blob")
     return decode_vectors(blobs, "blob", "back").select("id", F.round(F.get("back", F.lit(0)).cast("double"), 6).alias("x"), F.length("blob").alias("bytes"))
