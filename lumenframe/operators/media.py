@@ -68,10 +68,11 @@ def filter_media(
 
 
 def duplicate_flag(media: DataFrame, include_trash: bool = False) -> DataFrame:
-    """``is_duplicate``: another visible member of the row's group exists."""
+    """``is_duplicate``: another visible member of the row's group exists. Rows without a group take no part in the counts."""
     seen = F.lit(True) if include_trash else F.col("is_in_trash") == 0
-    others = F.sum(seen.cast("int")).over(Window.partitionBy("group_id")) - seen.cast("int")
-    return media.withColumn("is_duplicate", F.when(F.col("group_id").isNotNull() & (others > 0), 1).otherwise(0))
+    members = media.where("group_id is not null").groupBy("group_id").agg(F.count_if(seen).alias("members"))
+    rows = media.join(members, "group_id", "left").withColumn("is_duplicate", F.when(F.col("members") - seen.cast("int") > 0, 1).otherwise(0))
+    return rows.select(*media.columns, "is_duplicate")
 
 
 def person_tags(c: Catalog) -> DataFrame:
@@ -81,6 +82,7 @@ def person_tags(c: Catalog) -> DataFrame:
     return joined.select("path_key", tag.alias("tag")).distinct().groupBy("path_key").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
 
 
+MAX_LOCAL = 10_000
 PAGE = ("file_path", "last_modified", "capture_date", "size", "is_in_trash", "group_id", "is_duplicate", "discovery_method", "country", "prefecture", "city", "tags")
 
 
@@ -101,13 +103,12 @@ def seek_media(rows: DataFrame, last_date: str | None, last_path: str | None = N
 def media_page(c: Catalog, cluster_id: int | None = None, limit: int = 100, offset: int = 0, last_date: str | None = None, last_path: str | None = None, include_trash: bool = False, **filters) -> DataFrame:
     """One page of twelve columns.
 
-    The page is ranked and written once, so the three parts below read its few
-    rows instead of ranking again; flags and tags, which need whole groups and
-    all faces, are computed for the page alone.
+    The page is ranked once; its few rows are then a local table, so flags and
+    tags, which need whole groups and all faces, are computed for them alone.
     """
     rows = seek_media(filter_media(c, cluster_id, include_trash=include_trash, **filters), last_date, last_path)
     rows = rows.orderBy(*page_order(cluster_id))
-    page = cut_lineage((rows.offset(offset) if offset else rows).limit(limit).select("path_key", *[x for x in PAGE if x not in ("is_duplicate", "tags")]), "page")
+    page = _held((rows.offset(offset) if offset else rows).limit(limit).select("path_key", *[x for x in PAGE if x not in ("is_duplicate", "tags")]), limit)
     groups = F.broadcast(page.where("group_id is not null").select("group_id").distinct())  # at most a page of rows
     seen = F.lit(True) if include_trash else F.col("is_in_trash") == 0
     members = c.media.join(groups, "group_id", "left_semi").groupBy("group_id").agg(F.count_if(seen).alias("members"))
@@ -117,6 +118,11 @@ def media_page(c: Catalog, cluster_id: int | None = None, limit: int = 100, offs
     return out.withColumn("is_duplicate", F.when(others, 1).otherwise(0)).select(*PAGE)
 
 
+def _held(page: DataFrame, rows: int) -> DataFrame:
+    """A page's rows, computed now: at the driver if a page is as small as a page is, else in the shared folder."""
+    return page.sparkSession.createDataFrame(page.toArrow(), page.schema) if rows <= MAX_LOCAL else cut_lineage(page, "page")
+
+
 def page_result(page: DataFrame, limit: int, date: str = "capture_date", key: str = "file_path") -> DataFrame:
     """One row: whether more may follow, and the cursor of the last row."""
     last = F.min_by(F.struct(F.col(date).alias("date"), F.col(key).alias("key")), F.struct(F.coalesce(date, F.lit("")), F.col(key)))
