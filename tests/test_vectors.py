@@ -5,8 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from lumenframe.operators import blocks as B
 from lumenframe.operators import vectors as V
 from lumenframe.operators.components import connected_components
+from lumenframe.operators.numbering import numbered
 
 
 def sequential_dbscan(x, eps, least):
@@ -48,6 +52,69 @@ def test_range_pairs_over_blocks(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("metric, radius", [("l2sq", 0.02), ("cosine", 0.0002)])
+def test_blocks_that_cannot_meet_are_skipped(spark, metric, radius):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 6)) * 5
+    x = (centers[rng.integers(0, 12, 600)] + rng.normal(size=(600, 6)) * 0.05).astype(np.float32)
+    x[5] = 0
+    x[40:60] = x[40]
+    rows = frame(spark, x)
+    found = B.cells(rows, radius, metric, 600, 25)
+    assert found.rows.sum() == 600 and found.skipped(25) > 0.6
+    y = x.astype(np.float64)
+    if metric == "cosine":
+        n = np.linalg.norm(y, axis=1, keepdims=True)
+        y = y / np.where(n > 0, n, 1)
+        d = 1 - y @ y.T
+    else:
+        d = ((y[:, None] - y[None]) ** 2).sum(axis=2)
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if d[i, j] < radius}
+    assert len(want) > 300 and {(r.a, r.b) for r in B.range_pairs(rows, radius, metric, block_rows=25).collect()} == want
+
+
+def test_pairs_within_and_across(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 3))
+    owner = [int(k) for k in rng.integers(0, 3, 80)]
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    rows = spark.createDataFrame([(i, owner[i], x[i].tolist()) for i in range(80)], "id long, owner long, vector array<double>")
+    got = {(r.a, r.b) for r in B.range_pairs_within(rows, 1.0, block_rows=9).collect()}
+    assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if owner[i] == owner[j] and d[i, j] < 1.0}
+    got = {(r.a, r.b) for r in B.cross_pairs(rows.where("id < 50"), rows.where("id >= 30"), 1.0, block_rows=9).collect()}
+    assert got == {(i, j) for i in range(50) for j in range(30, 80) if i != j and d[i, j] < 1.0}
+    assert B.cross_pairs(rows, rows.limit(0), 1.0).count() == 0
+
+
+def test_many_stages_meet_rows_in_blocks(spark):
+    rng = np.random.default_rng(10)
+    rows = frame(spark, rng.normal(size=(60, 5)))
+    centers = rng.normal(size=(30, 5))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    stages = spark.createDataFrame([(i, c.tolist(), 0.1 * (i % 8)) for i, c in enumerate(centers)], "stage int, centroid array<double>, radius double")
+    few, many = (sorted((r.id, r.stage, round(r.distance, 9)) for r in V.nearest_stage(rows, stages, 0.3, most).collect()) for most in (100, 7))
+    assert few == many and few
+    few, many = (sorted(r.id for r in V.within_any_stage(rows, stages, 0.3, most).collect()) for most in (100, 7))
+    assert few == many and few
+
+
+def test_nearest_city_on_grids(spark):
+    rng = np.random.default_rng(11)
+    cities = [(f"c{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(150, 2)) * [20, 40])] + [("a", 10.0, 10.0), ("b", 10.0, 10.0), ("z", None, 1.0)]
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-1, 1, size=(200, 2)) * [90, 180])] + [(900, 10.0, 10.0), (901, None, 1.0)]
+    c = spark.createDataFrame(cities, "city string, city_lat double, city_lon double")
+    p = spark.createDataFrame(points, "id long, lat double, lon double")
+    want = {i: min((((a - x) ** 2 + (b - y) ** 2) ** 0.5, name) for name, x, y in cities if x is not None)[1] for i, a, b in points if a is not None}
+    assert {r.id: r.city for r in V.nearest_city(p, c, most=10).collect()} == want
+    assert {r.id: r.city for r in V.nearest_city(p, c).collect()} == want
+
+
+def test_numbers(spark):
+    rows = spark.createDataFrame([(f"k{i * 7919 % 1000:03d}",) for i in range(1000)], "k string").repartition(6)
+    assert sorted((r.n, r.k) for r in numbered(rows, "k").collect()) == [(i + 1, f"k{i:03d}") for i in range(1000)]
+    assert numbered(rows.limit(0), "k").count() == 0
+
+
 def test_near_vector_only(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(3, 384))
@@ -67,7 +134,10 @@ def test_greedy_suppression(spark):
     rows = [(1, "/a", 0, 0.0, 0.0, 10.0, 10.0, 0.5), (2, "/a", 0, 1.0, 1.0, 11.0, 11.0, 0.9), (3, "/a", 0, 30.0, 30.0, 40.0, 40.0, 0.1)]
     faces = spark.createDataFrame(rows, "face_id long, path_key string, frame_index int, x1 double, y1 double, x2 double, y2 double, det_score double")
     assert {r.face_id: r.kept for r in V.spatial_nms(faces).collect()} == {1: False, 2: True, 3: True}
-    assert [r.face_id for r in V.stored_face_dedup(faces.withColumnRenamed("path_key", "path_key")).collect()] == [2]
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in (1, 2, 3)] + [(11, [1.0, 0.0]), (12, [0.99, 0.1]), (13, [0.0, 1.0]), (14, None)], "face_id long, vector array<double>")
+    video = faces.withColumns({"face_id": F.col("face_id") + 10, "path_key": F.lit("/v.mp4")})
+    extra = video.limit(1).withColumn("face_id", F.lit(14).cast("long"))
+    assert sorted(r.face_id for r in V.stored_face_dedup(faces.union(video).union(extra), vectors).collect()) == [2, 12]
 
 
 def test_stages_and_suggestions(spark):
