@@ -4,7 +4,8 @@ Lines are normalised (A-Z lower-cased, digits to 0, white space to one space)
 and hashed; for each host (the ``source`` column) the distinct documents that
 hold a line are counted, where documents with one and the same text count once.
 A line that more than ``min_docs`` of them hold is boilerplate, however many
-documents the host has.  Boilerplate lines are removed, and a document of which
+documents the host has; in a host of fewer than ``min_docs / share`` texts, more
+than ``share`` of them, and at least ``least_docs``, are enough.  Boilerplate lines are removed, and a document of which
 less than ``keep_share`` of its words is left is rejected, as is one that fails
 the base rules (fewer than 50 words, or over half of them in three-word windows
 that repeat).
@@ -90,25 +91,31 @@ def _held_pass(held):
     return run
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 20, max_broadcast: int = 1 << 20) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = 20, max_broadcast: int = 1 << 20, least_docs: int = 4, share: float = 0.05) -> DataFrame:
     """``line``: keys (of host and line) of boilerplate lines."""
+    least_docs = min(least_docs, min_docs)
     text = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     seen = text.mapInArrow(_line_pass, "source string, digest long, lines array<long>, sizes array<int>, words long").dropDuplicates(["source", "digest"])
     seen = cut_lineage(seen, "lines")
-    counts = seen.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("held"))
-    held = cut_lineage(counts.where(F.col("held") > min_docs).select("line"), "held-lines")
-    found = held.limit(max_broadcast + 1).toArrow().column("line").to_pylist()
+    host = F.xxhash64("source").alias("host")
+    limit = F.least(F.lit(min_docs), F.greatest(F.lit(least_docs), F.floor(F.count("*") * share))).cast("long")
+    limits = seen.groupBy(host).agg(limit.alias("limit"))
+    counts = seen.select(host, F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("held"), F.min("host").alias("host"))
+    # a line's key holds its host, so each has one; only lines over the least limit look theirs up
+    held = counts.where(F.col("held") > least_docs).join(limits, "host").where(F.col("held") > F.col("limit"))
+    held = cut_lineage(held.select("line", "limit"), "held-lines")
+    found = held.select("line").limit(max_broadcast + 1).toArrow().column("line").to_pylist()
     if len(found) <= max_broadcast:
         own = docs.sparkSession.sparkContext.broadcast(frozenset(found))
         picked = seen.select("digest", "words", "lines", "sizes").mapInArrow(_held_pass(own), "digest long, words long, lines array<long>, sizes array<int>")
     else:
         lines = seen.select("source", "digest", "words", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("source", "digest", "words", "x.*").withColumnRenamed("lines", "line")
-        picked = lines.join(held, "line").groupBy("source", "digest", "words").agg(F.collect_list(F.struct("line", "sizes")).alias("x")).select("digest", "words", F.col("x.line").alias("lines"), F.col("x.sizes").alias("sizes"))
+        picked = lines.join(held.select("line"), "line").groupBy("source", "digest", "words").agg(F.collect_list(F.struct("line", "sizes")).alias("x")).select("digest", "words", F.col("x.line").alias("lines"), F.col("x.sizes").alias("sizes"))
     shared = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)
     longest = F.array_max(F.arrays_zip("sizes", "lines"))["lines"]
     group = F.when(3 * shared > 2 * F.col("words"), longest).otherwise(F.col("digest"))
     groups = picked.select(group.alias("group"), F.explode("lines").alias("line")).dropDuplicates(["line", "group"])
-    return groups.groupBy("line").agg(F.count("*").alias("held")).where(F.col("held") > min_docs).select("line")
+    return groups.groupBy("line").agg(F.count("*").alias("held")).join(held, "line").where(F.col("held") > F.col("limit")).select("line")
 
 
 def _judge(frequent, keep_share: float, with_text: bool, names: list[str]):
@@ -149,6 +156,8 @@ def quality_rules(
     columns: list[str] | None = None,
     with_text: bool = False,
     max_broadcast: int = 1 << 20,
+    least_docs: int = 4,
+    share: float = 0.05,
 ) -> DataFrame:
     """``columns`` of each row (``doc_id`` if not given), the base counts,
     ``base_failed``, ``kept``, ``n_removed_words`` and, if asked for, ``clean_text``.
@@ -159,7 +168,7 @@ def quality_rules(
     names = ["doc_id"] if columns is None else columns
     small_batches(docs)
     spark = docs.sparkSession
-    often = cut_lineage(frequent_lines(docs, min_docs, max_broadcast), "frequent-lines")
+    often = cut_lineage(frequent_lines(docs, min_docs, max_broadcast, least_docs, share), "frequent-lines")
     inner = docs.select(*[F.col(x).alias(f"__c{i}") for i, x in enumerate(names)], F.col("text").cast("string").alias("__text"), F.col("source").cast("string").alias("__source"))
     found = often.limit(max_broadcast + 1).toArrow().column("line").to_pylist()
     if len(found) <= max_broadcast:
