@@ -10,6 +10,20 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame
 
 
+# The names under which settings tables keep these fields.
+STORED = {
+    "face_detection": "face_det_thresh",
+    "face_min_samples": "face_min_samples",
+    "face_eps": "face_cluster_eps",
+    "merge_threshold": "face_merge_threshold",
+    "similarity": "threshold",
+    "near_radius": "dup_threshold",
+    "rerank_threshold": "dup_threshold_stage2",
+    "force": "force_reanalyze",
+    "include_trash": "include_trash",
+}
+
+
 @dataclass(frozen=True)
 class Config:
     """Thresholds as fractions; fixed default values of the engine."""
@@ -18,6 +32,7 @@ class Config:
     face_min_samples: int = 2
     face_eps: float = 0.42
     merge_threshold: float = 0.55
+    similarity: float = 0.6
     near_radius: float = 0.6
     rerank_threshold: float = 0.95
     video_ratio: float = 0.4 / 0.6
@@ -26,16 +41,21 @@ class Config:
 
     @classmethod
     def load(cls, settings: DataFrame) -> Config:
-        """From a table of text settings; what is missing or can't be read keeps its default, percentages become fractions."""
-        stored = {r.key: r.value for r in settings.where(settings.key.isin([f.name for f in fields(cls)])).collect()}
-        return cls().updated(**stored)
+        """From a table of text settings, under their stored or their own names (stored ones win).
+
+        What is missing or can't be read keeps its default, percentages become fractions.
+        """
+        known = {f.name: f.name for f in fields(cls)} | {stored: name for name, stored in STORED.items()}
+        found = {r.key: r.value for r in settings.where(settings.key.isin(list(known))).collect() if r.value is not None}
+        own = {k: v for k, v in found.items() if k not in STORED.values()}
+        return cls().updated(**own | {known[k]: v for k, v in found.items() if k in STORED.values()})
 
     def updated(self, **values: object) -> Config:
         return replace(self, **{f.name: _read(str(values[f.name]), getattr(Config, f.name)) for f in fields(self) if f.name in values})
 
     def rows(self) -> list[tuple[str, str]]:
-        """Key and text of every setting."""
-        return [(f.name, str(getattr(self, f.name))) for f in fields(self)]
+        """Stored key and text of every setting."""
+        return [(STORED.get(f.name, f.name), str(getattr(self, f.name))) for f in fields(self)]
 
 
 def _read(text: str, default: bool | int | float) -> bool | int | float:

@@ -110,6 +110,9 @@ class Database:
     def upsert_cluster(self, cluster_id: int, name: str) -> Database:
         return self._next(X.rename_cluster, cluster_id, name)
 
+    def rename_person(self, label: str, name: str) -> Database:
+        return self._next(X.rename_person, label, name)
+
     def create_cluster_manual(self, name: str) -> Database:
         return self._next(X.create_cluster, name)
 

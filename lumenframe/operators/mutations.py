@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenframe.catalog import Catalog, UnknownAction
 from lumenframe.functions import text as T
 from lumenframe.operators.numbering import numbered
+from lumenframe.operators.people import person_list
 
 _UPDATED = ("last_modified", "metadata_json", "is_corrupted", "is_in_trash", "capture_date", "year", "month")
 _KEPT = ("group_id", "location_id", "thumbnail_path", "file_hash")
@@ -122,6 +123,15 @@ def rename_cluster(c: Catalog, cluster_id: int, name: str) -> Catalog:
     return c.having(clusters=rows.select(*c.clusters.columns))
 
 
+def rename_person(c: Catalog, label: str, name: str) -> Catalog:
+    """Rename the person whom lists show under ``label``: the first of several, and nobody if there is none."""
+    shown = T.person_name(F.col("custom_name"), F.col("cluster_id"))
+    hit = person_list(c).where(shown == label).limit(1).select("cluster_id", F.lit(name).alias("new_name"))
+    rows = c.clusters.join(F.broadcast(hit), "cluster_id", "full")  # one row at most
+    rows = rows.withColumns({"custom_name": F.coalesce("new_name", "custom_name"), "is_ignored": F.coalesce("is_ignored", F.lit(0))})
+    return c.having(clusters=rows.select(*c.clusters.columns))
+
+
 def create_cluster(c: Catalog, name: str, first: int = 1000) -> Catalog:
     """A person of this name: the one there is, or a new one under the next id."""
     same = c.clusters.agg(F.count_if(F.col("custom_name") == name).alias("same"), F.max("cluster_id").alias("top"))

@@ -72,6 +72,10 @@ UNION ALL SELECT lower(concat(file_path, '.new.jpg')), 1.0, 'h', NULL, 0, 1, NUL
         lambda c, s, d: X.rename_cluster(X.rename_cluster(c, PERSON, "Ada"), 9001, "New").clusters,
         f" SELECT cluster_id, CASE WHEN cluster_id = {PERSON} THEN 'Ada' ELSE custom_name END AS custom_name, is_ignored FROM clusters UNION ALL SELECT 9001, 'New', 0",
     ),
+    "rename_person": (
+        lambda c, s, d: X.rename_person(X.rename_person(c, "Person 5", "Renamed"), "nobody", "x").clusters,
+        " SELECT cluster_id, CASE WHEN cluster_id = 5 AND custom_name IS NULL AND is_ignored = 0 AND EXISTS (SELECT 1 FROM faces f WHERE f.cluster_id = 5 AND f.is_ignored = 0) THEN 'Renamed' ELSE custom_name END AS custom_name, is_ignored FROM clusters",
+    ),
     "create_cluster": (
         lambda c, s, d: X.create_cluster(X.create_cluster(c, "Eve"), "Eve").clusters,
         " SELECT cluster_id, custom_name, is_ignored FROM clusters UNION ALL SELECT max(cluster_id) + 1, 'Eve', 0 FROM clusters",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lumenframe.operators import media as M
 from lumenframe.operators import people as P
 from lumenframe.operators import sync as S
-from lumenframe.sources.files import keep_scanned
+from lumenframe.sources.files import keep_scanned, read_gazetteer, write_audit
+from lumenframe.storage import new_path
 from lumenframe.streaming.ingest import events_per_window
 
 PERSON, ROOT = 1, "/lib/p1/c_7"
@@ -286,6 +287,15 @@ s AS (SELECT file_path, sum(is_header) OVER (ORDER BY capture_date DESC NULLS LA
         lambda c, s, d: c.faces.orderBy(F.coalesce("capture_date", F.lit("")).desc(), F.col("face_id").desc()).select("face_id", "capture_date"),
         " SELECT face_id, capture_date FROM faces",
     ),
+    # files
+    "read_gazetteer": (
+        lambda c, s, d: _gazetteer(c, s),
+        " SELECT prefecture AS city, location_id + 0.5::DOUBLE AS lat, -location_id - 0.25::DOUBLE AS lon, country, CASE WHEN location_id % 2 = 0 THEN concat('Region ', location_id) END AS region FROM locations WHERE location_id % 5 <> 4",
+    ),
+    "write_audit": (
+        lambda c, s, d: _audited(c, s),
+        " SELECT (SELECT count(*) FROM faces WHERE path_key NOT IN (SELECT path_key FROM media)) AS faces_media, (SELECT count(*) FROM faces f WHERE cluster_id >= 0 AND cluster_id NOT IN (SELECT cluster_id FROM clusters)) AS faces_clusters, (SELECT count(*) FROM clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM faces WHERE cluster_id IS NOT NULL)) AS empty_clusters",
+    ),
     # sets
     "catalogue_orphans": (lambda c, s, d: S.catalogue_orphans(c, _listing(c), "/lib/p1"), f", {_LISTING} SELECT file_path FROM media m WHERE starts_with(m.path_key, '/lib/p1/') AND path_key NOT IN (SELECT path_key FROM listing)"),
     "new_files": (lambda c, s, d: S.new_files(c, _listing(c)), f", {_LISTING} SELECT file_path FROM listing WHERE path_key NOT IN (SELECT path_key FROM media)"),
@@ -312,3 +322,22 @@ def _by_number(c, number: int) -> DataFrame:
     """The row of a path, looked up as a caller would."""
     path = c.media.where(F.col("media_no") == number).select("file_path").first()
     return M.media_by_path(c, path[0] if path else "").drop("vector", "metadata_json")
+
+
+def _gazetteer(c, spark) -> DataFrame:
+    """Places written as a tab-separated gazetteer, some lines too short, and read again with region names."""
+    path = new_path(spark, "gazetteer")
+    blank = ["''"] * 19
+    blank[1], blank[4], blank[5], blank[8], blank[10] = "prefecture", "location_id + 0.5", "-location_id - 0.25", "country", "concat('A', location_id)"
+    line = F.expr(f"case when location_id % 5 = 4 then concat_ws('\\t', prefecture, country) else concat_ws('\\t', {', '.join(blank)}) end")
+    c.locations.select(line.alias("value")).write.text(path)
+    admin = c.locations.where("location_id % 2 = 0").select(F.expr("concat(country, '.A', location_id)").alias("code"), F.expr("concat('Region ', location_id)").alias("region"))
+    return read_gazetteer(spark, path, admin).select("city", "lat", "lon", "country", "region")
+
+
+def _audited(c, spark) -> DataFrame:
+    """The audit's counts, written as JSON and read again."""
+    path = new_path(spark, "audit")
+    counts = [rows.agg(F.count("*").alias(name)) for name, rows in (("faces_media", P.orphan_faces_media(c)), ("faces_clusters", P.orphan_faces_clusters(c)), ("empty_clusters", P.empty_clusters(c)))]
+    write_audit(counts[0].join(counts[1]).join(counts[2]), path)  # one row each
+    return spark.read.schema("faces_media long, faces_clusters long, empty_clusters long").json(path)

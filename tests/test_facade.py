@@ -30,6 +30,20 @@ def test_settings_are_fractions(spark, stored, want):
     assert dict(config.rows())["include_trash"] == "True"
 
 
+def test_settings_are_read_under_their_stored_names(spark):
+    rows = spark.createDataFrame([("face_cluster_eps", "35"), ("face_eps", "0.1"), ("dup_threshold_stage2", "0.9"), ("force_reanalyze", "True"), ("dup_threshold", None)], "key string, value string")
+    config = Config.load(rows)
+    assert (config.face_eps, config.rerank_threshold, config.force, config.near_radius) == (0.35, 0.9, True, 0.6)
+    assert Config.load(spark.createDataFrame(config.rows(), "key string, value string")) == config
+
+
+def test_rename_by_label(spark):
+    db = Database(catalog(spark, [row("/p/a.jpg")], [face(1, "/p/a.jpg"), face(2, "/p/a.jpg")])).upsert_cluster(7, "Ada").update_faces_association_batch([1], 7)
+    db = db.upsert_cluster(8, "").update_faces_association_batch([2], 8)
+    after = db.rename_person("Ada", "Grace").rename_person("Person 8", "Mary").rename_person("nobody", "x")
+    assert {r.cluster_id: r.custom_name for r in after.get_clusters().collect()} == {7: "Grace", 8: "Mary"}
+
+
 def test_timer():
     told = []
     with timed("x", told.append):
