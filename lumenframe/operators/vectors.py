@@ -15,7 +15,7 @@ from lumenframe.functions import vectors as V
 from lumenframe.operators.blocks import cross_nearest, cross_pairs, range_pairs, range_pairs_within
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.numbering import numbered
-from lumenframe.storage import cut_lineage
+from lumenframe.storage import cut_lineage, drop
 
 
 def video_pairs(pairs: DataFrame, videos: DataFrame, radius: float, ratio: float = 0.4 / 0.6) -> DataFrame:
@@ -39,7 +39,9 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     labels = cut_lineage(joined.join(names, "component").select("id", "label"), "dbscan-labels")
     border = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
     out = ids.join(labels, "id", "left").join(border, F.col("id") == F.col("a"), "left")
-    return out.select("id", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label"))
+    out = cut_lineage(out.select("id", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label")), "dbscan")
+    drop(pairs, core, labels)
+    return out
 
 
 def centroids(rows: DataFrame, by: str) -> DataFrame:
@@ -90,7 +92,10 @@ def cluster_within(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     dense = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
     labels = core.join(connected_components(dense, "a", "b"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
-    return rows.join(labels, "id", "left").join(near, "id", "left").withColumn("label", F.coalesce("label", "near", F.lit(-1))).drop("near")
+    found = labels.join(near, "id", "full").select("id", F.coalesce("label", "near").alias("label"))
+    found = cut_lineage(found, "within-labels")
+    drop(pairs)
+    return rows.join(found, "id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 MAX_STAGES = 10_000
