@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm.decontaminate import contained_items
+from lumenframe.llm.exact_topk import exact_topk
 from lumenframe.llm.ngram_join import ngram_jaccard_join
 from lumenframe.llm.packed_tokens import token_file_digest
 from lumenframe.llm.page_text import main_text
@@ -15,8 +16,10 @@ from lumenframe.llm.pii import find_pii
 from lumenframe.llm.quality_classifier import classify
 from lumenframe.llm.quality_rules import quality_rules
 from lumenframe.llm.source_mix import mix_sources
+from lumenframe.llm.spelling import spelling_variants
 from lumenframe.llm.token_counts import token_counts
 from lumenframe.llm.url_filter import judge_urls
+from lumenframe.llm.whitening import whitened_components
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -66,6 +69,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ngram_jaccard_join,
@@ -78,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mix,
         op9_page_text,
         op10_quality_rules,
+        op11_embedding_whitening,
+        op12_spelling_variants,
+        op13_exact_topk,
     ]
     return {f.__name__: f for f in found}
 
@@ -118,7 +136,26 @@ e AS (SELECT doc_id, size, coalesce(sum(size) OVER (ORDER BY v, place, doc_id, s
 k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM e WHERE spent < (SELECT sum(size) FROM d) GROUP BY 1)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken FROM q LEFT JOIN k ON q.doc_id = k.doc_id"""
 
+#: The checksum is CRC-32 by its table; near words are found by what is left of them without one code point.
+OP12_SQL = """WITH RECURSIVE tbl AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda x : list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z : CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+o AS MATERIALIZED (SELECT d, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{7,}')) AS run FROM documents) GROUP BY 1, 2),
+bytes AS (SELECT d, run, n, flatten(list_transform(string_split(concat(d, ':', run), ''), lambda c : CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, 128 + unicode(c) % 64] END)) AS b FROM o),
+sums AS (SELECT d, run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(b, lambda x : CAST(x AS BIGINT))), lambda c, x : xor(c // 256, t[xor(c % 256, x) + 1]))) AS h FROM bytes, tbl),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN concat(left(run, CAST(h % length(run) AS BIGINT)), substr(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word FROM sums) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+less AS MATERIALIZED (SELECT word, n, i, concat(left(word, i - 1), substr(word, i + 1)) AS rest FROM words, range(1, length(word) + 1) r(i)),
+pairs AS (SELECT l.word AS a, w.word AS b FROM less l JOIN words w ON l.rest = w.word UNION SELECT x.word, y.word FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word < y.word),
+near AS (SELECT p.a, p.b FROM pairs p UNION SELECT p.b, p.a FROM pairs p),
+best AS MATERIALIZED (SELECT a AS word, count(*) AS n_near, arg_min(struct_pack(form := b, n := w.n), struct_pack(k := -w.n, form := b)) AS f FROM near JOIN words w ON w.word = b GROUP BY 1),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.f.n >= 10 * w.n THEN b.f.form END AS form, CASE WHEN b.f.n >= 10 * w.n THEN b.f.n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON f.word = e.word"""
+
+OP13_SQL = """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The operators whose full rows SQL gives; the tests hold the others against brute force."""
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_source_mix": OP8_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_source_mix": OP8_SQL, "op12_spelling_variants": OP12_SQL, "op13_exact_topk": OP13_SQL}

@@ -12,7 +12,7 @@ from lumenframe.llm import queries
 def test_same_rows(name, spark):
     sf_dir = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     frame = queries.queries()[name](spark, sf_dir)
     names = sorted(frame.columns)
