@@ -3,18 +3,22 @@
 Lines are normalised (A-Z lower-cased, digits to 0, white space to one space)
 and hashed; for each host (the ``source`` column) the distinct documents that
 hold a line are counted, where documents with one and the same text count once.
-A line that more than ``min_docs`` of them hold is boilerplate, however many
-documents the host has; in a host of fewer than ``min_docs / share`` texts, more
-than ``share`` of them, and at least ``least_docs``, are enough.  Boilerplate lines are removed, and a document of which
-less than ``keep_share`` of its words is left is rejected, as is one that fails
-the base rules (fewer than 50 words, or over half of them in three-word windows
+A line that more than ``min_docs`` of them hold is boilerplate, whatever the
+size of the host.  Boilerplate lines are removed, and a document of which less
+than ``keep_share`` of its words is left is rejected, as is one that fails the
+base rules (fewer than 50 words, or over half of them in three-word windows
 that repeat).
 
-Near copies of one text aren't taken for a template: texts that hold over two
-thirds of their words in such lines, and so may have over half of all their
-words in common, count once for each longest line of theirs, not one by one.
-Of n near copies that miss a line with probability p, about log n / log (1 / p)
-are counted.
+Near copies of one text aren't a template.  Only documents that the plain
+counts would reject are looked at for that (``min_words`` words or more: shorter
+ones fail the base rules anyway).  Those with at least ``copy_lines`` boilerplate
+lines that are over two thirds of all their lines count once for each longest
+such line of theirs: of n near copies that miss a line with probability p, about
+log n / log (1 / p).  Others that operator 1 joins, as they share 0.8 of their
+five-word shingles, count once for each component.  Lines that then no longer
+have more than ``min_docs`` stay.  Documents that share a passage, or a template
+of a few lines, beside text of their own are below that similarity until it is
+eight ninths of them, and count one by one.
 
 A null text is empty and fails the base rules; a null source is a host of its
 own; repeated rows get the same verdict; an empty table gives an empty result.
@@ -24,8 +28,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,7 @@ from pyspark.sql import types as T
 
 from lumenframe.llm._stats import base_rules
 from lumenframe.llm._text import as_bytes, slices, small_batches
+from lumenframe.llm.ngram_join import ngram_jaccard_join
 from lumenframe.storage import cut_lineage
 
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else 48 if 48 <= x <= 57 else x for x in range(256))
@@ -55,67 +60,83 @@ def _keys(text: bytes, seed: int) -> list[tuple[int, int]]:
 def _line_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = as_bytes(batch.column("text"), lower=False)
-        sources = batch.column("source").to_pylist()
-        own = [{k: n for k, n in _keys(t, _seed(s)) if n} for t, s in zip(texts, sources)]
+        held: list[dict[int, int]] = []
+        for text, source in zip(texts, batch.column("source").to_pylist()):
+            own: dict[int, int] = {}
+            for k, n in _keys(text, _seed(source)):
+                if n:
+                    own[k] = own.get(k, 0) + n
+            held.append(own)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("source"),
-                pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64()),
-                pa.array([list(x) for x in own], pa.list_(pa.int64())),
-                pa.array([list(x.values()) for x in own], pa.list_(pa.int32())),
-                pa.array([sum(x.values()) for x in own], pa.int64()),
+                batch.column("digest"),
+                pa.array([list(x) for x in held], pa.list_(pa.int64())),
+                pa.array([list(x.values()) for x in held], pa.list_(pa.int64())),
             ],
-            names=["source", "digest", "lines", "sizes", "words"],
+            names=["source", "digest", "lines", "sizes"],
         )
 
 
-def _held_pass(held):
-    """Of each text that has any: its lines that are in ``held``."""
+def _depleted_pass(often, keep_share: float, min_words: int):
+    """Of each text that loses too much with the lines in ``often``: those lines, and how many it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        own = often.value
         for batch in batches:
-            lines, sizes = batch.column("lines").to_pylist(), batch.column("sizes").to_pylist()
-            found = [[(k, n) for k, n in zip(x, y) if k in own] for x, y in zip(lines, sizes)]
-            some = np.flatnonzero([len(x) for x in found])
-            picked = [found[i] for i in some]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(x).take(pa.array(some)) for x in ("digest", "words")],
-                    pa.array([[k for k, _ in x] for x in picked], pa.list_(pa.int64())),
-                    pa.array([[n for _, n in x] for x in picked], pa.list_(pa.int32())),
-                ],
-                names=["digest", "words", "lines", "sizes"],
-            )
+            at, found, words_of = [], [], []
+            for i, (lines, sizes) in enumerate(zip(batch.column("lines").to_pylist(), batch.column("sizes").to_pylist())):
+                words, gone = sum(sizes), sum(n for k, n in zip(lines, sizes) if k in own)
+                if words >= min_words and words - gone < keep_share * words:
+                    at.append(i)
+                    found.append([k for k in lines if k in own])
+                    words_of.append([n for k, n in zip(lines, sizes) if k in own])
+            picked = batch.take(pa.array(at, pa.int32()))
+            columns = [picked.column("source"), picked.column("digest"), pc.list_value_length(picked.column("lines")), pa.array(found, pa.list_(pa.int64())), pa.array(words_of, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["source", "digest", "whole", "lines", "sizes"])
 
     return run
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 20, max_broadcast: int = 1 << 20, least_docs: int = 4, share: float = 0.05) -> DataFrame:
-    """``line``: keys (of host and line) of boilerplate lines."""
-    least_docs = min(least_docs, min_docs)
-    text = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    seen = text.mapInArrow(_line_pass, "source string, digest long, lines array<long>, sizes array<int>, words long").dropDuplicates(["source", "digest"])
-    seen = cut_lineage(seen, "lines")
-    host = F.xxhash64("source").alias("host")
-    limit = F.least(F.lit(min_docs), F.greatest(F.lit(least_docs), F.floor(F.count("*") * share))).cast("long")
-    limits = seen.groupBy(host).agg(limit.alias("limit"))
-    counts = seen.select(host, F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("held"), F.min("host").alias("host"))
-    # a line's key holds its host, so each has one; only lines over the least limit look theirs up
-    held = counts.where(F.col("held") > least_docs).join(limits, "host").where(F.col("held") > F.col("limit"))
-    held = cut_lineage(held.select("line", "limit"), "held-lines")
+def _depleted(seen: DataFrame, held: DataFrame, keep_share: float, min_words: int, max_broadcast: int) -> DataFrame:
+    """``source, digest, whole, lines, sizes`` of texts that would keep less than ``keep_share`` without those ``lines``, the ones of ``held``; ``whole``: the number of all their lines."""
     found = held.select("line").limit(max_broadcast + 1).toArrow().column("line").to_pylist()
     if len(found) <= max_broadcast:
-        own = docs.sparkSession.sparkContext.broadcast(frozenset(found))
-        picked = seen.select("digest", "words", "lines", "sizes").mapInArrow(_held_pass(own), "digest long, words long, lines array<long>, sizes array<int>")
-    else:
-        lines = seen.select("source", "digest", "words", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("source", "digest", "words", "x.*").withColumnRenamed("lines", "line")
-        picked = lines.join(held.select("line"), "line").groupBy("source", "digest", "words").agg(F.collect_list(F.struct("line", "sizes")).alias("x")).select("digest", "words", F.col("x.line").alias("lines"), F.col("x.sizes").alias("sizes"))
-    shared = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)
+        own = seen.sparkSession.sparkContext.broadcast(frozenset(found))
+        return seen.mapInArrow(_depleted_pass(own, keep_share, min_words), "source string, digest long, whole int, lines array<long>, sizes array<long>")
+    words = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)
+    lines = seen.select("source", "digest", F.size("lines").alias("whole"), words.alias("words"), F.explode(F.arrays_zip("lines", "sizes")).alias("x")).where(F.col("words") >= min_words)
+    lines = lines.select("source", "digest", "whole", "words", F.col("x.lines").alias("line"), F.col("x.sizes").alias("n")).join(held.select("line"), "line")
+    texts = lines.groupBy("source", "digest", "whole", "words").agg(F.sum("n").alias("gone"), F.collect_list(F.struct("line", "n")).alias("x"))
+    return texts.where(F.col("words") - F.col("gone") < keep_share * F.col("words")).select("source", "digest", "whole", F.col("x.line").alias("lines"), F.col("x.n").alias("sizes"))
+
+
+def frequent_lines(docs: DataFrame, min_docs: int = 20, max_broadcast: int = 1 << 20, keep_share: float = 0.3, min_words: int = 50, copy_lines: int = 8) -> DataFrame:
+    """``line``: keys (of host and line) of boilerplate lines."""
+    text = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("digest", F.xxhash64("text"))
+    seen = text.mapInArrow(_line_pass, "source string, digest long, lines array<long>, sizes array<long>").dropDuplicates(["source", "digest"])
+    seen = cut_lineage(seen, "lines")
+    # a line's key holds its host
+    held = seen.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("held")).where(F.col("held") > min_docs)
+    held = cut_lineage(held, "held-lines")
+    lost = cut_lineage(_depleted(seen, held, keep_share, min_words, max_broadcast), "depleted-texts")
+    copied = (F.size("lines") >= copy_lines) & (3 * F.size("lines") > 2 * F.col("whole"))
+    n, unlike = lost.agg(F.count("*"), F.count_if(~copied)).first()
+    if not n:
+        return held.select("line")
     longest = F.array_max(F.arrays_zip("sizes", "lines"))["lines"]
-    group = F.when(3 * shared > 2 * F.col("words"), longest).otherwise(F.col("digest"))
-    groups = picked.select(group.alias("group"), F.explode("lines").alias("line")).dropDuplicates(["line", "group"])
-    return groups.groupBy("line").agg(F.count("*").alias("held")).join(held, "line").where(F.col("held") > F.col("limit")).select("line")
+    groups = lost.where(copied).select("digest", "lines", longest.alias("one"))
+    if unlike:
+        rest = lost.where(~copied)
+        keys = rest.select(F.col("source").alias("lost_source"), F.col("digest").alias("lost_digest"))
+        same = (F.col("digest") == F.col("lost_digest")) & F.col("source").eqNullSafe(F.col("lost_source"))
+        own = text.join(F.broadcast(keys) if unlike <= max_broadcast // 8 else keys, same, "left_semi").dropDuplicates(["digest"])
+        near = ngram_jaccard_join(cut_lineage(own.select(F.col("digest").alias("doc_id"), "text"), "depleted-whole"))
+        near = cut_lineage(near.select(F.col("doc_id").alias("digest"), F.col("component_id").alias("one")), "depleted-groups")
+        groups = groups.unionByName(rest.join(near, "digest").select("digest", "lines", "one"))
+    again = groups.select("one", F.explode("lines").alias("line")).groupBy("line", "one").agg(F.count("*").alias("n"))
+    again = again.groupBy("line").agg((F.sum("n") - F.count("*")).alias("copies"))
+    return held.join(again, "line", "left").where(F.col("held") - F.coalesce("copies", F.lit(0)) > min_docs).select("line")
 
 
 def _judge(frequent, keep_share: float, with_text: bool, names: list[str]):
@@ -156,8 +177,6 @@ def quality_rules(
     columns: list[str] | None = None,
     with_text: bool = False,
     max_broadcast: int = 1 << 20,
-    least_docs: int = 4,
-    share: float = 0.05,
 ) -> DataFrame:
     """``columns`` of each row (``doc_id`` if not given), the base counts,
     ``base_failed``, ``kept``, ``n_removed_words`` and, if asked for, ``clean_text``.
@@ -168,7 +187,7 @@ def quality_rules(
     names = ["doc_id"] if columns is None else columns
     small_batches(docs)
     spark = docs.sparkSession
-    often = cut_lineage(frequent_lines(docs, min_docs, max_broadcast, least_docs, share), "frequent-lines")
+    often = cut_lineage(frequent_lines(docs, min_docs, max_broadcast, keep_share), "frequent-lines")
     inner = docs.select(*[F.col(x).alias(f"__c{i}") for i, x in enumerate(names)], F.col("text").cast("string").alias("__text"), F.col("source").cast("string").alias("__source"))
     found = often.limit(max_broadcast + 1).toArrow().column("line").to_pylist()
     if len(found) <= max_broadcast:
