@@ -472,7 +472,8 @@ def brute_open_text(pages):
         lost = set()
         for r in near:
             lost = common(lines, r[2])
-            if 3 * sum(len(lines[k].split()) for k in lost) <= 2 * sum(len(x.split()) for x in lines):
+            a, b, both = (sum(len(x.split()) for x in y) for y in (lines, r[2], [lines[k] for k in lost]))
+            if 100 * both < 80 * (a + b - both):
                 break
             lost = set()
         out[page] = "\n".join(x for k, x in enumerate(lines) if k not in lost)
@@ -508,6 +509,105 @@ def test_marks_of_whole_pages_and_articles():
     assert [(t, r) for t, r in lines] == [("T", 0), ("x", 0), ("s", 1)]
 
 
+def article(html):
+    return [t for t, r in page_lines(f"<article>{html}</article>") if r == 0]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p class='ad'>Buy now<p>Real text one.<p>Real two.", ["Real text one.", "Real two."]),
+        ("<ul><li class='promo'>Buy<li>one<li>two<ul><li class=ad>x<li>three</ul>end</ul>", ["one", "two", "three", "end"]),
+        ("<dl><dt class=ad>Buy<dd>one<dt>two<dd class=ad>x<dt>three</dl>", ["one", "two", "three"]),
+        ("<table><tr><td class=ad>Buy<td>one<tr class=ad><td>x<tr><td>two</table>", ["one", "two"]),
+        ("<table><tr><td><div><p class=ad>Buy</td><td>one</td></tr></table>", ["one"]),
+        ("<table><caption class=ad>x<tr><td>one<tbody class=ad><tr><td>x<tbody><tr><td>two</table><p>three", ["one", "two", "three"]),
+        ("<p class=ad>Buy<div>one</div><p class=ad>x<h2>two</h3><p>three", ["one", "two", "three"]),
+        ("<p class=ad>x<span>y</p>one", ["one"]),
+        ("<div class=ad><b>x</div>one</b> two", ["one two"]),
+        ("<section id='related-work'>one</section><section id='social-impact'>two</section><p class='share-price'>three", ["one", "two", "three"]),
+        ("<div class='share-buttons'>x</div><div id='relatedPosts'>x</div><div class='big ad-slot-2'>x</div><p>one", ["one"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be<svg><text>drawn</text></svg> <canvas>plot</canvas> <object>file</object>", ["Let x=2 bedrawn plot file"]),
+        ("<p>one<script>x</script><style>y</style><noscript>z</noscript><textarea>v</textarea><iframe>w</iframe> two", ["one two"]),
+        ("<select><option>x<option>y</select><button>z</button><form>v</form>one", ["one"]),
+        ("<p>one <button>x</button><span class=ad>y</span>two<div><span class='ad'>z</span></div>", ["one two"]),
+        ("<header>own header</header><p>one<footer>x</footer>", ["own header", "one"]),
+        ("<img src='a>b'/><p/>one<hr>two<br/>three", ["one", "two three"]),
+    ],
+)
+def test_article_lines(html, want):
+    assert article(html) == want
+
+
+def test_reader_comments_are_no_article():
+    html = "<main><article class='post has-comments'><p>one</article><article class='comment'><p>x</article><section id=comments><article><p>y</article></section></main>"
+    assert [t for t, r in page_lines(html) if r == 0] == ["one"]
+    assert [t for t, r in page_lines("<article class='comment'>x</article><p>one") if r == 2] == ["one"]
+
+
+ELEMENTS = {"p": "", "li": "ul", "dt": "dl", "dd": "dl", "td": "tr", "tr": "table", "div": "", "section": "", "h2": "", "blockquote": ""}
+
+
+def grown(rng, depth, hidden, count):
+    """Random blocks as (markup with every end tag, the same without those that may be left out, texts that show)."""
+    whole, short, shown = [], [], []
+    for _ in range(rng.randrange(1, 4)):
+        kind = rng.choice(["p", "ul", "dl", "table", "div", "section", "h2"] if depth else ["p", "h2"])
+        out = rng.random() < 0.25
+        mark = rng.choice([' class="ad"', " id=sidebar", ' role="navigation"', ' class="wide share-links"']) if out else rng.choice(["", ' class="related-work"', " id=x"])
+        hide = hidden or out
+
+        def text():
+            count[0] += 1
+            if not hide:
+                shown.append(f"t{count[0]} é")
+            return f"t{count[0]} <b>&eacute;</b>"
+
+        def inner():
+            a, b, c = grown(rng, depth - 1, hide, count)
+            shown.extend(c)
+            return a, b
+
+        if kind in ("p", "h2"):
+            t = text()
+            whole.append(f"<{kind}{mark}>{t}</{kind}>")
+            short.append(f"<p{mark}>{t}" if kind == "p" else whole[-1])
+        elif kind in ("ul", "dl", "table"):
+            a, b = "", ""
+            for _ in range(rng.randrange(1, 4)):
+                if rng.random() < 0.5 and depth > 1:
+                    t, u = inner()
+                else:
+                    t = u = text()
+                open_, end = {"ul": ("<li>", "</li>"), "dl": (rng.choice([("<dt>", "</dt>"), ("<dd>", "</dd>")])), "table": ("<tr><td>", "</td></tr>")}[kind]
+                a, b = a + open_ + t + end, b + open_ + u
+            whole.append(f"<{kind}{mark}>{a}</{kind}>")
+            short.append(f"<{kind}{mark}>{b}</{kind}>")
+        else:
+            t, u = inner()
+            whole.append(f"<{kind}{mark}>{t}</{kind}>")
+            short.append(f"<{kind}{mark}>{u}</{kind}>")
+    return "".join(whole), "".join(short), shown
+
+
+def test_omitted_end_tags_change_nothing():
+    rng = random.Random(21)
+    some = 0
+    for _ in range(400):
+        whole, short, shown = grown(rng, 3, False, [0])
+        assert article(whole) == shown and article(short) == shown
+        some += bool(shown) and whole != short
+    assert some > 200
+
+
+def test_a_page_that_is_mostly_template_loses_it(spark):
+    rng = random.Random(22)
+    site = [sentence(rng, 20) for _ in range(4)]
+    pages = [(i, f"http://h/{i}", "".join(f"<p>{x}" for x in [*site[:2], f"{sentence(rng, 25)} {i}", *site[2:]])) for i in range(12)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(len(t.split()) == 26 and t.endswith(f" {i}") for i, t in got.items())
+
+
 def test_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(60):
