@@ -134,36 +134,49 @@ def _deal_pass(pivots: np.ndarray, unit: bool):
     return run
 
 
-def range_pairs(rows: DataFrame, radius: float, metric: str = "l2sq", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a < b, distance`` of every pair of ``id, vector`` within ``radius``. Null vectors match nothing."""
-    rows = rows.where("vector is not null and id is not null").select("id", "vector")
+def dealt(rows: DataFrame, radius: float, metric: str = "l2sq", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, vector`` with each row's ``block``, and the blocks (``others``, its own too) that may hold a row within ``radius``."""
     n = rows.count()
     zero = F.lit(0).cast("long")
     if n <= block_rows:
-        met = rows.withColumns({"block": zero, "i": zero, "j": zero})
-    else:
-        found = cells(rows, radius, metric, n, block_rows)
-        parts = found.parts(block_rows).tolist()
-        known = [(c, parts[c], [(int(o), parts[o]) for o in np.flatnonzero(found.meets[c])]) for c in np.flatnonzero(found.rows).tolist()]
-        table = rows.sparkSession.createDataFrame(known, "cell long, parts int, partners array<struct<cell: long, parts: int>>")
-        kind = rows.schema["vector"].dataType.simpleString()
-        dealt = rows.mapInArrow(_deal_pass(found.pivots, metric == "cosine"), f"id {rows.schema['id'].dataType.simpleString()}, vector {kind}, cell long")
-        dealt = dealt.join(F.broadcast(table), "cell")  # a row for each pivot
-        block = F.col("cell") * _CELL + F.pmod(F.xxhash64("id"), F.col("parts"))
-        others = F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["parts"] - 1), lambda k: p["cell"] * _CELL + k)))
-        met = dealt.select("id", "vector", block.alias("block"), F.explode(others).alias("other"))
-        met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return met.select("i", "j", "block", "id", "vector").groupBy("i", "j").applyInArrow(_near(radius, metric, inclusive), _PAIRS)
+        return rows.select("id", "vector", zero.alias("block"), F.array(zero).alias("others"))
+    found = cells(rows, radius, metric, n, block_rows)
+    parts = found.parts(block_rows).tolist()
+    known = [(c, parts[c], [(int(o), parts[o]) for o in np.flatnonzero(found.meets[c])]) for c in np.flatnonzero(found.rows).tolist()]
+    table = rows.sparkSession.createDataFrame(known, "cell long, parts int, partners array<struct<cell: long, parts: int>>")
+    kind = rows.schema["vector"].dataType.simpleString()
+    out = rows.mapInArrow(_deal_pass(found.pivots, metric == "cosine"), f"id {rows.schema['id'].dataType.simpleString()}, vector {kind}, cell long")
+    out = out.join(F.broadcast(table), "cell")  # a row for each pivot
+    block = F.col("cell") * _CELL + F.pmod(F.xxhash64("id"), F.col("parts"))
+    others = F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["parts"] - 1), lambda k: p["cell"] * _CELL + k)))
+    return out.select("id", "vector", block.alias("block"), others.alias("others"))
+
+
+def dealt_within(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, owner, vector`` with ``block`` and ``others``, both inside the owner; an owner of many rows is cut into blocks."""
+    parts = rows.groupBy("owner").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("parts"))
+    block = F.pmod(F.xxhash64("id"), F.col("parts"))
+    return rows.join(parts, "owner").select("owner", "id", "vector", block.alias("block"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("others"))
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (``i``, ``j``) that a row of ``block, others`` takes part in."""
+    out = rows.withColumn("other", F.explode("others"))
+    return out.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("others", "other")
+
+
+def range_pairs(rows: DataFrame, radius: float, metric: str = "l2sq", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a < b, distance`` of every pair of ``id, vector`` within ``radius``. Null vectors match nothing."""
+    rows = rows.where("vector is not null and id is not null").select("id", "vector")
+    pairs = met(dealt(rows, radius, metric, block_rows)).select("i", "j", "block", "id", "vector")
+    return pairs.groupBy("i", "j").applyInArrow(_near(radius, metric, inclusive), _PAIRS)
 
 
 def range_pairs_within(rows: DataFrame, radius: float, metric: str = "l2sq", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a < b, distance`` of pairs of ``id, owner, vector`` with the same owner; an owner of many rows is cut into blocks."""
+    """``a < b, distance`` of pairs of ``id, owner, vector`` with the same owner."""
     rows = rows.where("vector is not null and id is not null and owner is not null").select("id", "owner", "vector")
-    parts = rows.groupBy("owner").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    dealt = rows.join(parts, "owner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))))
-    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return met.select("owner", "i", "j", "block", "id", "vector").groupBy("owner", "i", "j").applyInArrow(_near(radius, metric, inclusive), _PAIRS)
+    pairs = met(dealt_within(rows, block_rows)).select("owner", "i", "j", "block", "id", "vector")
+    return pairs.groupBy("owner", "i", "j").applyInArrow(_near(radius, metric, inclusive), _PAIRS)
 
 
 def cross(rows: DataFrame, others: DataFrame, judge: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:

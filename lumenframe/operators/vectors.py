@@ -1,19 +1,26 @@
 """Vector analytics: clustering, stages, suggestions, suppression.
 
-All distances are in double precision.  Joins of vectors by distance (``blocks``)
-are the one place that leaves SQL.
+All distances are in double precision.  Joins of vectors by distance (``blocks``),
+clustering (``density``) and sums of vectors are the places that leave SQL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from lumenframe.functions import geo
 from lumenframe.functions import text as T
 from lumenframe.functions import vectors as V
-from lumenframe.operators.blocks import cross_nearest, cross_pairs, range_pairs, range_pairs_within
+from lumenframe.operators.blocks import cross_nearest, cross_pairs, matrix, range_pairs
 from lumenframe.operators.components import connected_components
+from lumenframe.operators.density import density_labels
 from lumenframe.operators.numbering import numbered
 from lumenframe.storage import cut_lineage, drop
 
@@ -27,29 +34,46 @@ def video_pairs(pairs: DataFrame, videos: DataFrame, radius: float, ratio: float
 
 def dbscan(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """``id, label``: density clusters numbered from 0 by their least core id, -1 for noise; a border point joins its least neighbour cluster."""
-    pairs = cut_lineage(range_pairs(rows, eps, "cosine", inclusive=True), "dbscan-pairs")
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ids = rows.where("vector is not null").select("id")
-    degree = both.groupBy("a").agg((F.count("*") + 1).alias("n"))
-    core = ids.join(degree, F.col("id") == F.col("a"), "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("id")
-    core = cut_lineage(core, "dbscan-core")
-    dense = pairs.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi")
-    joined = core.join(connected_components(dense, "a", "b"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    names = numbered(joined.select("component").distinct(), "component").select("component", (F.col("n") - 1).cast("int").alias("label"))
-    labels = cut_lineage(joined.join(names, "component").select("id", "label"), "dbscan-labels")
-    border = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-    out = ids.join(labels, "id", "left").join(border, F.col("id") == F.col("a"), "left")
-    out = cut_lineage(out.select("id", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label")), "dbscan")
-    drop(pairs, core, labels)
+    named = density_labels(rows, eps, min_samples)
+    names = numbered(named.select(F.col("label").alias("least")).where("least is not null").distinct(), "least").select("least", (F.col("n") - 1).cast("int").alias("number"))
+    out = named.join(names, F.col("label") == F.col("least"), "left").select("id", F.coalesce("number", F.lit(-1)).alias("label"))
     return out
 
 
+def _partial_sums(by: str):
+    """Of each batch and ``by``: how many unit vectors, and their sum; a batch has at most as many rows out as in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = pc.dictionary_encode(batch.column(by)) if not pa.types.is_struct(batch.column(by).type) else None
+            if keys is None:
+                found: dict = {}
+                at = np.array([found.setdefault(tuple(x.items()), len(found)) for x in batch.column(by).to_pylist()])
+                values = pa.array([dict(x) for x in found], batch.column(by).type)
+            else:
+                at, values = keys.indices.to_numpy(zero_copy_only=False), keys.dictionary
+            flat = matrix(batch.column("vector"), True)
+            total = np.zeros((len(values), flat.shape[1]))
+            np.add.at(total, at, flat)
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * flat.shape[1], pa.int32()), pa.array(total.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([values, pa.array(np.bincount(at, minlength=len(values))), sums], names=["key", "n", "total"])
+
+    return run
+
+
 def centroids(rows: DataFrame, by: str) -> DataFrame:
-    """``by, members, centroid``: mean of unit vectors, of unit length again; zero vectors don't count."""
-    unit = rows.where(V.vec_norm(F.col("vector")) > 0).select(by, V.vec_normalize(F.col("vector")).alias("v"))
-    parts = unit.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("x"), F.count("*").alias("members"))
-    whole = parts.groupBy(by).agg(F.max("members").alias("members"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
-    return whole.select(by, "members", V.vec_normalize(F.col("mean")).alias("centroid"))
+    """``by, members, centroid``: mean of unit vectors, of unit length again; zero vectors don't count, nor rows without ``by``.
+
+    Vectors are added up batch by batch where they lie; a row for each batch and
+    key is shuffled.
+    """
+    unit = rows.where((V.vec_norm(F.col("vector")) > 0) & F.col(by).isNotNull()).select(by, "vector")
+    parts = unit.mapInArrow(_partial_sums(by), StructType([StructField("key", rows.schema[by].dataType), StructField("n", LongType()), StructField("total", ArrayType(DoubleType()))]))
+    spread = parts.select("key", "n", F.posexplode("total").alias("i", "x")).groupBy("key", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    whole = spread.groupBy("key").agg(F.max("n").alias("members"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
+    return whole.select(F.col("key").alias(by), "members", V.vec_normalize(F.col("total")).alias("centroid"))
 
 
 def with_radius(members: DataFrame, centers: DataFrame, by: str) -> DataFrame:
@@ -85,16 +109,7 @@ def known_stages(rows: DataFrame, eps: float = 0.38, min_samples: int = 3, least
 
 def cluster_within(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """Density labels of ``id, owner, vector`` among the same owner's vectors only; label is the least core id."""
-    pairs = cut_lineage(range_pairs_within(rows, eps, "cosine", inclusive=True).select("a", "b"), "within-pairs")
-    both = pairs.union(pairs.select("b", "a"))
-    degree = both.groupBy("a").agg((F.count("*") + 1).alias("n")).withColumnRenamed("a", "id")
-    core = rows.select("id").join(degree, "id", "left").where(F.coalesce("n", F.lit(1)) >= min_samples).select("id")
-    dense = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    labels = core.join(connected_components(dense, "a", "b"), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
-    near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
-    found = labels.join(near, "id", "full").select("id", F.coalesce("label", "near").alias("label"))
-    found = cut_lineage(found, "within-labels")
-    drop(pairs)
+    found = density_labels(rows, eps, min_samples, owned=True)
     return rows.join(found, "id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import blocks as B
+from lumenframe.operators import density as D
 from lumenframe.operators import vectors as V
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.numbering import numbered
@@ -44,6 +45,51 @@ def test_dbscan_is_the_sequential_one(spark, least):
     assert [got[i] for i in range(60)] == sequential_dbscan(x.astype(np.float64), 0.05, least)
 
 
+@pytest.mark.parametrize(("least", "block_rows"), [(1, 30), (2, 30), (4, 17), (9, 60)])
+def test_clusters_over_blocks(spark, least, block_rows):
+    """Tight and loose groups, copies, zero vectors and noise, cut into blocks; labels are least core ids."""
+    rng = np.random.default_rng(least)
+    centers = rng.normal(size=(8, 5))
+    x = (centers[rng.integers(0, 8, 240)] + rng.normal(size=(240, 5)) * rng.choice([0.01, 0.2, 0.6], (240, 1))).astype(np.float32)
+    x[30:50] = x[30]
+    got = {r.id: r.label for r in D.density_labels(frame(spark, x), 0.03, least, block_rows=block_rows).collect()}
+    want = sequential_dbscan(x.astype(np.float64), 0.03, least)
+    core = {}
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    dense = ((1 - y @ y.T) <= 0.03).sum(axis=1) >= least
+    for i, k in enumerate(want):
+        if dense[i]:
+            core.setdefault(k, i)
+    assert [got[i] for i in range(240)] == [core.get(k) for k in want]
+
+
+def test_clusters_of_zero_vectors_and_of_owners(spark):
+    x = np.zeros((9, 2), dtype=np.float32)
+    x[3:] = [[1, 0], [1, 0.01], [1, 0.02], [0, 1], [0, 1], [-1, 0]]
+    assert [r.label for r in V.dbscan(frame(spark, x), 0.1, 2).orderBy("id").collect()] == [-1, -1, -1, 0, 0, 0, 1, 1, -1]
+    rows = frame(spark, x).withColumn("owner", (F.col("id") % 2))
+    got = {r.id: r.label for r in V.cluster_within(rows, 0.1, 2).collect()}
+    assert [got[i] for i in range(9)] == [-1, -1, -1, 3, -1, 3, -1, -1, -1]
+    assert V.dbscan(rows.limit(0).select("id", "vector"), 0.1, 2).count() == 0
+
+
+def test_clusters_of_near_equal_rows_write_no_pairs(spark, monkeypatch):
+    """Of n near-equal rows no row, and of each pair of blocks one, is written as an edge."""
+    n, block_rows, sizes = 20_000, 512, {}
+    rows = spark.range(n).select("id", F.array(*[(F.lit(1.0) + F.rand(k) * 1e-4) for k in range(8)]).alias("vector"))
+    write = D.cut_lineage
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "cut_lineage", counted)
+    got = D.density_labels(rows, 0.01, 5, block_rows=block_rows)
+    assert got.groupBy("label").count().collect() == [(0, n)]
+    assert sizes["density-edges"] < n / 2 and "density-core" not in sizes
+
+
 def test_range_pairs_over_blocks(spark):
     x = np.random.default_rng(1).normal(size=(50, 4)).astype(np.float32)
     d = ((x[:, None].astype(np.float64) - x[None].astype(np.float64)) ** 2).sum(axis=2)
