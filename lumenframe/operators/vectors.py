@@ -25,6 +25,9 @@ from lumenframe.operators.numbering import numbered
 from lumenframe.storage import cut_lineage, drop
 
 
+MAX_STAGES = 10_000
+
+
 def video_pairs(pairs: DataFrame, videos: DataFrame, radius: float, ratio: float = 0.4 / 0.6) -> DataFrame:
     """Pairs that also pass the tighter radius if a side is a video (``id``)."""
     mark = lambda side: videos.select(F.col("id").alias(side), F.lit(True).alias(f"v{side}"))
@@ -35,9 +38,12 @@ def video_pairs(pairs: DataFrame, videos: DataFrame, radius: float, ratio: float
 def dbscan(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """``id, label``: density clusters numbered from 0 by their least core id, -1 for noise; a border point joins its least neighbour cluster."""
     named = density_labels(rows, eps, min_samples)
-    names = numbered(named.select(F.col("label").alias("least")).where("least is not null").distinct(), "least").select("least", (F.col("n") - 1).cast("int").alias("number"))
-    out = named.join(names, F.col("label") == F.col("least"), "left").select("id", F.coalesce("number", F.lit(-1)).alias("label"))
-    return out
+    least = named.select(F.col("label").alias("least")).where("least is not null").distinct()
+    n = least.count()
+    order = Window.orderBy("least")
+    names = numbered(least, "least") if n > MAX_STAGES else F.broadcast(least.withColumn("n", F.row_number().over(order)))
+    names = names.select("least", (F.col("n") - 1).cast("int").alias("number"))
+    return named.join(names, F.col("label") == F.col("least"), "left").select("id", F.coalesce("number", F.lit(-1)).alias("label"))
 
 
 def _partial_sums(by: str):
@@ -85,11 +91,11 @@ def with_radius(members: DataFrame, centers: DataFrame, by: str) -> DataFrame:
 
 def stages(rows: DataFrame, eps: float = 0.38, min_samples: int = 2, least: int = 5) -> DataFrame:
     """Appearance stages of one owner's vectors: cluster centroids, or one mean for few vectors or no cluster."""
-    rows = cut_lineage(rows.where(V.vec_norm(F.col("vector")) > 0).select("id", "vector"), "stage-rows")
+    rows = rows.where(V.vec_norm(F.col("vector")) > 0).select("id", "vector")
     labelled = None
     if rows.count() >= least:
-        labelled = rows.join(dbscan(rows, eps, min_samples).where("label >= 0"), "id")
-        labelled = None if labelled.isEmpty() else labelled
+        labels = cut_lineage(dbscan(rows, eps, min_samples).where("label >= 0"), "stage-labels")
+        labelled = None if labels.isEmpty() else rows.join(labels, "id")
     if labelled is None:
         labelled = rows.withColumn("label", F.lit(0))
     return with_radius(labelled, centroids(labelled, "label"), "label").withColumnRenamed("label", "stage")
@@ -113,9 +119,6 @@ def cluster_within(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
-MAX_STAGES = 10_000
-
-
 def _stage_distance() -> Column:
     return F.sqrt(V.vec_l2sq(V.vec_normalize(F.col("vector")), F.col("centroid")))
 

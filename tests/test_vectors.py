@@ -195,3 +195,21 @@ def test_stages_and_suggestions(spark):
     unknown = np.array([a, rng.normal(size=16)])
     got = V.suggest_for_person(frame(spark, unknown), frame(spark, own), 0.55).collect()
     assert [r.id for r in got] == [0] and got[0].similarity > 0.9
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_in_rounds_and_in_one_task(spark, few):
+    rng = np.random.default_rng(12)
+    edges = [(f"é{a}" if a % 3 else f"Z{a}", f"é{b}" if b % 3 else f"Z{b}") for a, b in rng.integers(0, 300, (220, 2)).tolist()] + [("x", "x"), ("é1", None)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src string, dst string"), few=few).collect()}
+    up = {x: x for e in edges if None not in e for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if b is not None and find(a) != find(b):
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {x: find(x) for x in up}
