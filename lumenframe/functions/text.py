@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values of the catalogue's rules.
 VIDEO_EXTENSIONS = ("mp4", "avi", "mov", "mkv")
 SCANNED_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "mp4", "avi", "mov")
+TRASH_FOLDERS = ("$RECYCLE.BIN", ".TRASH", "TRASH", ".TRASH-1000", "TRASH-1000")
+WORK_FOLDERS = (".git", "__pycache__")
 JAPAN_NAMES = ("JP", "Japan", "日本")
 
 

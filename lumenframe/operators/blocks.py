@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +179,45 @@ def range_pairs_within(rows: DataFrame, radius: float, metric: str = "l2sq", inc
     return pairs.groupBy("owner", "i", "j").applyInArrow(_near(radius, metric, inclusive), _PAIRS)
 
 
+def _chamfer_pass(limit: float | None):
+    """Pairs of patch sets of one block, or of two: one matrix product of all their patches."""
+
+    def side(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sets = rows.column("patches").combine_chunks()
+        sizes = pc.list_value_length(sets).to_numpy()
+        return rows.column("id").to_numpy(), matrix(sets.flatten()), np.cumsum(sizes) - sizes, sizes
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i, j = key[-2].as_py(), key[-1].as_py()
+        block = rows.column("block").to_numpy()
+        left, right = rows.filter(pa.array(block == i)), rows.filter(pa.array(block == j))
+        if not left.num_rows or not right.num_rows:
+            none = np.zeros(0)
+            return pa.table({"a": none.astype(np.int64), "b": none.astype(np.int64), "similarity": none})
+        (a, pa_, at_a, n_a), (b, pb, at_b, n_b) = side(left), side(right)
+        each = pa_ @ pb.T
+        there = np.add.reduceat(np.maximum.reduceat(each, at_b, axis=1), at_a, axis=0) / n_a[:, None]
+        back = np.add.reduceat(np.maximum.reduceat(each, at_a, axis=0), at_b, axis=1) / n_b[None, :]
+        found = (there + back) / 2
+        keep = a[:, None] < b[None, :] if i == j else np.ones(found.shape, dtype=bool)
+        x, y = np.nonzero(keep if limit is None else keep & (found > limit))
+        return pa.table({"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y]), "similarity": found[x, y]})
+
+    return run
+
+
+def chamfer_pairs(sets: DataFrame, limit: float | None = None, block_rows: int = 256) -> DataFrame:
+    """``a < b, similarity`` (symmetric Chamfer) of all pairs of patch sets ``id, patches``, or of those beyond ``limit``.
+
+    Sets are dealt to blocks, and each two blocks meet in one matrix product.
+    Patches have one length; null and empty sets match nothing.
+    """
+    sets = sets.where("id is not null and size(patches) > 0").select(F.col("id").cast("long").alias("id"), "patches")
+    parts = max(1, -(-sets.count() // block_rows))
+    placed = sets.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(parts)), "others": F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))})
+    return met(placed).select("i", "j", "block", "id", "patches").groupBy("i", "j").applyInArrow(_chamfer_pass(limit), "a long, b long, similarity double")
+
+
 def cross(rows: DataFrame, others: DataFrame, judge: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``judge`` of every block of ``rows`` with every block of ``others``; both have ``id, vector`` and maybe more, in the same columns."""
     sides = []
@@ -190,7 +229,7 @@ def cross(rows: DataFrame, others: DataFrame, judge: Callable[[pa.Table, pa.Tabl
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = pa.array(table.column("side").to_numpy() == 1)
-        return judge(table.filter(pa.compute.invert(side)), table.filter(side))
+        return judge(table.filter(pc.invert(side)), table.filter(side))
 
     return sides[0].unionByName(sides[1]).groupBy("i", "j").applyInArrow(run, schema)
 

@@ -64,6 +64,31 @@ def _facet_sql(column: str, where: str, extra: str = "") -> str:
 _DAY = "CASE WHEN coalesce(capture_date, '') = '' THEN 'Unknown Date' ELSE replace(split_part(capture_date, ' ', 1), '-', '/') END"
 _LABEL = """coalesce(nullif(concat_ws(', ', CASE WHEN coalesce(nullif(country, '') IN ('JP', 'Japan', '日本'), false) THEN nullif(prefecture, '') ELSE nullif(country, '') END, nullif(city, '')), ''), 'Unknown Location')"""
 
+#: Files put into folders that a scan enters and such that it doesn't, and given names, by their number.
+_PLACED = {
+    11: ("'/lib/', '/lib/.hidden/'", "replace"),
+    13: ("'/lib/', '/lib/Trash/'", "replace"),
+    17: ("'$', '.txt'", "regexp_replace"),
+    19: ("'/lib/', '/lib/trashcan-band/'", "replace"),
+    23: ("'/([^/]*)$', '/Trashed-{0}1'", "regexp_replace"),
+    29: ("'/lib/', '/lib/.git/'", "replace"),
+    31: ("'/lib/', '/lib/__pycache__/'", "replace"),
+    37: ("'/lib/', '/lib/$Recycle.Bin/'", "replace"),
+}
+
+
+def _placed(group: str, no: str) -> str:
+    """CASE of the file's path; ``group`` is the sign of a group in a replacement."""
+    ways = " ".join(f"WHEN {no} % {n} = 0 THEN {f}(file_path, {a.format(group)})" for n, (a, f) in _PLACED.items())
+    return f"CASE {ways} ELSE file_path END"
+
+
+def _listing(c) -> DataFrame:
+    return c.media.select(F.expr(_placed("$", "media_no")).alias("file_path"))
+
+
+_LISTING_SQL = f", listing AS (SELECT {_placed(chr(92), 'media_no')} AS file_path, CASE {' '.join(f'WHEN media_no % {n} = 0 THEN {n}' for n in _PLACED)} ELSE 0 END AS kind FROM media)"
+
 QUERIES = {
     # scans
     "all_media_paths": (lambda c, s, d: c.media.select("file_path"), " SELECT file_path FROM media"),
@@ -92,10 +117,8 @@ FROM media m LEFT JOIN locations l ON m.location_id = l.location_id WHERE m.medi
     "settings_all": (lambda c, s, d: c.settings, " SELECT key, value FROM settings"),
     "setting_get": (lambda c, s, d: P.setting_get(c.settings, "theme", "light").union(P.setting_get(c.settings, "none", "light")), " SELECT value FROM settings WHERE key = 'theme' UNION ALL SELECT 'light'"),
     "setting_put": (lambda c, s, d: P.setting_put(c.settings, "theme", 3), " SELECT key, value FROM settings WHERE key <> 'theme' UNION ALL SELECT 'theme', '3'"),
-    "scan_files": (
-        lambda c, s, d: keep_scanned(c.media.selectExpr("case when media_no % 11 = 0 then replace(file_path, '/lib/', '/lib/.hidden/') when media_no % 13 = 0 then concat('/lib/Trash', file_path) when media_no % 17 = 0 then concat(file_path, '.txt') else file_path end as file_path")),
-        " SELECT DISTINCT file_path FROM media WHERE media_no % 11 <> 0 AND media_no % 13 <> 0 AND media_no % 17 <> 0",
-    ),
+    "scan_files": (lambda c, s, d: keep_scanned(_listing(c)), f"{_LISTING_SQL} SELECT DISTINCT file_path FROM listing WHERE kind IN (0, 19, 23)"),
+    "scan_files_trash": (lambda c, s, d: keep_scanned(_listing(c), include_trash=True), f"{_LISTING_SQL} SELECT DISTINCT file_path FROM listing WHERE kind NOT IN (17, 29, 31)"),
     # filters
     "filter_media": (
         lambda c, s, d: M.filter_media(c, None, 1995, 6, include_trash=True, root="/lib/p1").select("file_path", "city"),

@@ -9,6 +9,7 @@ from lumenframe.functions import geo as G
 from lumenframe.functions import text as T
 from lumenframe.functions import vectors as V
 from lumenframe.operators import media as M
+from lumenframe.operators.blocks import chamfer_pairs
 from lumenframe.operators.vectors import centroids
 from lumenframe.sources.blobs import decode_vectors, encode_vectors
 
@@ -26,13 +27,6 @@ def _vec_pairs(c):
     return a.join(b, "a")
 
 
-def _patch_pairs(c):
-    """All pairs of vectors as patch sets, which are made once a vector."""
-    sets = c.features.select("vec_id", V.patches(F.col("vector")).alias("p")).repartition("vec_id")
-    a, b = sets.select(F.col("vec_id").alias("a"), F.col("p").alias("pa")), sets.select(F.col("vec_id").alias("b"), F.col("p").alias("pb"))
-    return a.join(b, F.col("a") < F.col("b"))
-
-
 def _windows_path(c):
     return c.media.select("media_no", F.expr("concat('C:', replace(file_path, '/', '\\\\'))").alias("raw"))
 
@@ -136,7 +130,15 @@ SELECT path_key, string_agg(concat(label, '=', id), ';' ORDER BY label, id) AS l
         lambda c, s, d: _vec_pairs(c).select("a", "b", F.round(V.vec_l2sq(F.col("va"), F.col("vb")), 6).alias("x")),
         f" SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.vector, b.vector), lambda p : pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))), 6) AS x{_PAIRS}",
     ),
-    "chamfer": (lambda c, s, d: _patch_pairs(c).select("a", "b", F.round(V.chamfer(F.col("pa"), F.col("pb")), 6).alias("x")), None),
+    "chamfer": (
+        lambda c, s, d: chamfer_pairs(c.features.select(F.col("vec_id").alias("id"), V.patches(F.col("vector")).alias("patches"))).select("a", "b", F.round("similarity", 6).alias("x")),
+        """, patch AS (SELECT vec_id AS id, i, list_transform(vector[i * 8 + 1 : i * 8 + 8], lambda x : CAST(x AS DOUBLE)) AS r FROM features, range(0, 8) t(i)),
+u AS MATERIALIZED (SELECT id, i, list_transform(r, lambda x : x / sqrt(list_dot_product(r, r))) AS r FROM patch),
+dots AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.i, b.i AS j, list_dot_product(a.r, b.r) AS x FROM u a JOIN u b ON a.id < b.id),
+there AS (SELECT a, b, avg(x) AS x FROM (SELECT a, b, i, max(x) AS x FROM dots GROUP BY ALL) GROUP BY 1, 2),
+back AS (SELECT a, b, avg(x) AS x FROM (SELECT a, b, j, max(x) AS x FROM dots GROUP BY ALL) GROUP BY 1, 2)
+SELECT t.a, t.b, round((t.x + k.x) / 2, 6) AS x FROM there t JOIN back k ON t.a = k.a AND t.b = k.b""",
+    ),
     "topk_patches": (
         lambda c, s, d: _vec(c).select("id", V.topk_patches(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("vector", i * 8 + 1, 8)), 3).alias("top")).select("id", F.size("top").alias("n"), F.round(F.aggregate("top", F.lit(0.0), lambda a, x: a + V.vec_norm(x)), 5).alias("x")),
         """, p AS (SELECT vec_id AS id, list_transform(range(0, 8), lambda i : sqrt(list_sum(list_transform(vector[i * 8 + 1 : i * 8 + 8], lambda x : pow(CAST(x AS DOUBLE), 2))))) AS l FROM features)

@@ -103,8 +103,8 @@ def _near_groups_sql(rerank: float | None = None) -> str:
 near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_L2SQ} AS d FROM vm a JOIN vm b ON a.id < b.id),
 accepted AS MATERIALIZED (SELECT x.file_path AS a, y.file_path AS b, x.video OR y.video AS video FROM near n JOIN vm x ON n.a = x.id JOIN vm y ON n.b = y.id WHERE n.d < {2 * EPS} AND ((NOT x.video AND NOT y.video) OR n.d < {2 * EPS} * (0.4::DOUBLE / 0.6::DOUBLE)) AND x.h <> y.h{keep}),
 edge AS MATERIALIZED (SELECT a, b FROM accepted UNION SELECT b, a FROM accepted UNION SELECT x.file_path, y.file_path FROM vm x JOIN vm y ON x.h = y.h AND x.id <> y.id),
-walk AS (SELECT a AS id, a AS other FROM edge UNION SELECT w.id, e.b FROM walk w JOIN edge e ON w.other = e.a),
-member AS MATERIALIZED (SELECT id AS file_path, min(other) AS component FROM walk GROUP BY 1),
+walk(id, least) USING KEY (id) AS (SELECT DISTINCT a, a FROM edge UNION (SELECT e.a, min(w.least) FROM walk w JOIN edge e ON e.b = w.id JOIN recurring.walk o ON o.id = e.a WHERE w.least < o.least GROUP BY 1)),
+member AS MATERIALIZED (SELECT id AS file_path, least AS component FROM walk),
 ng AS MATERIALIZED (SELECT m.component, m.file_path, v.h, CASE WHEN min(v.h) OVER w = max(v.h) OVER w THEN 'exact' WHEN bool_or(t.a IS NOT NULL) OVER w THEN 'ai_local_video' ELSE 'ai_local' END AS method,
   CAST(row_number() OVER (PARTITION BY m.component ORDER BY v.good DESC, v.size DESC, m.file_path) AS INTEGER) AS rank
   FROM member m JOIN vm v ON m.file_path = v.file_path LEFT JOIN (SELECT DISTINCT a FROM accepted WHERE video) t ON t.a = m.file_path WINDOW w AS (PARTITION BY m.component))"""
@@ -145,6 +145,9 @@ known AS (SELECT DISTINCT u.id FROM u, kst s WHERE list_distance(u.v, s.center)
 alike AS (SELECT DISTINCT u.id FROM u, qstage s WHERE list_distance(u.v, s.center) <= greatest(s.radius, 0.45)),
 general AS MATERIALIZED (SELECT l.id, n.label, z.members, CASE WHEN a.id IS NOT NULL THEN 'IGNORE_IDENTICAL' WHEN z.members <= 2 THEN 'IGNORE_RARE' ELSE 'SUGGEST_NEW' END AS kind
   FROM glab l JOIN gnum n ON l.c = n.c JOIN gsize z ON l.c = z.c LEFT JOIN alike a ON l.id = a.id WHERE l.id NOT IN (SELECT id FROM known))"""
+_CITY_SQL = """, p AS (SELECT c_custkey AS id, c_custkey % 180 - 90 + 0.37::DOUBLE AS lat, c_custkey * 7 % 360 - 180 + 0.53::DOUBLE AS lon FROM customer),
+q AS (SELECT prefecture AS city, CAST((location_id * 37 % 180) - 90 AS DOUBLE) AS y, CAST((location_id * 71 % 360) - 180 AS DOUBLE) AS x FROM locations),
+best AS (SELECT id, city FROM p, q QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt((lat - y) * (lat - y) + (lon - x) * (lon - x)), city) = 1)"""
 _COMPONENTS = f"""
 , {_PAIRS}, both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), ids AS (SELECT a AS id FROM both_ UNION SELECT b FROM both_), {_PARTS}"""
 
@@ -262,15 +265,10 @@ SELECT l.id, coalesce(n.label + 1000, -1) AS label, false AS matches_ignored FRO
         f""", {_FACE_VECTORS}, src AS (SELECT f.path_key AS grp, f.face_id AS id, {_VIDEO} AS video, v.v, x1, y1, x2, y2 FROM faces f JOIN fv v ON f.face_id = v.id),
 {_greedy_sql("src", "id", f"CASE WHEN a.video THEN list_dot_product(a.v, b.v) > 0.88 ELSE {_OVERLAP} END")} SELECT id AS face_id FROM kept WHERE NOT kept""",
     ),
-    "nearest_city": (
-        lambda c, s, d: V.nearest_city(_points(s, d), _cities(c)),
-        """, p AS (SELECT c_custkey AS id, c_custkey % 180 - 90 + 0.37::DOUBLE AS lat, c_custkey * 7 % 360 - 180 + 0.53::DOUBLE AS lon FROM customer),
-q AS (SELECT prefecture AS city, CAST((location_id * 37 % 180) - 90 AS DOUBLE) AS y, CAST((location_id * 71 % 360) - 180 AS DOUBLE) AS x FROM locations)
-SELECT id, city FROM p, q QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt((lat - y) * (lat - y) + (lon - x) * (lon - x)), city) = 1""",
-    ),
+    "nearest_city": (lambda c, s, d: V.nearest_city(_points(s, d), _cities(c)), f"{_CITY_SQL} SELECT id, city FROM best"),
     "resolve_location": (
-        lambda c, s, d: resolve_location(_points(s, d).withColumn("cached_lat", F.when(F.col("id") % 2 == 0, F.col("lat"))), _cities(c)).select("id", F.col("city").isNotNull().alias("found")),
-        " SELECT c_custkey AS id, c_custkey % 2 <> 0 AS found FROM customer",
+        lambda c, s, d: resolve_location(_points(s, d).withColumn("cached_lat", F.when(F.col("id") % 2 == 0, F.col("lat"))), _cities(c)),
+        f"{_CITY_SQL} SELECT p.id, b.city FROM p LEFT JOIN best b ON p.id = b.id AND p.id % 2 <> 0",
     ),
     "nearest_stage": (
         lambda c, s, d: V.nearest_stage(_rows(c, "label <> 1"), V.stages(_rows(c, "label = 1"), 0.8, 2), 1.2).select("id", "stage"),

@@ -116,11 +116,18 @@ def test_scalars(spark):
 
 
 def test_sources(spark, tmp_path):
-    for name in ("a.jpg", "b.txt", ".hidden/c.jpg", "d/e.MP4", "Trash/f.jpg"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_bytes(b"x")
-    found = {r.file_path.rsplit("/", 1)[1] for r in scan_files(spark, str(tmp_path)).collect()}
-    assert found == {"a.jpg", "e.MP4"}
+    top = tmp_path / ".trash" / "files"  # what lies above the root says nothing
+    always = ["a.jpg", "d/e.MP4", "trashcan-band/g.png", "d/Trashed.jpg"]
+    trash = [".hidden/c.jpg", "Trash/f.jpg", "$Recycle.bin/h.bmp", "d/.trash-1000/i.mov", "d/.j.jpg"]
+    for name in (*always, *trash, "b.txt", ".git/k.jpg", "d/__pycache__/l.jpg"):
+        (top / name).parent.mkdir(exist_ok=True, parents=True)
+        (top / name).write_bytes(b"x")
+    below = lambda **options: sorted(r.file_path.split("/files/", 1)[1] for r in scan_files(spark, str(top), **options).collect())
+    assert below() == sorted(always)
+    assert below(include_trash=True) == sorted(always + trash)
+    (one,) = (r for r in scan_files(spark, f"file://{top}", with_content=True).collect() if r.file_path.endswith("a.jpg"))
+    assert (one.size, bytes(one.content)) == (1, b"x") and abs(one.last_modified - (top / "a.jpg").stat().st_mtime) < 1e-3
+    assert one.file_path == f"file:{top}/a.jpg" and scan_files(spark, str(tmp_path / "none")).collect() == []
     tsv = tmp_path / "cities.tsv"
     tsv.write_text("\t".join(["1", "Ville", "", "", "1.5", "2.5", "P", "PPL", "FR", "", "A8"] + [""] * 8) + "\nshort\n")
     (city,) = read_gazetteer(spark, str(tsv)).collect()

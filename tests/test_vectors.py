@@ -213,3 +213,20 @@ def test_components_in_rounds_and_in_one_task(spark, few):
         if b is not None and find(a) != find(b):
             up[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {x: find(x) for x in up}
+
+
+@pytest.mark.parametrize("limit", [None, 0.3])
+def test_chamfer_of_blocks(spark, limit):
+    rng = np.random.default_rng(13)
+    sets = [rng.normal(size=(k, 4)) for k in rng.integers(1, 6, 23)]
+    rows = [(i, s.tolist()) for i, s in enumerate(sets)] + [(90, None), (91, []), (None, sets[0].tolist())]
+    df = spark.createDataFrame(rows, "id long, patches array<array<double>>")
+    want = {}
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            each = a @ sets[j].T
+            x = (each.max(axis=1).mean() + each.max(axis=0).mean()) / 2
+            if limit is None or x > limit:
+                want[i, j] = round(x, 9)
+    got = {(r.a, r.b): round(r.similarity, 9) for r in B.chamfer_pairs(df, limit, block_rows=5).collect()}
+    assert got == want and len(want) > 50
