@@ -104,11 +104,13 @@ def _range_pass(pivots: np.ndarray, unit: bool):
     return run
 
 
-def cells(rows: DataFrame, radius: float, metric: str, n: int, block_rows: int) -> Cells:
-    """The cells of ``id, vector``; what reaches the driver is one row for each pair of pivots at most."""
-    unit = metric == "cosine"
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(min(MAX_PIVOTS, 2 * -(-n // block_rows))).select("vector").toArrow()
-    pivots = np.unique(matrix(some.column("vector"), unit), axis=0)
+def _sample(rows: DataFrame, most: int, unit: bool) -> np.ndarray:
+    """A bounded number of vectors, by hash."""
+    return matrix(rows.orderBy(F.xxhash64("id"), "id").limit(most).select(F.col("vector").cast("array<double>")).toArrow().column(0), unit)
+
+
+def _ranges(rows: DataFrame, pivots: np.ndarray, unit: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each cell: its rows, and their least and greatest distance to every pivot; the driver sees a row for each pair of pivots at most."""
     k = len(pivots)
     seen = rows.select("vector").mapInArrow(_range_pass(pivots, unit), "cell long, held long, low array<double>, high array<double>")
     seen = seen.select("cell", "held", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "x"))
@@ -117,11 +119,23 @@ def cells(rows: DataFrame, radius: float, metric: str, n: int, block_rows: int)
     held, low, high = np.zeros(k, dtype=np.int64), np.full((k, k), np.inf), np.full((k, k), -np.inf)
     held[cell] = seen.column("held").to_numpy()
     low[cell, pivot], high[cell, pivot] = seen.column("low").to_numpy(), seen.column("high").to_numpy()
-    reach = float(np.sqrt(max(0.0, 2 * radius if unit else radius))) * (1 + 1e-9) + 1e-6
-    meets = np.zeros((k, k), dtype=np.int64)
+    return held, low, high
+
+
+def _reach(radius: float, unit: bool) -> float:
+    """The Euclidean distance that ``radius`` allows, and a little for rounding."""
+    return float(np.sqrt(max(0.0, 2 * radius if unit else radius))) * (1 + 1e-9) + 1e-6
+
+
+def cells(rows: DataFrame, radius: float, metric: str, n: int, block_rows: int) -> Cells:
+    """The cells of ``id, vector``."""
+    unit = metric == "cosine"
+    pivots = np.unique(_sample(rows, min(MAX_PIVOTS, 2 * -(-n // block_rows)), unit), axis=0)
+    held, low, high = _ranges(rows, pivots, unit)
+    meets = np.zeros((len(pivots), len(pivots)), dtype=np.int64)
     for i in np.flatnonzero(held):
         gap = np.maximum(low[i] - high, low - high[i]).max(axis=1)
-        meets[i] = (gap <= reach) & (held > 0)
+        meets[i] = (gap <= _reach(radius, unit)) & (held > 0)
     return Cells(pivots, held, meets)
 
 
@@ -129,7 +143,7 @@ def _deal_pass(pivots: np.ndarray, unit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = _cell_of(matrix(batch.column("vector"), unit), pivots)[0] if batch.num_rows else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(cell)], names=["id", "vector", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
 
     return run
 
@@ -218,14 +232,65 @@ def chamfer_pairs(sets: DataFrame, limit: float | None = None, block_rows: int =
     return met(placed).select("i", "j", "block", "id", "patches").groupBy("i", "j").applyInArrow(_chamfer_pass(limit), "a long, b long, similarity double")
 
 
-def cross(rows: DataFrame, others: DataFrame, judge: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``judge`` of every block of ``rows`` with every block of ``others``; both have ``id, vector`` and maybe more, in the same columns."""
+@dataclass
+class CrossCells:
+    """Cells of two tables around the same pivots, and which of the first must meet which of the second."""
+
+    pivots: np.ndarray
+    rows: np.ndarray
+    others: np.ndarray
+    meets: np.ndarray
+
+    def skipped(self, block_rows: int = BLOCK_ROWS) -> float:
+        """Share of all pairs of blocks of the two tables that are never brought together."""
+        a, b = (np.where(held > 0, -(-held // block_rows), 0) for held in (self.rows, self.others))
+        return float(1 - a @ self.meets @ b / max(1, a.sum() * b.sum()))
+
+
+def cross_cells(rows: DataFrame, others: DataFrame, units: tuple[bool, bool], block_rows: int, reach: float | None, widest: np.ndarray | Callable | None = None) -> CrossCells:
+    """Cells of ``rows`` and ``others`` (``id, vector``) that can hold rows within ``reach`` of each other.
+
+    Without a ``reach`` the nearest of ``others`` is looked for: no row of a cell
+    is farther from it than its greatest distance to a pivot and the pivot's
+    least distance to any of ``others``, so cells farther apart never meet,
+    unless ``widest`` (pivots -> a distance for each cell of ``others``) asks for more.
+    """
+    n = [side.count() for side in (rows, others)]
+    most = [min(MAX_PIVOTS // 2, 2 * -(-x // block_rows)) for x in n]
+    some = [_sample(side, m, unit) for side, m, unit in zip((rows, others), most, units) if m]
+    if len(some) < 2:
+        none = np.zeros(0, dtype=np.int64)
+        return CrossCells(np.zeros((0, 0)), none, none, np.zeros((0, 0), dtype=bool))
+    pivots = np.unique(np.concatenate(some), axis=0)
+    held, low, high = _ranges(rows, pivots, units[0])
+    far_held, far_low, far_high = _ranges(others, pivots, units[1])
+    bound = np.full((len(pivots), len(pivots)), reach) if reach is not None else None
+    if bound is None:
+        nearest = (high + far_low.min(axis=0)[None, :]).min(axis=1) * (1 + 1e-9) + 1e-6
+        bound = np.maximum(nearest[:, None], widest(pivots)[None, :] * (1 + 1e-9) + 1e-6)
+    meets = np.zeros((len(pivots), len(pivots)), dtype=bool)
+    for i in np.flatnonzero(held):
+        gap = np.maximum(low[i] - far_high, far_low - high[i]).max(axis=1)
+        meets[i] = (gap <= bound[i]) & (far_held > 0)
+    return CrossCells(pivots, held, far_held, meets)
+
+
+def cross(rows: DataFrame, others: DataFrame, found: CrossCells, units: tuple[bool, bool], judge: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``judge`` of every block of ``rows`` with every block of ``others`` that it must meet; both have ``id, vector`` and maybe more, in the same columns."""
+    spark = rows.sparkSession
+    if not found.meets.any():
+        return spark.createDataFrame([], schema)
+    parts = [np.maximum(1, -(-held // block_rows)).tolist() for held in (found.rows, found.others)]
     sides = []
-    held = [max(1, -(-side.count() // block_rows)) for side in (rows, others)]
-    for mark, side, key, own, other in ((0, rows, "i", held[0], held[1]), (1, others, "j", held[1], held[0])):
-        far = "j" if key == "i" else "i"
-        dealt = side.withColumns({"side": F.lit(mark), key: F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")})
-        sides.append(dealt.withColumn(far, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))))
+    for mark, side, own, far in ((0, rows, "i", "j"), (1, others, "j", "i")):
+        meets = found.meets if mark == 0 else found.meets.T
+        known = [(c, parts[mark][c], [(int(o), parts[1 - mark][o]) for o in np.flatnonzero(meets[c])]) for c in np.flatnonzero(meets.any(axis=1)).tolist()]
+        table = spark.createDataFrame(known, "cell long, parts int, partners array<struct<cell: long, parts: int>>")
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in side.schema)
+        placed = side.mapInArrow(_deal_pass(found.pivots, units[mark]), f"{columns}, cell long").join(F.broadcast(table), "cell")  # a row for each pivot
+        all_ = F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["parts"] - 1), lambda k: p["cell"] * _CELL + k)))
+        block = F.col("cell") * _CELL + F.pmod(F.xxhash64("id"), F.col("parts"))
+        sides.append(placed.select(*side.columns, F.lit(mark).alias("side"), block.alias(own), F.explode(all_).alias(far)))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = pa.array(table.column("side").to_numpy() == 1)
@@ -235,20 +300,25 @@ def cross(rows: DataFrame, others: DataFrame, judge: Callable[[pa.Table, pa.Tabl
 
 
 def cross_pairs(rows: DataFrame, others: DataFrame, radius: float, metric: str = "l2sq", inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a, b, distance``: ``a`` of ``rows``, ``b`` of ``others``, of different ids and within ``radius``."""
+    """``a, b, distance``: ``a`` of ``rows``, ``b`` of ``others``, of different ids and within ``radius``; blocks too far apart never meet."""
+    unit = metric == "cosine"
 
     def judge(a: pa.Table, b: pa.Table) -> pa.Table:
-        dist = _distance(matrix(a.column("vector"), metric == "cosine"), matrix(b.column("vector"), metric == "cosine"), metric) if a.num_rows and b.num_rows else np.zeros((a.num_rows, b.num_rows))
+        dist = _distance(matrix(a.column("vector"), unit), matrix(b.column("vector"), unit), metric) if a.num_rows and b.num_rows else np.zeros((a.num_rows, b.num_rows))
         left, right = a.column("id").to_numpy(), b.column("id").to_numpy()
         x, y = np.nonzero((dist <= radius if inclusive else dist < radius) & (left[:, None] != right[None, :]))
         return pa.table({"a": left[x], "b": right[y], "distance": dist[x, y]})
 
     clean = [side.where("vector is not null and id is not null").select("id", "vector") for side in (rows, others)]
-    return cross(*clean, judge, _PAIRS, block_rows)
+    found = cross_cells(*clean, (unit, unit), block_rows, _reach(radius, unit))
+    return cross(*clean, found, (unit, unit), judge, _PAIRS, block_rows)
 
 
 def cross_nearest(rows: DataFrame, centers: DataFrame, floor: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``id, stage, radius, distance, inside`` of each row's nearest center in each block; ``inside``: some center of the block has the row in its radius or ``floor``."""
+    """``id, stage, radius, distance, inside`` of each row's nearest center in each block that it meets; ``inside``: some center of the block has the row in its radius or ``floor``.
+
+    Blocks of centers that hold neither a row's nearest one nor one that reaches it may be left out.
+    """
 
     def judge(a: pa.Table, b: pa.Table) -> pa.Table:
         n = a.num_rows if b.num_rows else 0
@@ -263,5 +333,15 @@ def cross_nearest(rows: DataFrame, centers: DataFrame, floor: float, block_rows:
         return pa.table({"id": a.column("id").to_numpy(), "stage": stage[best].astype(np.int64), "radius": radius[best], "distance": dist[np.arange(n), best], "inside": inside})
 
     left = rows.where("vector is not null and id is not null").select("id", F.col("vector").cast("array<double>").alias("vector"), F.lit(0.0).alias("radius"))
-    right = centers.select(F.col("stage").cast("long").alias("id"), F.col("centroid").alias("vector"), "radius")
-    return cross(left, right, judge, "id long, stage long, radius double, distance double, inside boolean", block_rows)
+    right = centers.select(F.col("stage").cast("long").alias("id"), F.col("centroid").alias("vector"), "radius").where("vector is not null")
+
+    def widest(pivots: np.ndarray) -> np.ndarray:
+        """The greatest radius of each cell of centers."""
+        placed = right.mapInArrow(_deal_pass(pivots, False), f"id long, vector {right.schema['vector'].dataType.simpleString()}, radius double, cell long")
+        out = np.full(len(pivots), float(floor))
+        for r in placed.groupBy("cell").agg(F.max("radius").alias("radius")).collect():  # a row for each pivot
+            out[r.cell] = max(floor, r.radius or 0.0)
+        return out
+
+    found = cross_cells(left, right, (True, False), block_rows, None, widest)
+    return cross(left, right, found, (True, False), judge, "id long, stage long, radius double, distance double, inside boolean", block_rows)

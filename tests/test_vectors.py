@@ -144,6 +144,46 @@ def test_many_stages_meet_rows_in_blocks(spark):
     assert few == many and few
 
 
+@pytest.mark.parametrize(("metric", "radius"), [("l2sq", 0.05), ("cosine", 0.0004)])
+def test_tables_meet_only_where_they_can(spark, metric, radius):
+    """Pairs across two tables are brute force's, and most pairs of blocks never meet; a zero vector is far from all."""
+    rng = np.random.default_rng(14)
+    spots = rng.normal(size=(16, 6)) * 4
+    x, y = (spots[rng.integers(0, 16, n)] + rng.normal(size=(n, 6)) * 0.05 for n in (500, 300))
+    x[3], y[4] = 0, 0
+    x[50:60] = y[7]
+    a, b = (spark.createDataFrame([(k + i, v.tolist()) for i, v in enumerate(z)], "id long, vector array<double>") for k, z in ((0, x), (450, y)))
+    unit = metric == "cosine"
+    found = B.cross_cells(a, b, (unit, unit), 20, B._reach(radius, unit))
+    assert found.rows.sum() == 500 and found.others.sum() == 300 and found.skipped(20) > 0.6
+    p, q = (z / np.where((n := np.linalg.norm(z, axis=1, keepdims=True)) > 0, n, 1) for z in (x, y)) if unit else (x, y)
+    d = 1 - p @ q.T if unit else ((p[:, None] - q[None]) ** 2).sum(axis=2)
+    want = {(i, 450 + j) for i, j in zip(*np.nonzero(d < radius)) if i != 450 + j}
+    assert len(want) > 200 and {(r.a, r.b) for r in B.cross_pairs(a, b, radius, metric, block_rows=20).collect()} == want
+
+
+def test_nearest_center_of_cells_that_can_hold_it(spark):
+    rng = np.random.default_rng(15)
+    spots = rng.normal(size=(12, 5))
+    near = lambda n, s: spots[rng.integers(0, 12, n)] + rng.normal(size=(n, 5)) * s
+    x, c = near(400, 0.05), near(120, 0.05)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    radius = rng.choice([0.01, 0.02, 0.05], 120)
+    rows, centers = frame(spark, x), spark.createDataFrame([(i, v.tolist(), float(r)) for i, (v, r) in enumerate(zip(c, radius))], "stage int, centroid array<double>, radius double")
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    d = np.sqrt(((u[:, None] - c[None]) ** 2).sum(axis=2))
+    best, inside = {}, set()
+    got = B.cross_nearest(rows, centers, 0.03, block_rows=10).collect()
+    for r in got:
+        best[r.id] = min(best.get(r.id, (9, 0)), (r.distance, r.stage))
+        inside |= {r.id} if r.inside else set()
+    assert [best[i][1] for i in range(400)] == d.argmin(axis=1).tolist()
+    assert inside == set(np.flatnonzero((d <= np.maximum(radius, 0.03)).any(axis=1)).tolist()) and 0 < len(inside) < 400
+    assert len(got) < 0.5 * 400 * 12  # of 12 blocks of centers or more, most rows meet few
+    assert B.cross_nearest(rows.limit(0), centers, 0.1).count() == B.cross_nearest(rows, centers.limit(0), 0.1).count() == 0
+
+
 def test_nearest_city_on_grids(spark):
     rng = np.random.default_rng(11)
     cities = [(f"c{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(150, 2)) * [20, 40])] + [("a", 10.0, 10.0), ("b", 10.0, 10.0), ("z", None, 1.0)]
