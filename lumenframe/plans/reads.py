@@ -83,11 +83,11 @@ def _placed(group: str, no: str) -> str:
     return f"CASE {ways} ELSE file_path END"
 
 
-def _listing(c) -> DataFrame:
+def _scanned_paths(c) -> DataFrame:
     return c.media.select(F.expr(_placed("$", "media_no")).alias("file_path"))
 
 
-_LISTING_SQL = f", listing AS (SELECT {_placed(chr(92), 'media_no')} AS file_path, CASE {' '.join(f'WHEN media_no % {n} = 0 THEN {n}' for n in _PLACED)} ELSE 0 END AS kind FROM media)"
+_SCANNED_SQL = f", listing AS (SELECT {_placed(chr(92), 'media_no')} AS file_path, CASE {' '.join(f'WHEN media_no % {n} = 0 THEN {n}' for n in _PLACED)} ELSE 0 END AS kind FROM media)"
 
 QUERIES = {
     # scans
@@ -117,8 +117,8 @@ FROM media m LEFT JOIN locations l ON m.location_id = l.location_id WHERE m.medi
     "settings_all": (lambda c, s, d: c.settings, " SELECT key, value FROM settings"),
     "setting_get": (lambda c, s, d: P.setting_get(c.settings, "theme", "light").union(P.setting_get(c.settings, "none", "light")), " SELECT value FROM settings WHERE key = 'theme' UNION ALL SELECT 'light'"),
     "setting_put": (lambda c, s, d: P.setting_put(c.settings, "theme", 3), " SELECT key, value FROM settings WHERE key <> 'theme' UNION ALL SELECT 'theme', '3'"),
-    "scan_files": (lambda c, s, d: keep_scanned(_listing(c)), f"{_LISTING_SQL} SELECT DISTINCT file_path FROM listing WHERE kind IN (0, 19, 23)"),
-    "scan_files_trash": (lambda c, s, d: keep_scanned(_listing(c), include_trash=True), f"{_LISTING_SQL} SELECT DISTINCT file_path FROM listing WHERE kind NOT IN (17, 29, 31)"),
+    "scan_files": (lambda c, s, d: keep_scanned(_scanned_paths(c)), f"{_SCANNED_SQL} SELECT DISTINCT file_path FROM listing WHERE kind IN (0, 19, 23)"),
+    "scan_files_trash": (lambda c, s, d: keep_scanned(_scanned_paths(c), include_trash=True), f"{_SCANNED_SQL} SELECT DISTINCT file_path FROM listing WHERE kind NOT IN (17, 29, 31)"),
     # filters
     "filter_media": (
         lambda c, s, d: M.filter_media(c, None, 1995, 6, include_trash=True, root="/lib/p1").select("file_path", "city"),
