@@ -18,7 +18,7 @@ and a knot is one node of the graph of clusters.
 So what is written is at most, for each pair of blocks that meet, an edge for
 each of their knots, and a row for each row that isn't core and group that it
 touches: of n rows that are near-equal, none for each row and one for each pair of
-blocks.
+blocks.  Rows that are one block are labelled in one step.
 """
 
 from __future__ import annotations
@@ -169,12 +169,35 @@ def _edge_pass(eps: float):
     return run
 
 
+def _label_pass(eps: float, min_samples: int):
+    """Labels of rows that are one block."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        flat, ids = matrix(rows.column("vector"), True), rows.column("id").to_numpy()
+        near = _cosine(flat, flat) <= eps
+        np.fill_diagonal(near, True)
+        core = near.sum(axis=1) >= min_samples
+        least = np.full(len(ids), len(ids))  # the place of the least core row of each row's cluster
+        own = np.flatnonzero(core)
+        least[own] = own[_groups(near[np.ix_(own, own)])[: len(own)]]
+        if len(own):
+            met_ = np.where(near[:, own], least[own][None, :], len(ids)).min(axis=1)
+            least = np.where(core, least, met_)
+        noise = least == len(ids)
+        return pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(ids[np.where(noise, 0, least)], pa.int64(), mask=noise)})
+
+    return run
+
+
 def density_labels(rows: DataFrame, eps: float, min_samples: int, owned: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id, label`` of ``id, vector`` (``owner``: only rows of one owner are near); ``label``: the least core id of the row's
     cluster, of several that a border row is near to the least, null for noise. Rows without a vector have no label.
     """
     key = ["owner"] if owned else []
     rows = rows.where(" and ".join(f"{c} is not null" for c in [*key, "id", "vector"])).select(*key, F.col("id").cast("long").alias("id"), "vector")
+    if not owned and rows.limit(block_rows + 1).count() <= block_rows:
+        return cut_lineage(rows.groupBy(F.lit(0).alias("block")).applyInArrow(_label_pass(eps, min_samples), "id long, label long"), "density-labels")
     if owned:
         placed = dealt_within(rows, block_rows)
     else:
