@@ -26,3 +26,10 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "n") -> DataFram
     table = rows.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(held, starts)], "__part long, __start long")
     out = ranged.withColumn("__part", part).join(F.broadcast(table), "__part")  # a row for each range
     return out.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit(_PLACE))).drop("__part", "__start", "__at")
+
+
+def ranked(rows: DataFrame, by: str, *order: str | Column, name: str = "n") -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... along ``order`` inside each ``by``, of which null is one; a large ``by`` is many ranges."""
+    all_ = numbered(rows, by, *order, name=name)
+    first = all_.groupBy(F.col(by).alias("__by")).agg(F.min(name).alias("__first"))
+    return all_.join(first, F.col(by).eqNullSafe(F.col("__by"))).withColumn(name, F.col(name) - F.col("__first")).drop("__by", "__first")

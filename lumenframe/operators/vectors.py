@@ -21,11 +21,13 @@ from lumenframe.functions import vectors as V
 from lumenframe.operators.blocks import cross_nearest, cross_pairs, matrix, range_pairs
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.density import density_labels
-from lumenframe.operators.numbering import numbered
+from lumenframe.operators.numbering import numbered, ranked
+from lumenframe.operators.suppression import spatial_nms, stored_face_dedup, temporal_nms  # noqa: F401
 from lumenframe.storage import cut_lineage, drop
 
 
 MAX_STAGES = 10_000
+SEGMENT = 100_000
 
 
 def video_pairs(pairs: DataFrame, videos: DataFrame, radius: float, ratio: float = 0.4 / 0.6) -> DataFrame:
@@ -205,53 +207,6 @@ def norm_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(F.min(n), 6).alias("min_norm"), F.round(F.max(n), 6).alias("max_norm"), F.round(F.avg(n), 6).alias("mean_norm"))
 
 
-def greedy_keep(rows: DataFrame, by: str, order: list[Column], columns: list[str], conflict) -> DataFrame:
-    """In each ``by`` group and in ``order``, keep an item that conflicts with no item kept before; returns all with ``kept``.
-
-    A fold over the places of the sorted items of one file, which are as few as
-    its faces; only places are remembered.
-    """
-    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *columns)
-    groups = rows.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("items"))
-    item = lambda i: F.get("items", i)
-
-    def step(kept: Column, i: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: conflict(item(k), item(i))), kept).otherwise(F.array_append(kept, i))
-
-    places = F.sequence(F.lit(0), F.size("items") - 1)
-    kept = groups.withColumn("places", F.aggregate(places, F.array().cast("array<int>"), step))
-    out = kept.select(by, F.explode(F.transform("items", lambda s, i: F.struct(*[s[c].alias(c) for c in columns], F.array_contains("places", i).alias("kept")))).alias("item"))
-    return out.select(by, "item.*")
-
-
-def _box(s: Column) -> dict[str, Column]:
-    return {k: s[k] for k in ("x1", "y1", "x2", "y2")}
-
-
-def spatial_nms(faces: DataFrame, limit: float = 0.45) -> DataFrame:
-    """Overlapping boxes of one frame: the better detection stays."""
-    rows = faces.withColumn("frame", F.concat_ws("#", "path_key", "frame_index"))
-    return greedy_keep(rows, "frame", [-F.col("det_score"), F.col("face_id")], ["face_id", "x1", "y1", "x2", "y2"], lambda k, x: geo.iou(_box(k), _box(x)) > limit)
-
-
-def temporal_nms(rows: DataFrame, limit: float = 0.88, by: str = "file") -> DataFrame:
-    """Similar faces of one file's frames: the better detection stays. Zero vectors are dropped."""
-    rows = rows.where(V.vec_norm(F.col("vector")) > 0)
-    return greedy_keep(rows, by, [-F.col("det_score"), F.col("id")], ["id", "vector"], lambda k, x: V.vec_dot(k["vector"], x["vector"]) / (V.vec_norm(k["vector"]) * V.vec_norm(x["vector"])) > limit).drop("vector")
-
-
-def stored_face_dedup(faces: DataFrame, vectors: DataFrame, iou_limit: float = 0.45, similarity_limit: float = 0.88) -> DataFrame:
-    """Stored faces to remove: those that overlap (photos) or resemble (videos) an earlier one of their file.
-
-    ``vectors``: ``face_id, vector``; a face without one is left alone.
-    """
-    rows = faces.join(vectors.select("face_id", "vector").where("vector is not null"), "face_id")
-    length = lambda x: V.vec_norm(x["vector"]) + 1e-6
-    photo = greedy_keep(rows.where(~T.is_video(F.col("path_key"))), "path_key", [F.col("face_id")], ["face_id", "x1", "y1", "x2", "y2"], lambda k, x: geo.iou(_box(k), _box(x)) > iou_limit)
-    video = greedy_keep(rows.where(T.is_video(F.col("path_key"))), "path_key", [F.col("face_id")], ["face_id", "vector"], lambda k, x: V.vec_dot(k["vector"], x["vector"]) / (length(k) * length(x)) > similarity_limit)
-    return photo.where("not kept").select("face_id").union(video.where("not kept").select("face_id"))
-
-
 def rerank_pairs(pairs: DataFrame, sets: DataFrame, limit: float = 0.95) -> DataFrame:
     """Pairs whose patch sets (``id, patches``) are similar beyond ``limit``."""
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("patches").alias("pa")), "a").join(sets.select(F.col("id").alias("b"), F.col("patches").alias("pb")), "b")
@@ -271,20 +226,29 @@ def drop_connected(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).drop("ca", "cb")
 
 
-def near_groups(media: DataFrame, similar: DataFrame) -> DataFrame:
+def near_groups(media: DataFrame, similar: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Groups of two or more: ``component, file_path, method, rank`` from equal hashes and accepted pairs (``src, dst``).
 
     ``method``: exact if all members have one hash, else by whether an accepted pair touches a video.
+    Where a component has over ``segment`` files, ranks come from ranges sorted
+    over all components and methods from partial aggregates, so that no task
+    sees a component whole; windows do the same for smaller ones.
     """
     edges = exact_edges(media).union(similar.select("src", "dst"))
     members = connected_components(edges).withColumnRenamed("id", "file_path")
     touched = similar.where(T.is_video(F.col("src")) | T.is_video(F.col("dst"))).select(F.col("src").alias("file_path")).distinct().withColumn("video", F.lit(1))
     rows = members.join(media, "file_path").join(touched, "file_path", "left")
-    w = Window.partitionBy("component")
-    one = (F.min("file_hash").over(w) == F.max("file_hash").over(w)) & (F.count("file_hash").over(w) == F.count("*").over(w))
-    method = F.when(one, "exact").when(F.max("video").over(w) == 1, "ai_local_video").otherwise("ai_local")
     best = [(F.col("has_exif_date") | F.col("has_location")).desc(), F.col("size").desc(), F.col("file_path")]
-    return rows.select("component", "file_path", "file_hash", method.alias("method"), F.row_number().over(w.orderBy(*best)).alias("rank"))
+    least, most, hashed, held, video = F.min("file_hash"), F.max("file_hash"), F.count("file_hash"), F.count("*"), F.max("video")
+    method = lambda one, video: F.when(one, "exact").when(video == 1, "ai_local_video").otherwise("ai_local")
+    out = lambda rows, method, rank: rows.select("component", "file_path", "file_hash", method.alias("method"), rank.alias("rank"))
+    if (members.groupBy("component").agg(held.alias("n")).agg(F.max("n")).first()[0] or 0) <= segment:
+        w = Window.partitionBy("component")
+        one = (least.over(w) == most.over(w)) & (hashed.over(w) == held.over(w))
+        return out(rows, method(one, video.over(w)), F.row_number().over(w.orderBy(*best)))
+    kinds = rows.groupBy("component").agg(method((least == most) & (hashed == held), video).alias("method"))
+    placed = ranked(rows.select("component", "file_path", "file_hash", "size", (F.col("has_exif_date") | F.col("has_location")).alias("good")), "component", F.col("good").desc(), F.col("size").desc(), "file_path")
+    return out(placed.join(kinds, "component"), F.col("method"), (F.col("n") + 1).cast("int"))
 
 
 def nearest_city(points: DataFrame, cities: DataFrame, most: int = MAX_STAGES) -> DataFrame:
