@@ -85,9 +85,9 @@ def merge_paths(c: Catalog, mapping: DataFrame) -> Catalog:
     return c.having(media=media.select(*c.media.columns), faces=faces, features=feats)
 
 
-def delete_media(c: Catalog, keys: list[str]) -> Catalog:
-    """Rows, their features and their faces."""
-    gone = _listed(c.media, [k.lower() for k in keys], "path_key")
+def delete_media(c: Catalog, keys: list[str] | DataFrame) -> Catalog:
+    """Rows, their features and their faces; of typed keys, or of a table of any size with ``path_key``."""
+    gone = keys.select("path_key").distinct() if isinstance(keys, DataFrame) else _listed(c.media, [k.lower() for k in keys], "path_key")
     feats = c.features.join(gone, F.lower("file_path") == gone["path_key"], "left_anti")
     return c.having(media=c.media.join(gone, "path_key", "left_anti").select(*c.media.columns), faces=c.faces.join(gone, "path_key", "left_anti").select(*c.faces.columns), features=feats)
 

@@ -9,16 +9,18 @@ from lumenframe.operators import media as M
 from lumenframe.operators import mutations as X
 from lumenframe.operators import sync as S
 from lumenframe.plans.reads import _LISTING, PERSON, ROOT, _listing
+from lumenframe.storage import new_path
+from lumenframe.versions import Store
 
 _FACES = "face_id", "cluster_id", "is_ignored"
 _IDS = [1001, 2001, 3001, 5002, 7001]
 _IN = ", ".join(map(str, _IDS))
 
 
-def _batch(c) -> DataFrame:
-    """Changes for every tenth file, hash left null, and new files."""
-    old = c.media.where("media_no % 10 = 3").selectExpr("upper(file_path) as file_path", "last_modified + 1 as last_modified", "cast(null as string) as file_hash", "'2001:01:01 00:00:00' as capture_date", "2001 as year", "1 as month", "0 as is_in_trash", "0 as is_corrupted")
-    new = c.media.where("media_no % 50 = 7").selectExpr("concat(file_path, '.new.jpg')", "1.0", "'h'", "cast(null as string)", "0", "0", "1", "0")
+def _batch(c, sparse: int = 1) -> DataFrame:
+    """Changes for every tenth file, hash left null, and new files; ``sparse``: fewer of both."""
+    old = c.media.where(f"media_no % {10 * sparse} = 3").selectExpr("upper(file_path) as file_path", "last_modified + 1 as last_modified", "cast(null as string) as file_hash", "'2001:01:01 00:00:00' as capture_date", "2001 as year", "1 as month", "0 as is_in_trash", "0 as is_corrupted")
+    new = c.media.where(f"media_no % {50 * sparse} = 7").selectExpr("concat(file_path, '.new.jpg')", "1.0", "'h'", "cast(null as string)", "0", "0", "1", "0")
     return old.union(new)
 
 
@@ -34,7 +36,25 @@ def _ranked(c) -> DataFrame:
     return M.survivor_rank(c.media.where("group_id is not null"))
 
 
+def _kept_in_versions(c, s) -> DataFrame:
+    """A few changes of files, published as a version that keeps the other files' buckets, and then a deletion of files with their faces."""
+    store = Store(s, new_path(s, "versions"))
+    store.create(c)
+    batch = _batch(c, 40)
+    store.change(lambda now: X.upsert_media(now, batch), batch)
+    gone = c.media.where("media_no % 400 = 5").select("file_path", "path_key")
+    store.change(lambda now: X.delete_media(now, gone.select("path_key")), gone)
+    now = store.load()
+    faces = now.faces.groupBy("path_key").agg(F.count("*").alias("faces"))
+    return now.media.join(faces, "path_key", "left").select("path_key", "last_modified", "file_hash", "year", F.coalesce("faces", F.lit(0)).alias("faces"))
+
+
 QUERIES = {
+    "versioned_changes": (
+        lambda c, s, d: _kept_in_versions(c, s),
+        """ SELECT m.*, coalesce(f.faces, 0) AS faces FROM (SELECT path_key, CASE WHEN u THEN last_modified + 1 ELSE last_modified END AS last_modified, file_hash, CASE WHEN u THEN 2001 ELSE year END AS year FROM (SELECT *, media_no % 400 = 3 AS u FROM media) WHERE media_no % 400 <> 5
+UNION ALL SELECT lower(concat(file_path, '.new.jpg')), 1.0, 'h', 0 FROM media WHERE media_no % 2000 = 7) m LEFT JOIN (SELECT path_key, count(*) AS faces FROM faces GROUP BY 1) f ON f.path_key = m.path_key""",
+    ),
     "upsert_media": (
         lambda c, s, d: _table(X.upsert_media(c, _batch(c)).media, "path_key", "last_modified", "file_hash", "capture_date", "year", "is_in_trash", "group_id"),
         """ SELECT path_key, CASE WHEN u THEN last_modified + 1 ELSE last_modified END AS last_modified, file_hash, CASE WHEN u THEN '2001:01:01 00:00:00' ELSE capture_date END AS capture_date, CASE WHEN u THEN 2001 ELSE year END AS year, CASE WHEN u THEN 0 ELSE is_in_trash END AS is_in_trash, group_id FROM (SELECT *, media_no % 10 = 3 AS u FROM media)

@@ -10,6 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe import jobs
+
 SETTING = "spark.checkpoint.dir"
 ROWS_PER_FILE = 250_000
 
@@ -46,6 +48,7 @@ def cut_lineage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if the caller knows about how many there are, keeps small tables in few
     files: one for each ROWS_PER_FILE.
     """
+    jobs.check()
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))

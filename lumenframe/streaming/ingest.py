@@ -7,13 +7,18 @@ batch, so a batch that is run again after a failure writes the same version.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenframe.catalog import Catalog
+from lumenframe.functions import text as T
 from lumenframe.operators.mutations import upsert_media
-from lumenframe.operators.sync import new_media_records
+from lumenframe.operators.sync import cache_valid, new_media_records
+from lumenframe.storage import cut_lineage, drop
+from lumenframe.versions import Store
 
 LISTING = "file_path string, last_modified double"
 
@@ -34,6 +39,41 @@ def ingest_listings(spark: SparkSession, listings: str, root: str, checkpoint: s
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
 
+def stale_files(c: Catalog, listing: DataFrame, thumbnails: DataFrame, force: bool = False) -> DataFrame:
+    """``file_path, last_modified`` of listed files whose record is missing, of another time, or without hash or thumbnail."""
+    keyed = listing.groupBy(T.normalize_path(F.col("file_path")).alias("path_key"))
+    last = keyed.agg(F.max(F.struct("last_modified", "file_path")).alias("f")).select("path_key", "f.*")
+    work = cache_valid(last, c, thumbnails, force).where("not valid").select("path_key")
+    return last.join(work, "path_key", "left_semi").select("file_path", "last_modified")
+
+
+def analyse_listings(
+    store: Store, listings: str, checkpoint: str, thumbnails: DataFrame, analyse: Callable[[DataFrame], DataFrame] = new_media_records, files_per_batch: int = 100, force: bool = False
+) -> StreamingQuery:
+    """Analyse the listed files that changed since their last analysis, and publish a version for each batch.
+
+    ``analyse`` makes media records of ``file_path, last_modified``; files that
+    are still valid never reach it.  A version notes its batch, so one that is
+    run again after a failure is published once; ``stop`` on the query leaves
+    the last version as it is.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if store.manifest()["notes"].get(checkpoint, -1) >= number:
+            return
+        batch = cut_lineage(batch, "listed-files")
+
+        def change(c: Catalog) -> Catalog:
+            work = cut_lineage(stale_files(c, batch, thumbnails, force), "stale-files")
+            return c if work.isEmpty() else upsert_media(c, analyse(work))
+
+        store.change(change, batch.select("file_path"), {checkpoint: number})
+        drop(batch)
+
+    stream = store.spark.readStream.schema(LISTING).option("maxFilesPerTrigger", files_per_batch).json(listings)
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+
+
 def events_per_window(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of ``ts, event_type`` per tumbling window; later events than the watermark allows are left out in a stream."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
