@@ -13,6 +13,7 @@ from lumenframe.operators.sync import resolve_location
 from lumenframe.sources.fixtures import face_vectors
 
 EPS = 0.60
+_FOLDER, _FACE_EPS = "/lib/p1/c_7", 0.55
 _UNIT = "list_transform(vector, lambda x : CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda y : CAST(y AS DOUBLE) * y))))"
 _PAIRS = f"""u AS MATERIALIZED (SELECT vec_id AS id, label AS owner, {_UNIT} AS v FROM features),
 pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, 1 - list_dot_product(a.v, b.v) AS distance FROM u a JOIN u b ON a.id < b.id WHERE 1 - list_dot_product(a.v, b.v) <= {EPS})"""
@@ -73,15 +74,15 @@ def _nearest_sql(rows: str, stages: str, floor: float) -> str:
     return f"SELECT id, stage, distance FROM (SELECT r.id, s.stage, s.radius, list_distance(r.v, s.center) AS distance FROM {rows} r, {stages} s QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY list_distance(r.v, s.center), s.stage) = 1) WHERE distance <= greatest(radius, {floor})"
 
 
-def _greedy_sql(src: str, order: str, conflict: str) -> str:
-    """CTEs up to ``kept(grp, id, kept)``: the first of ``src(grp, id, ...)`` stay, others unless they conflict with one that stays."""
-    return f"""it AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {order}) AS pos FROM {src}),
-rivals AS MATERIALIZED (SELECT b.grp, b.pos, list(a.pos) AS r FROM it a JOIN it b ON a.grp = b.grp AND a.pos < b.pos WHERE {conflict} GROUP BY 1, 2),
-turn AS MATERIALIZED (SELECT it.grp, it.pos, it.id, coalesce(r.r, []) AS r FROM it LEFT JOIN rivals r ON it.grp = r.grp AND it.pos = r.pos),
-fold AS (SELECT grp, CAST(1 AS BIGINT) AS pos, [CAST(1 AS BIGINT)] AS held FROM turn WHERE pos = 1
-  UNION ALL SELECT f.grp, t.pos, CASE WHEN list_has_any(f.held, t.r) THEN f.held ELSE list_append(f.held, t.pos) END FROM fold f JOIN turn t ON t.grp = f.grp AND t.pos = f.pos + 1),
-ends AS MATERIALIZED (SELECT grp, arg_max(held, pos) AS held FROM fold GROUP BY 1),
-kept AS MATERIALIZED (SELECT t.grp, t.id, list_contains(e.held, t.pos) AS kept FROM turn t JOIN ends e ON t.grp = e.grp)"""
+def _greedy_sql(src: str, order: str, conflict: str, p: str = "") -> str:
+    """CTEs up to ``{p}kept(grp, id, kept)``: the first of ``src(grp, id, ...)`` stay, others unless they conflict with one that stays."""
+    return f"""{p}it AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {order}) AS pos FROM {src}),
+{p}rivals AS MATERIALIZED (SELECT b.grp, b.pos, list(a.pos) AS r FROM {p}it a JOIN {p}it b ON a.grp = b.grp AND a.pos < b.pos WHERE {conflict} GROUP BY 1, 2),
+{p}turn AS MATERIALIZED (SELECT i.grp, i.pos, i.id, coalesce(r.r, []) AS r FROM {p}it i LEFT JOIN {p}rivals r ON i.grp = r.grp AND i.pos = r.pos),
+{p}fold AS (SELECT grp, CAST(1 AS BIGINT) AS pos, [CAST(1 AS BIGINT)] AS held FROM {p}turn WHERE pos = 1
+  UNION ALL SELECT f.grp, t.pos, CASE WHEN list_has_any(f.held, t.r) THEN f.held ELSE list_append(f.held, t.pos) END FROM {p}fold f JOIN {p}turn t ON t.grp = f.grp AND t.pos = f.pos + 1),
+{p}ends AS MATERIALIZED (SELECT grp, arg_max(held, pos) AS held FROM {p}fold GROUP BY 1),
+{p}kept AS MATERIALIZED (SELECT t.grp, t.id, list_contains(e.held, t.pos) AS kept FROM {p}turn t JOIN {p}ends e ON t.grp = e.grp)"""
 
 
 _W = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1))"
@@ -328,10 +329,22 @@ SELECT l.c AS owner, l.id FROM lab l JOIN u ON l.id = u.id JOIN kcen e ON e.c =
         lambda c, s, d: V.detected_faces(_detections(c, c.faces)).select("id"),
         f""", {_FACE_VECTORS}, src AS (SELECT concat(path_key, '#', frame_index) AS grp, face_id AS id, path_key, x1, y1, x2, y2, det_score FROM faces), {_greedy_sql("src", "det_score DESC, id", _OVERLAP)},
 src2 AS MATERIALIZED (SELECT s.path_key AS grp, s.id, s.det_score, v.v FROM src s JOIN kept k ON s.id = k.id JOIN fv v ON v.id = s.id WHERE k.kept),
-{_greedy_sql("src2", "det_score DESC, id", "list_dot_product(a.v, b.v) > 0.88").replace("it AS", "it2 AS").replace(" it", " it2").replace("it.", "it2.").replace("rivals", "rivals2").replace("turn", "turn2").replace("fold", "fold2").replace("ends", "ends2").replace("kept AS MAT", "kept2 AS MAT")}
-SELECT id FROM kept2 WHERE kept""",
+{_greedy_sql("src2", "det_score DESC, id", "list_dot_product(a.v, b.v) > 0.88", "b")}
+SELECT id FROM bkept WHERE kept""",
+    ),
+    "face_pipeline": (
+        lambda c, s, d: _pipeline(c),
+        f""", {_FACE_VECTORS},
+fx AS MATERIALIZED (SELECT f.*, f.face_id AS id, v.v, {_VIDEO} AS video, starts_with(f.path_key, '{_FOLDER}/') AS inside, starts_with(f.path_key, '{_FOLDER}/') AND f.face_id % 2 = 0 AS fresh FROM faces f JOIN fv v ON v.id = f.face_id),
+src AS MATERIALIZED (SELECT concat(path_key, '#', frame_index) AS grp, * FROM fx WHERE fresh), {_greedy_sql("src", "det_score DESC, id", _OVERLAP, "a")},
+src2 AS MATERIALIZED (SELECT path_key AS grp, s.* EXCLUDE (grp) FROM src s WHERE id IN (SELECT id FROM akept WHERE kept)), {_greedy_sql("src2", "det_score DESC, id", "list_dot_product(a.v, b.v) > 0.88", "b")},
+mix AS MATERIALIZED (SELECT id, path_key, frame_index, x1, y1, x2, y2, v, video, cluster_id, is_ignored, inside FROM fx WHERE NOT fresh
+  UNION ALL SELECT (SELECT max(id) FROM fx WHERE NOT fresh) + row_number() OVER (ORDER BY file_path, frame_index, x1, y1, x2, y2), path_key, frame_index, x1, y1, x2, y2, v, video, -1, 0, true FROM src2 WHERE id IN (SELECT id FROM bkept WHERE kept)),
+hit AS MATERIALIZED (SELECT DISTINCT a.id FROM mix a JOIN mix i ON i.is_ignored = 1 AND a.inside AND coalesce(a.is_ignored, 0) = 0 WHERE 1 - list_dot_product(a.v, i.v) < {_FACE_EPS}),
+own AS MATERIALIZED (SELECT id, 0 AS grp, v FROM mix WHERE inside AND coalesce(is_ignored, 0) = 0 AND id NOT IN (SELECT id FROM hit)), {_density("k", "own", _FACE_EPS, 2)}, {_numbers("k")},
+src3 AS MATERIALIZED (SELECT path_key AS grp, * FROM mix WHERE inside), {_greedy_sql("src3", "id", f"CASE WHEN a.video THEN list_dot_product(a.v, b.v) > 0.88 ELSE {_OVERLAP} END", "c")}
+SELECT m.path_key, m.frame_index, m.x1, m.y1, coalesce(n.label, m.cluster_id) AS cluster_id FROM mix m JOIN ckept t ON t.id = m.id AND t.kept LEFT JOIN klab l ON l.id = m.id LEFT JOIN knum n ON n.c = l.c""",
     ),
-    "face_pipeline": (lambda c, s, d: _pipeline(c), None),
     "regroup": (
         lambda c, s, d: _regroup(c),
         f""", {_near_groups_sql()}, stored AS (SELECT *, CASE WHEN id % 6 = 0 THEN 'old_ai' WHEN id % 6 = 1 THEN 'old_exact' END AS old FROM vm),
@@ -368,11 +381,10 @@ def _detections(c, faces: DataFrame) -> DataFrame:
 
 def _pipeline(c) -> DataFrame:
     """Even faces of a folder are detected anew, odd ones are stored already."""
-    folder = "/lib/p1/c_7"
-    fresh = F.startswith("path_key", F.lit(f"{folder}/")) & (F.col("face_id") % 2 == 0)
+    fresh = F.startswith("path_key", F.lit(f"{_FOLDER}/")) & (F.col("face_id") % 2 == 0)
     stored = c.having(faces=c.faces.where(~fresh))
-    after, vectors = flows.face_pipeline(stored, face_vectors(c).join(stored.faces.select("face_id"), "face_id", "left_semi"), _detections(c, c.faces.where(fresh)), folder, 0.55)
-    return after.faces.where(F.startswith("path_key", F.lit(f"{folder}/"))).join(vectors.select("face_id"), "face_id", "left").select("path_key", "frame_index", "x1", "y1", "cluster_id")
+    after, vectors = flows.face_pipeline(stored, face_vectors(c).join(stored.faces.select("face_id"), "face_id", "left_semi"), _detections(c, c.faces.where(fresh)), _FOLDER, _FACE_EPS)
+    return after.faces.where(F.startswith("path_key", F.lit(f"{_FOLDER}/"))).join(vectors.select("face_id"), "face_id", "left").select("path_key", "frame_index", "x1", "y1", "cluster_id")
 
 
 def _regroup(c) -> DataFrame:
