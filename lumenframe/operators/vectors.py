@@ -226,17 +226,20 @@ def drop_connected(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).drop("ca", "cb")
 
 
-def near_groups(media: DataFrame, similar: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def near_groups(media: DataFrame, similar: DataFrame, segment: int = SEGMENT, touched: DataFrame | None = None) -> DataFrame:
     """Groups of two or more: ``component, file_path, method, rank`` from equal hashes and accepted pairs (``src, dst``).
 
-    ``method``: exact if all members have one hash, else by whether an accepted pair touches a video.
+    ``method``: exact if all members have one hash, else by whether an accepted pair touches a video;
+    ``touched`` (``file_path``) tells of which files one did, where ``similar`` isn't all pairs.
     Where a component has over ``segment`` files, ranks come from ranges sorted
     over all components and methods from partial aggregates, so that no task
     sees a component whole; windows do the same for smaller ones.
     """
     edges = exact_edges(media).union(similar.select("src", "dst"))
     members = connected_components(edges).withColumnRenamed("id", "file_path")
-    touched = similar.where(T.is_video(F.col("src")) | T.is_video(F.col("dst"))).select(F.col("src").alias("file_path")).distinct().withColumn("video", F.lit(1))
+    if touched is None:
+        touched = similar.where(T.is_video(F.col("src")) | T.is_video(F.col("dst"))).select(F.col("src").alias("file_path"))
+    touched = touched.select("file_path").distinct().withColumn("video", F.lit(1))
     rows = members.join(media, "file_path").join(touched, "file_path", "left")
     best = [(F.col("has_exif_date") | F.col("has_location")).desc(), F.col("size").desc(), F.col("file_path")]
     least, most, hashed, held, video = F.min("file_hash"), F.max("file_hash"), F.count("file_hash"), F.count("*"), F.max("video")
@@ -289,23 +292,29 @@ def nearest_city(points: DataFrame, cities: DataFrame, most: int = MAX_STAGES) -
     return out
 
 
-def media_groups(media: DataFrame, vectors: DataFrame, radius: float = 0.6, rerank: float | None = None) -> DataFrame:
-    """Exact groups, then pairs in range that hashes don't join yet, re-ranked by patches if asked for, then groups of both.
+def accepted_links(pairs: DataFrame, media: DataFrame, vectors: DataFrame, radius: float, rerank: float | None = None) -> DataFrame:
+    """``src, dst`` of pairs (``a, b, distance``) that hold: videos by the tighter radius, no equal hashes, patches alike if asked for.
 
     ``vectors``: ``id, file_path, vector``.
     """
-    if media.limit(2).count() < 2:
-        return near_groups(media, media.select(F.col("file_path").alias("src"), F.col("file_path").alias("dst")).limit(0))
-    joined = connected_components(exact_edges(media)).withColumnRenamed("component", "part")
     ids = vectors.select("id", "file_path")
-    part = ids.join(joined.withColumnRenamed("id", "file_path"), "file_path").select("id", F.col("part").alias("component"))
-    pairs = video_pairs(range_pairs(vectors, radius), ids.where(T.is_video(F.col("file_path"))), radius)
-    pairs = drop_connected(pairs, part)
+    hashes = media.where("coalesce(file_hash, '') <> ''").select("file_path", F.col("file_hash").alias("component"))
+    pairs = video_pairs(pairs, ids.where(T.is_video(F.col("file_path"))), radius)
+    pairs = drop_connected(pairs, ids.join(hashes, "file_path").select("id", "component"))
     if rerank is not None:
         pairs = rerank_pairs(pairs, vectors.select("id", V.patches(F.col("vector")).alias("patches")), rerank)
     name = lambda side, out: ids.select(F.col("id").alias(side), F.col("file_path").alias(out))
-    similar = pairs.join(name("a", "src"), "a").join(name("b", "dst"), "b").select("src", "dst")
-    return near_groups(media, cut_lineage(similar, "similar"))
+    return pairs.join(name("a", "src"), "a").join(name("b", "dst"), "b").select("src", "dst")
+
+
+def media_groups(media: DataFrame, vectors: DataFrame, radius: float = 0.6, rerank: float | None = None) -> DataFrame:
+    """Groups of equal hashes and of pairs in range that hashes don't join yet, re-ranked by patches if asked for.
+
+    ``vectors``: ``id, file_path, vector``.
+    """
+    if media.limit(2).count() < 2:
+        return near_groups(media, media.select(F.col("file_path").alias("src"), F.col("file_path").alias("dst")).limit(0))
+    return near_groups(media, cut_lineage(accepted_links(range_pairs(vectors, radius), media, vectors, radius, rerank), "similar"))
 
 
 def search_or_compute(stored: DataFrame, compute) -> DataFrame:

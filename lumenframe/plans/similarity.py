@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as VF
 from lumenframe.operators import flows
+from lumenframe.operators import increments as I
 from lumenframe.operators import vectors as V
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.sync import resolve_location
@@ -325,6 +326,10 @@ SELECT l.c AS owner, l.id FROM lab l JOIN u ON l.id = u.id JOIN kcen e ON e.c =
         lambda c, s, d: V.media_groups(_vector_media(c), _path(c, _rows(c)), 2 * EPS, 0.35).select("component", "file_path", "method"),
         f", {_near_groups_sql(0.35)} SELECT component, file_path, method FROM ng",
     ),
+    "groups_in_batches": (
+        lambda c, s, d: _in_batches(c).select("component", "file_path", "method", "rank"),
+        f", {_near_groups_sql()} SELECT component, file_path, method, rank FROM ng",
+    ),
     "detected_faces": (
         lambda c, s, d: V.detected_faces(_detections(c, c.faces)).select("id"),
         f""", {_FACE_VECTORS}, src AS (SELECT concat(path_key, '#', frame_index) AS grp, face_id AS id, path_key, x1, y1, x2, y2, det_score FROM faces), {_greedy_sql("src", "det_score DESC, id", _OVERLAP)},
@@ -354,6 +359,19 @@ SELECT s.file_path, coalesce(n.group_id, CASE WHEN s.old = 'old_exact' THEN s.ol
 }
 
 
+def _in_batches(c) -> DataFrame:
+    """Three batches of vectors come one after the other; a fourth comes and goes again."""
+    media, rows = _vector_media(c), _path(c, _rows(c)).select("id", "file_path", "vector")
+    kept, old = I.nothing_kept(rows.sparkSession), rows.limit(0)
+    for k in (0, 1, 2):
+        new = rows.where(F.col("id") % 3 == k)
+        kept, old = I.add_files(kept, media, old, new, 2 * EPS), old.union(new)
+    extra = rows.where("id % 5 = 1").select((F.col("id") + 10_000_000_000).alias("id"), F.concat(F.lit("extra/"), "file_path").alias("file_path"), "vector")
+    kept = I.add_files(kept, media, old, extra, 2 * EPS)
+    kept = I.remove_files(kept, media, old.union(extra), extra.select("file_path"), 2 * EPS)
+    return I.kept_groups(media, kept)
+
+
 def _drift(s, d) -> DataFrame:
     """Found groups none of whose members is stored as grouped."""
     docs = _docs(s, d)
