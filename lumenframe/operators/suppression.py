@@ -174,34 +174,42 @@ def _in_rounds(rows: DataFrame, by: str, order: list[Column], item: str, conflic
     return out
 
 
-def greedy_keep(rows: DataFrame, by: str, order: list[Column], item: str, conflict: Conflict, few: int = FEW, head: int = HEAD) -> DataFrame:
-    """``by, item, kept`` for all items; null is a group of its own."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("__size")).where(F.col("__size") > few).select(by)
-    large = cut_lineage(sizes, "suppression-large")
+def large_groups(rows: DataFrame, by: str, few: int = FEW) -> DataFrame | None:
+    """``by`` of groups of over ``few`` rows, if there are any."""
+    large = cut_lineage(rows.groupBy(by).agg(F.count("*").alias("__size")).where(F.col("__size") > few).select(by), "suppression-large")
     if large.isEmpty():
         drop(large)
+        return None
+    return large
+
+
+def greedy_keep(rows: DataFrame, by: str, order: list[Column], item: str, conflict: Conflict, large: DataFrame | None, head: int = HEAD) -> DataFrame:
+    """``by, item, kept`` for all items; null is a group of its own. ``large`` groups go in rounds."""
+    if large is None:
         return _folded(rows, by, order, item, conflict)
     return _folded(_beside(rows, large, by, "left_anti"), by, order, item, conflict).union(_in_rounds(_beside(rows, large, by, "left_semi"), by, order, item, conflict, head))
 
 
-def spatial_nms(faces: DataFrame, limit: float = 0.45, **sizes: int) -> DataFrame:
+def spatial_nms(faces: DataFrame, limit: float = 0.45, few: int = FEW, head: int = HEAD) -> DataFrame:
     """Overlapping boxes of one frame: the better detection stays. ``frame, face_id, kept``."""
     rows = faces.withColumn("frame", F.concat_ws("#", "path_key", "frame_index"))
-    return greedy_keep(rows, "frame", [-F.col("det_score"), F.col("face_id")], "face_id", overlap(limit), **sizes)
+    return greedy_keep(rows, "frame", [-F.col("det_score"), F.col("face_id")], "face_id", overlap(limit), large_groups(rows, "frame", few), head)
 
 
-def temporal_nms(rows: DataFrame, limit: float = 0.88, by: str = "file", **sizes: int) -> DataFrame:
+def temporal_nms(rows: DataFrame, limit: float = 0.88, by: str = "file", few: int = FEW, head: int = HEAD) -> DataFrame:
     """Similar faces of one file's frames: the better detection stays. Zero vectors are dropped. ``by, id, kept``."""
+    large = large_groups(rows, by, few)
     rows = rows.where(V.vec_norm(F.col("vector")) > 0)
-    return greedy_keep(rows, by, [-F.col("det_score"), F.col("id")], "id", alike(limit), **sizes)
+    return greedy_keep(rows, by, [-F.col("det_score"), F.col("id")], "id", alike(limit), large, head)
 
 
-def stored_face_dedup(faces: DataFrame, vectors: DataFrame, iou_limit: float = 0.45, similarity_limit: float = 0.88, **sizes: int) -> DataFrame:
+def stored_face_dedup(faces: DataFrame, vectors: DataFrame, iou_limit: float = 0.45, similarity_limit: float = 0.88, few: int = FEW, head: int = HEAD) -> DataFrame:
     """Stored faces to remove: those that overlap (photos) or resemble (videos) an earlier one of their file.
 
     ``vectors``: ``face_id, vector``; a face without one is left alone.
     """
+    large = large_groups(faces, "path_key", few)
     rows = faces.join(vectors.select("face_id", "vector").where("vector is not null"), "face_id")
-    photo = greedy_keep(rows.where(~T.is_video(F.col("path_key"))), "path_key", [F.col("face_id")], "face_id", overlap(iou_limit), **sizes)
-    video = greedy_keep(rows.where(T.is_video(F.col("path_key"))), "path_key", [F.col("face_id")], "face_id", alike(similarity_limit, 1e-6), **sizes)
+    photo = greedy_keep(rows.where(~T.is_video(F.col("path_key"))), "path_key", [F.col("face_id")], "face_id", overlap(iou_limit), large, head)
+    video = greedy_keep(rows.where(T.is_video(F.col("path_key"))), "path_key", [F.col("face_id")], "face_id", alike(similarity_limit, 1e-6), large, head)
     return photo.where("not kept").select("face_id").union(video.where("not kept").select("face_id"))

@@ -39,7 +39,7 @@ def test_boxes_in_rounds(spark, few, head):
         box = (x, y, x + float(rng.integers(0, 12)), y + 10.0) if i % 41 else (None, y, x, y)
         rows.append((i, f"/{'big' if i % 4 else i % 28}.jpg" if i % 97 else None, 0, *box, float(rng.integers(0, 5)) / 4 if i % 53 else None))
     faces = spark.createDataFrame(rows, "face_id long, path_key string, frame_index int, x1 double, y1 double, x2 double, y2 double, det_score double")
-    by_path = S.greedy_keep(faces, "path_key", [-F.col("det_score"), F.col("face_id")], "face_id", S.overlap(0.45), few, head)
+    by_path = S.greedy_keep(faces, "path_key", [-F.col("det_score"), F.col("face_id")], "face_id", S.overlap(0.45), S.large_groups(faces, "path_key", few), head)
     got = {r.face_id: r.kept for r in by_path.collect()}
     order = lambda r: (r[7] is not None, -(r[7] or 0), r[0])
     want = greedy([(r[1], order(r), r[0], r[3:7]) for r in rows], lambda a, b: box_iou(a, b) > 0.45)
