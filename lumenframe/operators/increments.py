@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions import text as T
-from lumenframe.operators.blocks import cross_pairs, range_pairs
 from lumenframe.operators.components import connected_components
 from lumenframe.operators.vectors import accepted_links, near_groups
 from lumenframe.storage import cut_lineage
@@ -27,16 +25,15 @@ def nothing_kept(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], KEPT)
 
 
-def _linked(kept: DataFrame, links: DataFrame) -> DataFrame:
-    """``kept`` after ``links`` (``src, dst``)."""
-    links = cut_lineage(links.select("src", "dst"), "new-links")
+def _linked(kept: DataFrame, links: DataFrame, touched: DataFrame) -> DataFrame:
+    """``kept`` after ``links`` (``src, dst``) and files ``touched`` by a link with a video."""
     named = lambda side: kept.select(F.col("file_path").alias(side), F.col("component").alias(f"c{side}"))
     ends = links.join(named("src"), "src", "left").join(named("dst"), "dst", "left")
     merged = connected_components(ends.select(F.coalesce("csrc", "src").alias("src"), F.coalesce("cdst", "dst").alias("dst")))
     merged = cut_lineage(merged.select(F.col("id").alias("component"), F.col("component").alias("now")), "joined-names")
 
-    video = T.is_video(F.col("src")) | T.is_video(F.col("dst"))
-    files = links.select(F.explode(F.array("src", "dst")).alias("file_path"), video.alias("touched")).groupBy("file_path").agg(F.max("touched").alias("touched"))
+    ends = links.select(F.explode(F.array("src", "dst")).alias("file_path")).distinct()
+    files = ends.join(touched.select("file_path", F.lit(True).alias("touched")).distinct(), "file_path", "full")
     rows = kept.join(files, "file_path", "full").withColumn("component", F.coalesce("component", "file_path"))
     rows = rows.join(merged, "component", "left")
     seen = F.coalesce("video", F.lit(False)) | F.coalesce("touched", F.lit(False))
@@ -46,8 +43,8 @@ def _linked(kept: DataFrame, links: DataFrame) -> DataFrame:
 def add_files(kept: DataFrame, media: DataFrame, old: DataFrame, new: DataFrame, radius: float = 0.6, rerank: float | None = None) -> DataFrame:
     """``kept`` after ``new`` came beside ``old`` (both ``id, file_path, vector``, no id in both); ``media`` holds the files of both."""
     old, new = old.select("id", "file_path", "vector"), new.select("id", "file_path", "vector")
-    pairs = range_pairs(new, radius).union(cross_pairs(new, old, radius))
-    return _linked(kept, accepted_links(pairs, media, old.union(new), radius, rerank))
+    (inner, video), (outer, more) = accepted_links(media, new, radius, rerank), accepted_links(media, new, radius, rerank, old)
+    return _linked(kept, inner.union(outer), video.union(more))
 
 
 def remove_files(kept: DataFrame, media: DataFrame, vectors: DataFrame, gone: DataFrame, radius: float = 0.6, rerank: float | None = None) -> DataFrame:
@@ -55,7 +52,7 @@ def remove_files(kept: DataFrame, media: DataFrame, vectors: DataFrame, gone: Da
     hit = cut_lineage(kept.join(gone, "file_path", "left_semi").select("component").distinct(), "broken-groups")
     again = kept.join(hit, "component", "left_semi").join(gone, "file_path", "left_anti").select("file_path")
     rows = cut_lineage(vectors.select("id", "file_path", "vector").join(again, "file_path", "left_semi"), "broken-files")
-    return _linked(kept.join(hit, "component", "left_anti").select("file_path", "component", "video"), accepted_links(range_pairs(rows, radius), media, rows, radius, rerank))
+    return _linked(kept.join(hit, "component", "left_anti").select("file_path", "component", "video"), *accepted_links(media, rows, radius, rerank))
 
 
 def kept_groups(media: DataFrame, kept: DataFrame) -> DataFrame:
