@@ -19,7 +19,7 @@ from lumenframe.llm._tokenizer import load
 from lumenframe.llm.decontaminate import contained_items, decontaminate
 from lumenframe.llm.ngram_join import keep_one, ngram_jaccard_join
 from lumenframe.llm.packed_tokens import Shard, bits_for, pack, read_tokens, shard_bytes, token_file_digest, unpack, write_tokens
-from lumenframe.llm.page_text import main_text, page_lines, shared_lines
+from lumenframe.llm.page_text import deleted_lines, main_text, page_lines, shared_lines
 from lumenframe.llm.pii import find_pii
 from lumenframe.llm.quality_classifier import classify
 from lumenframe.llm.quality_rules import apply_quality_rules, quality_rules
@@ -504,6 +504,26 @@ def test_copies_keep_their_text(spark):
     assert {r.text for r in main_text(pages).collect()} == {"one text of some words\nand a second line of it"}
 
 
+def test_pages_with_articles_are_paired_with_their_neighbours(spark):
+    """Differencing judges every page; the check by regions brings article lines back and takes furniture out."""
+    rng = random.Random(31)
+    own = [[f"{sentence(rng, 9)} {i} {k}" for k in range(4)] for i in range(40)]
+    page = lambda i: "<nav>Menu</nav><p>Site<article>" + "".join(f"<p>{x}" for x in [*own[i], "Same line"]) + f"</article><p>beside {i}<footer>by {i}</footer>"
+    pages = spark.createDataFrame([(i, f"http://h/{i:02}", page(i)) for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in main_text(pages.repartition(5), max_broadcast=0).collect()}
+    assert all(got[i].text == "\n".join([*own[i], "Same line"]) for i in range(40))
+    assert all((r.n_shared, r.n_restored) == (3, 1) for r in got.values())
+    copies = spark.createDataFrame([(i, f"http://h/{i:02}", page(0)) for i in range(3)], "page_id long, url string, html string")
+    assert {(r.n_shared, r.n_restored) for r in main_text(copies).collect()} == {(0, 0)}
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 100])
+def test_neighbours_across_runs(spark, size):
+    lines = [(i, 0, "h", f"/{i}", [1, 10 + i], [1, 3]) for i in range(9)]
+    rows = spark.createDataFrame(lines, "page_id long, digest long, host string, path string, keys array<long>, words array<int>")
+    assert {(r.page_id, *r.gone) for r in deleted_lines(rows, size).collect()} == {(i, 0) for i in range(9)}
+
+
 def test_marks_of_whole_pages_and_articles():
     lines = page_lines('<body class="with-sidebar"><article class="has-comments"><h1 class="article-header">T</h1><p data-id="ad">x</p><div class="share">s</div></article></body>')
     assert [(t, r) for t, r in lines] == [("T", 0), ("x", 0), ("s", 1)]
