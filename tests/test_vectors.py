@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -270,3 +271,25 @@ def test_chamfer_of_blocks(spark, limit):
                 want[i, j] = round(x, 9)
     got = {(r.a, r.b): round(r.similarity, 9) for r in B.chamfer_pairs(df, limit, block_rows=5).collect()}
     assert got == want and len(want) > 50
+
+
+def test_patch_sets_go_to_few_blocks(spark, monkeypatch):
+    seen, met = [], B.met
+    monkeypatch.setattr(B, "met", lambda rows: seen.append(rows) or met(rows))
+    sets = spark.range(5000).select("id", F.expr("array(array(1D, cast(id as double)))").alias("patches"))
+    B.chamfer_pairs(sets)
+    assert seen[0].count() == 5000 and seen[0].select(F.max(F.size("others"))).first()[0] <= B.LEAST_BLOCKS
+
+
+def test_patch_sets_are_compared_by_tiles():
+    rng = np.random.default_rng(17)
+    sizes = [*rng.integers(1, 9, 700), B.TILE + 5]
+    sets = [rng.normal(size=(k, 3)) for k in sizes]
+    rows = pa.table({"id": np.arange(len(sets)), "block": np.zeros(len(sets), dtype=np.int64), "patches": pa.array([s.tolist() for s in sets], pa.list_(pa.list_(pa.float64())))})
+    out = list(B._chamfer_pass(None)((pa.scalar(0), pa.scalar(0)), iter(rows.to_batches())))
+    assert len(out) > 6 and max(b.num_rows for b in out) <= B.TILE**2 / 4
+    got = {(r["a"], r["b"]): r["similarity"] for b in out for r in b.to_pylist()}
+    assert len(got) == sum(b.num_rows for b in out) == len(sets) * (len(sets) - 1) // 2
+    for i, j in [(0, 1), (5, 600), (3, 700), (699, 700)]:
+        each = sets[i] @ sets[j].T
+        assert got[i, j] == pytest.approx((each.max(axis=1).mean() + each.max(axis=0).mean()) / 2)
