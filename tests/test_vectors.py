@@ -293,3 +293,30 @@ def test_patch_sets_are_compared_by_tiles():
     for i, j in [(0, 1), (5, 600), (3, 700), (699, 700)]:
         each = sets[i] @ sets[j].T
         assert got[i, j] == pytest.approx((each.max(axis=1).mean() + each.max(axis=0).mean()) / 2)
+
+
+@pytest.mark.parametrize("eps", [0.3, 0.6, 1.0])
+def test_near_singles_are_exact_at_the_limit(eps):
+    """Rows that single precision can't tell from the limit are on the side where double precision puts them."""
+    rng = np.random.default_rng(23)
+    a = rng.normal(size=(400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=(400, 64))
+    side -= np.einsum("ij,ij->i", side, a)[:, None] * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = 1 - eps + rng.choice([-1e-9, 1e-9, 0.01, -0.01], 400)
+    b = c[:, None] * a + np.sqrt(1 - c**2)[:, None] * side
+    got = {(x, y) for xs, ys in D.near_singles(a, b, eps) for x, y in zip(xs.tolist(), ys.tolist())}
+    want = {(int(x), int(y)) for x, y in zip(*np.nonzero(1 - a @ b.T <= eps))}
+    assert got == want and {i for i in range(400) if (i, i) in got} == set(np.flatnonzero(c >= 1 - eps).tolist())
+
+
+@pytest.mark.parametrize("min_samples", [1, 3])
+def test_single_rows_beside_knots(spark, min_samples):
+    rng = np.random.default_rng(29)
+    x = np.concatenate([rng.normal(size=(60, 8)), np.repeat(rng.normal(size=(6, 8)), 10, axis=0) + 0.05 * rng.normal(size=(60, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = {r.id: r.label for r in V.dbscan(df.hint("rebalance"), 0.25, min_samples).collect()}
+    small = {r.id: r.label for r in D.density_labels(df, 0.25, min_samples, block_rows=16).collect()}
+    assert [got[i] for i in range(120)] == list(sequential_dbscan(x, 0.25, min_samples))
+    assert len(set(small.values())) == len(set(got.values())) and all((small[i] == small[j]) == (got[i] == got[j]) for i in range(120) for j in range(i) if small[i] is not None and small[j] is not None)
