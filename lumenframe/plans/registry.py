@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenframe.catalog import Catalog
 from lumenframe.plans import changes, reads, scalars, similarity
 from lumenframe.sources.fixtures import SQL, catalog
-from lumenframe.storage import new_path
+from lumenframe.storage import new_path, shuffles_dropped
 
 _PARTS = (reads, scalars, changes, similarity)
 _ingested: dict[tuple[str, str], Catalog] = {}
@@ -23,7 +23,8 @@ def ingested(spark: SparkSession, sf_dir: str) -> Catalog:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ingested:
         folder = new_path(spark, "catalog")
-        catalog(spark, sf_dir).save(folder)
+        with shuffles_dropped(spark):
+            catalog(spark, sf_dir).save(folder)
         _ingested[key] = Catalog.load(spark, folder)
     return _ingested[key]
 

@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 from lumenframe import jobs
 from lumenframe.catalog import Catalog, CatalogError
 from lumenframe.functions import text as T
+from lumenframe.storage import shuffles_dropped
 
 TABLES = tuple(f.name for f in fields(Catalog))
 _BUCKET = "in_bucket"
@@ -93,11 +94,12 @@ class Store:
         """Folders of the written rows by bucket; a large bucket is several files."""
         jobs.check()
         folder = f"data/{attempt}/{name}"
-        if name not in ("media", "faces", "features"):
-            df.write.parquet(f"{self.root}/{folder}")
-            return {_WHOLE: folder}
-        rows = df.withColumn(_BUCKET, F.pmod(F.xxhash64(_path_key(name)), F.lit(buckets)))
-        rows.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")
+        with shuffles_dropped(self.spark):
+            if name not in ("media", "faces", "features"):
+                df.write.parquet(f"{self.root}/{folder}")
+                return {_WHOLE: folder}
+            rows = df.withColumn(_BUCKET, F.pmod(F.xxhash64(_path_key(name)), F.lit(buckets)))
+            rows.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")
         return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{_BUCKET}=")}
 
     def _read(self, manifest: dict, touched: set[str] | None) -> Catalog:

@@ -132,3 +132,32 @@ def test_only_changed_files_are_analysed(spark, store, tmp_path):
     assert store.versions() == [0, 1, 2, 3] and store.manifest()["notes"] == {str(tmp_path / "ck"): 2}
     now = media(store)
     assert (now["/1.jpg"], now["/2.jpg"], now["/new.jpg"], len(now)) == (1.0, 5.0, 4.0, 41)
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in found.split("\n") if "/shuffle_" in f}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    c = catalog(spark, [row(f"/{i}.jpg") for i in range(40)], [face(i, f"/{i}.jpg") for i in range(40)])
+    before, shuffled = _shuffle_files(spark), c.having(media=c.media.distinct())
+    Store(spark, f"file://{tmp_path}/kept", buckets=8).create(shuffled)
+    for _ in range(50):
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_versioned_changes_keep_one_version(spark, sf_dir):
+    from lumenframe.plans import changes, registry
+
+    kept, made = [], changes.Store
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(changes, "Store", lambda *a: kept.append(made(*a)) or kept[0])
+        rows = registry.queries()["versioned_changes"](spark, sf_dir)
+    assert rows.count() > 0 and kept[0].versions() == [2]
+    live = {p.split("/")[1] for t in kept[0].manifest()["tables"].values() for p in t["folders"].values()}
+    assert all(kept[0]._names(f"data/{a}/faces") == [] for a in kept[0]._names("data") if a not in live)
