@@ -295,6 +295,20 @@ def test_patch_sets_are_compared_by_tiles():
         assert got[i, j] == pytest.approx((each.max(axis=1).mean() + each.max(axis=0).mean()) / 2)
 
 
+def test_patch_sets_leave_by_similarity(monkeypatch):
+    """Rounded values repeat in long runs, so that a file of all pairs is small."""
+    sheet = 100_000
+    monkeypatch.setattr(B, "SHEET", sheet, raising=False)
+    rng = np.random.default_rng(19)
+    sets = [rng.normal(size=(4, 3)).tolist() for _ in range(900)]
+    rows = pa.table({"id": np.arange(900), "block": np.arange(900) % 2, "patches": pa.array(sets, pa.list_(pa.list_(pa.float64())))})
+    out = list(B._chamfer_pass(None)((pa.scalar(0), pa.scalar(1)), iter(rows.to_batches())))
+    x = np.concatenate([b.column("similarity").to_numpy() for b in out])
+    assert len(x) == 450 * 450 and max(b.num_rows for b in out) <= B.TILE**2 / 4
+    assert (np.diff(x) < 0).sum() <= len(x) // sheet
+    assert len({(r["a"], r["b"]) for b in out for r in b.to_pylist()}) == len(x)
+
+
 @pytest.mark.parametrize("eps", [0.3, 0.6, 1.0])
 def test_near_singles_are_exact_at_the_limit(eps):
     """Rows that single precision can't tell from the limit are on the side where double precision puts them."""
