@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lumenframe.operators import suppression as S
 from lumenframe.operators import vectors as V
 from lumenframe.operators.numbering import ranked
+from lumenframe.plans import similarity
+from lumenframe.sources.fixtures import catalog
 
 
 def greedy(rows, conflict):
@@ -61,6 +63,34 @@ def test_vectors_in_rounds(spark, few, head):
     assert V.temporal_nms(df.limit(0), few=few, head=head).count() == 0
 
 
+@pytest.mark.parametrize(("few", "limit"), [(64, 0.88), (3, 0.88), (64, 2.0)])
+def test_detections_that_share_vectors(spark, few, limit):
+    """Frames, then files, with equal, alike, zero, null and missing vectors; key 30 has none and still takes part in its frame."""
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(8, 6))[rng.integers(0, 8, 30)] + rng.normal(size=(30, 6)) * 0.4
+    x[7] = 0
+    vectors = spark.createDataFrame([(k, v.tolist() if k != 9 else None) for k, v in enumerate(x)], "key long, vector array<float>")
+    rows = []
+    for i in range(600):
+        a, b = rng.integers(0, 20, 2).astype(float).tolist()
+        rows.append((i, f"/{int(rng.integers(0, 120))}.mp4", int(rng.integers(0, 3)), a, b, a + 10, b + 10, float(rng.integers(0, 5)) / 4, int(rng.integers(0, 31)) if i % 43 else None))
+    df = spark.createDataFrame(rows, "id long, path_key string, frame_index int, x1 double, y1 double, x2 double, y2 double, det_score double, key long")
+    order = lambda r: (-r[7], r[0])
+    inside = greedy([(r[1:3], order(r), r[0], r[3:7]) for r in rows], lambda p, q: box_iou(p, q) > 0.45)
+    y = x.astype(np.float32).astype(np.float64)
+    cosine = lambda p, q: np.dot(p, q) / (np.linalg.norm(p) * np.linalg.norm(q)) > limit
+    left = [(r[1], order(r), r[0], y[r[8]]) for r in rows if inside[r[0]] and r[8] not in (7, 9, 30, None)]
+    want = sorted(i for i, kept in greedy(left, cosine).items() if kept)
+    assert sorted(r.id for r in V.detected_ids(df, vectors, 0.45, limit, few=few).collect()) == want
+    assert 0 < len(want) < len(left) + (limit > 1) < sum(inside.values()) < 600
+    assert V.detected_ids(df.limit(0), vectors, few=few).count() == 0
+
+
+def test_detections_move_without_vectors(spark, sf_dir):
+    got = similarity.QUERIES["detected_faces"][0](catalog(spark, sf_dir), spark, sf_dir)
+    assert "vector" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() > 1000
+
+
 def test_one_file_of_many_copies_is_one_round(spark, monkeypatch):
     """Half the detections are copies of one box; the others lie apart and take the rounds that their number asks for."""
     n, head, written = 6000, 1024, []
